@@ -44,3 +44,37 @@ def compose(body: str, *names: str, **extra: str) -> str:
         visit(n)
     parts = [f"{n} AS ({CTE[n][1]})" for n in done] + [f"{n} AS ({s})" for n, s in extra.items()]
     return f"WITH {', '.join(parts)} {body}" if parts else body
+
+
+def bm25(prefix: str, queries: str, docs: str) -> None:
+    """Add the fragments of a BM25 search of ``queries`` over ``docs``; ``{prefix}bm`` has its scores."""
+    p = prefix
+
+    def split(e: str) -> str:
+        return f"unnest(string_split_regex(lower({e}), '{NOT_WORD}')) AS token"
+
+    CTE[f"{p}tok"] = (
+        (docs,),
+        f"""SELECT id, field, token, count(*) AS tf FROM (SELECT id, 'content' AS field, {split('content')} FROM {docs}
+        UNION ALL SELECT id, 'title', {split('title')} FROM {docs}) WHERE token <> '' GROUP BY ALL""",
+    )
+    CTE[f"{p}dlen"] = ((f"{p}tok",), f"SELECT id, field, sum(tf) AS dl FROM {p}tok GROUP BY ALL")
+    CTE[f"{p}fstat"] = (
+        (f"{p}dlen",), f"SELECT field, count(*) AS n, avg(dl) AS avgdl FROM {p}dlen GROUP BY field",
+    )
+    CTE[f"{p}dfreq"] = ((f"{p}tok",), f"SELECT field, token, count(*) AS df FROM {p}tok GROUP BY ALL")
+    CTE[f"{p}qt"] = (
+        (queries,),
+        f"""SELECT query_id, token, count(*) AS qtf FROM (SELECT query_id, {split('query')} FROM {queries})
+        WHERE token <> '' GROUP BY ALL""",
+    )
+    CTE[f"{p}bm"] = (
+        (f"{p}qt", f"{p}tok", f"{p}dfreq", f"{p}fstat", f"{p}dlen"),
+        f"""SELECT query_id, id, round(max(s), 6) AS score FROM (SELECT query_id, id, field,
+        sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * 2.2 * tf / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS s
+        FROM {p}qt JOIN {p}tok USING (token) JOIN {p}dfreq USING (field, token) JOIN {p}fstat USING (field)
+        JOIN {p}dlen USING (id, field) GROUP BY ALL) GROUP BY query_id, id""",
+    )
+
+
+bm25("", "qtext", "docs")

@@ -25,5 +25,6 @@ def cosine(a, b) -> Column:
 def l2_normalize(a) -> Column:
     """Unit vector; a zero vector stays as it is."""
     a = as_double(a)
-    norm = F.sqrt(dot(a, a))
-    return F.when(norm > 0, F.transform(a, lambda x: x / norm)).otherwise(a)
+    # The norm is bound once through a one-element array instead of anew for every component.
+    scaled = F.transform(F.array(F.sqrt(dot(a, a))), lambda n: F.transform(a, lambda x: F.when(n > 0, x / n).otherwise(x)))
+    return F.get(scaled, 0)
