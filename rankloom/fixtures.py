@@ -81,3 +81,22 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"), "label"
     )
+
+
+# The scope phrases of the benchmark context: (phrase_id, text, weight, own floor).
+PHRASES = [
+    (1, "the", 1.0, None),
+    (2, "thon the", 1.5, None),
+    (3, "and onesen", 2.0, None),
+    (4, "der und", 1.0, 0.6),
+    (5, "queaux des", -1.0, None),
+    (6, "it hein", 1.5, None),
+]
+
+
+def scope_phrases(spark: SparkSession) -> DataFrame:
+    """The phrase dimension, a literal configuration table."""
+    return spark.createDataFrame(
+        [("bench", *p) for p in PHRASES],
+        "context_id string, phrase_id int, text string, weight double, min_similarity double",
+    )

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Row limit under which a dimension (queries, phrases, grids) may be broadcast.
@@ -57,3 +57,12 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     execution splits the skewed partitions.
     """
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add costly columns that are evaluated once per row.
+
+    A projection would be merged into every later use of the column; a one-element explode is not.
+    """
+    made = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_once")
+    return df.select("*", made).select(*df.columns, *[F.col(f"_once.{n}").alias(n) for n in columns])
