@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rankloom.functions.scores import LEG_RANGE, leg_normalized, round6
 from rankloom.operators.fusion import fuse_rrf
-from rankloom.session import cut
+from rankloom.session import cut, once
 
 
 @dataclass
@@ -73,8 +73,9 @@ def order_legs(queries: DataFrame, legs: DataFrame) -> DataFrame:
         match = F.coalesce(leg["upstream_type"].contains(wanted) | leg["upstream_id"].contains(wanted), F.lit(False))
         return F.struct((~match).alias("m"), leg["priority"].alias("p"), leg["upstream_id"].alias("u"))
 
-    ordered = F.array_sort(F.transform(folded.scalar(), place))
-    return queries.select("query_id", F.posexplode(ordered).alias("pos", "leg")).select(
+    ordered = F.array_sort(F.transform("legs", place))
+    rows = once(queries.select("query_id", "preferred"), legs=folded.scalar())
+    return rows.select("query_id", F.posexplode(ordered).alias("pos", "leg")).select(
         "query_id", (F.col("pos") + 1).alias("position"), F.col("leg.u").alias("upstream_id")
     )
 

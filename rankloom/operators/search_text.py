@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rankloom.functions.scores import by_max_score, round6
 from rankloom.functions.text import tokens
 from rankloom.operators.ordered import top_rows
-from rankloom.session import small
+from rankloom.session import BROADCAST_ROWS
 
 # Fixed values of the published BM25 formula.
 K1 = 1.2
@@ -32,7 +32,7 @@ def _field_tokens(docs: DataFrame, fields: tuple[str, ...]) -> DataFrame:
 
 
 def corpus_statistics(docs: DataFrame, fields: tuple[str, ...], vocabulary: DataFrame | None = None) -> DataFrame:
-    """(field, token, df, n, avg_length) in one pass; restricted to ``vocabulary`` when given.
+    """(field, token, df, n, avg_length) in one pass; restricted to the tokens of ``vocabulary`` when given.
 
     Every document adds an empty token that carries its length, so that document frequencies,
     document count and average length come from the same aggregation. The table can be stored
@@ -42,8 +42,8 @@ def corpus_statistics(docs: DataFrame, fields: tuple[str, ...], vocabulary: Data
         "field", "length", F.explode(F.concat(F.array(F.lit("")), F.array_distinct("toks"))).alias("token")
     )
     if vocabulary is not None:
-        wanted = vocabulary.select("token").union(docs.sparkSession.sql("SELECT '' AS token")).distinct()
-        rows = rows.join(small(wanted), "token", "left_semi")
+        wanted = vocabulary.withColumn("wanted", F.lit(True))
+        rows = rows.join(wanted, "token", "left").filter((F.col("token") == "") | F.col("wanted"))
     counts = rows.groupBy("field", "token").agg(F.count("*").alias("df"), F.sum("length").alias("total"))
     per_field = Window.partitionBy("field")
 
@@ -74,19 +74,22 @@ def text_search(
         .groupBy("query_id", "token")
         .agg(F.count("*").alias("qtf"))
     )
-    vocabulary = terms.select("token").distinct()
+    fits = terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+    def sized(side: DataFrame) -> DataFrame:
+        return F.broadcast(side) if fits else side
+
+    vocabulary = sized(terms.select("token").distinct())
     if stats is None:
         stats = corpus_statistics(docs, fields, vocabulary)
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = terms.join(stats, "token").select(
         "query_id", "field", "token", (F.col("qtf") * idf * (K1 + 1)).alias("weight"), "avg_length"
     )
-    if _fits(terms):
-        weights = F.broadcast(weights)
     postings = (
         _field_tokens(docs, fields)
         .select("id", "field", "length", F.explode("toks").alias("token"))
-        .join(small(vocabulary), "token", "left_semi")
+        .join(vocabulary, "token", "left_semi")
         .groupBy("id", "field", "length", "token")
         .agg(F.count("*").alias("tf"))
     )
@@ -95,7 +98,7 @@ def text_search(
     per_field = [F.coalesce(F.sum(F.when(F.col("field") == f, part)), F.lit(0.0)) for f in fields]
     best = F.greatest(*per_field) if len(per_field) > 1 else per_field[0]
     scored = (
-        postings.join(weights, ["field", "token"])
+        postings.join(sized(weights), ["field", "token"])
         .groupBy("query_id", "id")
         .agg(round6(best).alias("score"))
     )
@@ -106,8 +109,3 @@ def text_search(
     if min_score is not None:
         hits = hits.filter(F.col("score") >= min_score)
     return hits.select("query_id", "rank", "id", "score")
-
-
-def _fits(terms: DataFrame, limit: int = 200_000) -> bool:
-    """Whether the query terms are few enough to broadcast their weights."""
-    return terms.limit(limit + 1).count() <= limit
