@@ -78,3 +78,15 @@ def bm25(prefix: str, queries: str, docs: str) -> None:
 
 
 bm25("", "qtext", "docs")
+
+CTE["cdc"] = (
+    (),
+    """SELECT event_id, origin_node_id, timestamp_ms, event_type, query_key, payload, upstream_id, context_id, absolute_expiry_ms,
+    sequence FROM (SELECT event_id, value, 'n' || (user_id % 3) AS origin_node_id, (epoch_us(ts) // 1000) - (event_id * 7919) % 600000 AS timestamp_ms,
+    CASE WHEN event_type IN ('signup', 'view') THEN 'insert' WHEN event_type = 'error' THEN 'remove'
+         WHEN event_type = 'purchase' THEN 'fetch_start' ELSE 'fetch_cancel' END AS event_type,
+    CASE WHEN event_type = 'error' AND value > 470 THEN '' ELSE json_extract_string(props, '$.k') END AS query_key,
+    CASE WHEN value < 5 THEN '' ELSE 'json' END AS payload, 'u' || (user_id % 5) AS upstream_id, 'c' || (user_id % 4) AS context_id,
+    CASE WHEN user_id % 2 = 0 THEN 0 ELSE (epoch_us(ts) // 1000) + 86400000 END AS absolute_expiry_ms,
+    row_number() OVER (PARTITION BY user_id % 3 ORDER BY event_id) AS sequence FROM events) WHERE value <= 480""",
+)

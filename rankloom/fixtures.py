@@ -100,3 +100,33 @@ def scope_phrases(spark: SparkSession) -> DataFrame:
         [("bench", *p) for p in PHRASES],
         "context_id string, phrase_id int, text string, weight double, min_similarity double",
     )
+
+
+def cdc_events(spark: SparkSession, sf: str) -> DataFrame:
+    """The events as a change stream of three nodes; rows of the highest values got lost on the way.
+
+    The sequence counts the events of a node in order of their ids.
+    """
+    from rankloom.operators.ordered import ordered_scan
+
+    e = table(spark, sf, "events")
+    kind = F.col("event_type")
+    rows = e.select(
+        "event_id",
+        F.concat(F.lit("n"), F.pmod("user_id", F.lit(3)).cast("string")).alias("origin_node_id"),
+        (F.unix_millis(F.col("ts").cast("timestamp")) - F.pmod(F.col("event_id") * 7919, F.lit(600_000))).alias(
+            "timestamp_ms"
+        ),
+        F.when(kind.isin("signup", "view"), "insert").when(kind == "error", "remove").when(kind == "purchase", "fetch_start")
+        .otherwise("fetch_cancel").alias("event_type"),
+        F.when((kind == "error") & (F.col("value") > 470), "").otherwise(F.get_json_object("props", "$.k")).alias("query_key"),
+        F.when(F.col("value") < 5, "").otherwise(F.to_json(F.struct(F.col("value").alias("took_ms")))).alias("payload"),
+        F.concat(F.lit("u"), F.pmod("user_id", F.lit(5)).cast("string")).alias("upstream_id"),
+        F.concat(F.lit("c"), F.pmod("user_id", F.lit(4)).cast("string")).alias("context_id"),
+        F.when(F.pmod("user_id", F.lit(2)) == 0, F.lit(0)).otherwise(F.unix_millis(F.col("ts").cast("timestamp")) + 86_400_000)
+        .cast("bigint").alias("absolute_expiry_ms"),
+        F.lit(1).alias("_one"),
+        "value",
+    )
+    counted = ordered_scan(rows, ["origin_node_id"], "event_id", [], 100_000, running_sum={"sequence": "_one"})
+    return counted.filter(F.col("value") <= 480).drop("_one", "value")

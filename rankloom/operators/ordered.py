@@ -27,15 +27,16 @@ def ordered_scan(
     last_seen: dict[str, str] | None = None,
     running_sum: dict[str, str] | None = None,
     running_max: dict[str, str] | None = None,
+    prior_max: dict[str, str] | None = None,
 ) -> DataFrame:
     """Add running columns per key in the order ``[ts, *order]``.
 
     Each dict maps a new column to its input: ``previous`` is the value of the row before
     (nulls included), ``last_seen`` the latest non-null value up to and including the row,
-    ``running_sum`` and ``running_max`` run up to and including the row.
+    ``running_sum`` and ``running_max`` run up to and including the row, ``prior_max`` up to the row before.
     """
     previous, last_seen = previous or {}, last_seen or {}
-    running_sum, running_max = running_sum or {}, running_max or {}
+    running_sum, running_max, prior_max = running_sum or {}, running_max or {}, prior_max or {}
     rows = df.withColumn("_slot", slot_of(F.col(ts), slot_seconds))
     sort = [F.col(c) for c in [ts, *order]]
     inside = Window.partitionBy(*keys, "_slot").orderBy(*sort)
@@ -48,6 +49,9 @@ def ordered_scan(
             **{f"_l_{o}": F.last(c, ignorenulls=True).over(upto) for o, c in last_seen.items()},
             **{f"_s_{o}": F.sum(c).over(upto) for o, c in running_sum.items()},
             **{f"_m_{o}": F.max(c).over(upto) for o, c in running_max.items()},
+            **{
+                f"_m_{o}": F.max(c).over(inside.rowsBetween(Window.unboundedPreceding, -1)) for o, c in prior_max.items()
+            },
         }
     )
     summary = rows.groupBy(*keys, "_slot").agg(
@@ -58,7 +62,7 @@ def ordered_scan(
             for o, c in last_seen.items()
         ],
         *[F.sum(c).alias(f"_cs_{o}") for o, c in running_sum.items()],
-        *[F.max(c).alias(f"_cm_{o}") for o, c in running_max.items()],
+        *[F.max(c).alias(f"_cm_{o}") for o, c in {**running_max, **prior_max}.items()],
     )
     across = Window.partitionBy(*keys).orderBy("_slot")
     before = across.rowsBetween(Window.unboundedPreceding, -1)
@@ -68,7 +72,7 @@ def ordered_scan(
         *[F.lag(f"_cp_{o}").over(across).alias(f"_cp_{o}") for o in previous],
         *[F.last(f"_cl_{o}", ignorenulls=True).over(before).alias(f"_cl_{o}") for o in last_seen],
         *[F.sum(f"_cs_{o}").over(before).alias(f"_cs_{o}") for o in running_sum],
-        *[F.max(f"_cm_{o}").over(before).alias(f"_cm_{o}") for o in running_max],
+        *[F.max(f"_cm_{o}").over(before).alias(f"_cm_{o}") for o in [*running_max, *prior_max]],
     )
     joined = scanned.join(carry, [*keys, "_slot"])
     added = {
@@ -77,7 +81,7 @@ def ordered_scan(
         **{
             o: F.coalesce(F.col(f"_s_{o}"), F.lit(0)) + F.coalesce(F.col(f"_cs_{o}"), F.lit(0)) for o in running_sum
         },
-        **{o: F.greatest(F.col(f"_m_{o}"), F.col(f"_cm_{o}")) for o in running_max},
+        **{o: F.greatest(F.col(f"_m_{o}"), F.col(f"_cm_{o}")) for o in [*running_max, *prior_max]},
     }
     return joined.select(*df.columns, *[c.alias(o) for o, c in added.items()])
 
