@@ -189,7 +189,7 @@ def _(spark, sf):
         || '- **Upstream:** `' || upstream_id || '`' || chr(10) || '- **Hash:** `' || norm_key || '`' || chr(10) || '- **Cached at:** `'
         || strftime(cached_at, '%Y-%m-%dT%H:%M:%S.%f') || '000Z`' || chr(10)
         || CASE WHEN extended_count > 0 THEN '- **TTL extensions:** ' || extended_count || chr(10) ELSE '' END || chr(10)
-        || '## Response' || chr(10) || chr(10) || '```json' || chr(10) || '{' || chr(10) || '  "took_ms" : ' || took_ms || chr(10) || '}'
+        || '## Response' || chr(10) || chr(10) || '```json' || chr(10) || '{' || chr(10) || '  "took_ms": ' || took_ms || chr(10) || '}'
         || chr(10) || '```' || chr(10) AS body FROM entries WHERE age <= 86400""",
         "entries",
     ),

@@ -252,14 +252,14 @@ def _(spark, sf):
     return logstats.upstream_rates(fx.request_log(spark, sf))
 
 
-LEADERS = """WITH RECURSIVE r AS (SELECT event_type, ts, request_id, epoch_us(ts) AS at,
+LEADERS = """WITH RECURSIVE r AS (SELECT event_type, ts, request_id, epoch_us(ts) AS t0,
     epoch_us(ts) + CAST(round(latency_ms * 10 * 1000000) AS BIGINT) AS until FROM log),
-    chain AS (SELECT event_type, arg_min(at, {'a': at, 'b': request_id}) AS at, arg_min(until, {'a': at, 'b': request_id}) AS until
-    FROM r GROUP BY event_type UNION ALL SELECT r.event_type, arg_min(r.at, {'a': r.at, 'b': r.request_id}),
-    arg_min(r.until, {'a': r.at, 'b': r.request_id}) FROM chain JOIN r ON r.event_type = chain.event_type AND r.at >= chain.until
+    chain AS (SELECT event_type, arg_min(t0, {'a': t0, 'b': request_id}) AS t0, arg_min(until, {'a': t0, 'b': request_id}) AS until
+    FROM r GROUP BY event_type UNION ALL SELECT r.event_type, arg_min(r.t0, {'a': r.t0, 'b': r.request_id}),
+    arg_min(r.until, {'a': r.t0, 'b': r.request_id}) FROM chain JOIN r ON r.event_type = chain.event_type AND r.t0 >= chain.until
     GROUP BY r.event_type) """
-COALESCED = """SELECT request_id, event_type, CASE WHEN l.at IS NULL THEN 'waiter' ELSE 'leader' END AS role,
-    max(l.at) OVER (PARTITION BY event_type ORDER BY r.at, request_id) AS leader_us FROM r LEFT JOIN chain l USING (event_type, at)"""
+COALESCED = """SELECT request_id, event_type, CASE WHEN l.t0 IS NULL THEN 'waiter' ELSE 'leader' END AS role,
+    max(l.t0) OVER (PARTITION BY event_type ORDER BY r.t0, request_id) AS leader_us FROM r LEFT JOIN chain l USING (event_type, t0)"""
 
 
 def _recursive(body: str) -> str:

@@ -67,12 +67,20 @@ def entry_markdown(pretty: Column, raw: Column) -> Column:
     )
 
 
+# The fields of a stored response.
+RESPONSE_SCHEMA = (
+    "results array<struct<id:string,score:double,content:string,metadata:map<string,string>,upstream_id:string>>, "
+    "cache_status string, took_ms bigint, generated_at bigint, miss_reason string"
+)
+
+
 def pretty_response(response: Column) -> Column:
-    """Indented form of a JSON response with ``results`` and ``took_ms``; null when it does not parse."""
-    schema = "results array<struct<id:string,score:double,content:string>>, took_ms bigint"
-    parsed = F.from_json(response, schema, {"mode": "PERMISSIVE"})
-    well_formed = F.try_parse_json(response).isNotNull()
-    return F.when(well_formed & parsed.isNotNull(), F.to_json(parsed, {"pretty": "true"}))
+    """Indented form of a stored response; null when it does not parse."""
+    parsed = F.from_json(response, RESPONSE_SCHEMA)
+    text = F.to_json(parsed, {"pretty": "true"})
+    text = F.regexp_replace(text, r'(?m)^( *"(?:[^"\\]|\\.)*") : ', "$1: ")
+    text = F.regexp_replace(text, r"(?m): \[ \](,?)$", ": []$1")
+    return F.when(F.try_parse_json(response).isNotNull() & parsed.isNotNull(), text)
 
 
 def distill_documents(entries: DataFrame) -> DataFrame:
