@@ -1 +1,265 @@
-"""Queries to come."""
+"""Queries on streams and change events. Every stream reads files and runs until they are read."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from rankloom import fixtures as fx
+from rankloom.catalog.base import query
+from rankloom.catalog.ctes import CTE, compose
+from rankloom.catalog.entry_tables import cache_entries
+from rankloom.catalog.health import CIRCUIT, CIRCUIT_SQL, RESILIENCE, RESILIENCE_SQL
+from rankloom.catalog.log_stats import TRAFFIC
+from rankloom.catalog.sweeps import BUCKET
+from rankloom.operators import cdc
+from rankloom.session import work_dir
+from rankloom.sources.cdc import read_cdc
+from rankloom.streaming import machines, traffic
+from rankloom.streaming.apply import apply_cdc
+from rankloom.streaming.runs import drain_append, drain_complete
+
+NODE = "n0"
+NOW_MS = 1_705_536_000_000  # 2024-01-18
+
+
+def log_stream(spark, sf):
+    """The events table as a stream of log rows."""
+    schema = fx.table(spark, sf, "events").schema
+    events = spark.readStream.schema(schema).parquet(f"{sf}/events*.parquet")
+    kind = F.col("event_type")
+    return events.select(
+        F.col("event_id").alias("request_id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"),
+        F.col("user_id").alias("client_id"),
+        F.concat(F.lit("u"), F.pmod("user_id", F.lit(5)).cast("string")).alias("upstream_id"),
+        F.get_json_object("props", "$.k").cast("bigint").alias("key"), "event_type",
+        F.col("value").alias("latency_ms"), (kind != "error").alias("success"),
+        F.when(kind.isin("view", "click"), "hit").when(kind == "purchase", "stale").otherwise("miss").alias("cache_status"),
+        F.when(kind == "signup", "not_in_cache").when(kind == "error", "upstream_error").alias("miss_reason"),
+    )
+
+
+SEEN = f"origin_node_id <> '{NODE}' AND NOT (absolute_expiry_ms > 0 AND absolute_expiry_ms <= {NOW_MS})"
+FOLDED = f"""SELECT query_key, arg_min(timestamp_ms, o) AS timestamp_ms, arg_min(upstream_id, o) AS upstream_id, arg_min(context_id, o) AS context_id
+    FROM (SELECT *, {{'a': -timestamp_ms, 'b': event_id}} AS o FROM cdc c WHERE {SEEN} AND event_type = 'insert' AND payload <> ''
+        AND event_id > coalesce((SELECT max(event_id) FROM cdc WHERE {SEEN} AND event_type = 'remove' AND query_key = ''), -1)
+        AND event_id > coalesce((SELECT max(event_id) FROM cdc r WHERE r.origin_node_id <> '{NODE}' AND NOT (r.absolute_expiry_ms > 0
+            AND r.absolute_expiry_ms <= {NOW_MS}) AND r.event_type = 'remove' AND r.query_key = c.query_key), -1)) GROUP BY query_key"""
+
+
+@query("fold_cdc", compose(FOLDED, "cdc"))
+def _(spark, sf):
+    return cdc.fold_cdc(fx.cdc_events(spark, sf), NODE, NOW_MS).drop("payload")
+
+
+LABELLED = f"""SELECT *, CASE WHEN skip IS NOT NULL THEN skip WHEN event_type = 'insert' AND coalesce(max(CASE WHEN skip IS NULL AND event_type = 'insert'
+        THEN timestamp_ms END) OVER (PARTITION BY query_key, clears, removes ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+        >= timestamp_ms, false) THEN 'stale' ELSE 'applied' END AS result FROM
+    (SELECT *, count(*) FILTER (skip IS NULL AND event_type = 'remove' AND query_key = '') OVER (ORDER BY event_id) AS clears,
+        count(*) FILTER (skip IS NULL AND event_type = 'remove') OVER (PARTITION BY query_key ORDER BY event_id) AS removes FROM
+    (SELECT *, CASE WHEN origin_node_id = '{NODE}' THEN 'echo' WHEN absolute_expiry_ms > 0 AND absolute_expiry_ms <= {NOW_MS} THEN 'expired'
+        WHEN event_type IN ('fetch_start', 'fetch_cancel') THEN 'ignored' WHEN event_type = 'insert' AND payload = '' THEN 'bad_payload' END AS skip FROM cdc))"""
+
+
+@query("label_cdc", compose(f"SELECT event_id, result FROM ({LABELLED})", "cdc"))
+def _(spark, sf):
+    return cdc.label_cdc(fx.cdc_events(spark, sf), NODE, NOW_MS).select("event_id", "result")
+
+
+@query(
+    "cdc_counts",
+    compose(
+        f"""SELECT count(*) AS received, count(*) FILTER (result = 'applied') AS applied, count(*) FILTER (result <> 'applied') AS skipped
+        FROM ({LABELLED})""",
+        "cdc",
+    ),
+)
+def _(spark, sf):
+    return cdc.cdc_counts(cdc.label_cdc(fx.cdc_events(spark, sf), NODE, NOW_MS))
+
+
+@query("apply_cdc", compose(FOLDED, "cdc"))
+def _(spark, sf):
+    """The change events as JSON files in four batches, applied one after the other."""
+    path = work_dir(spark, "cdc-files")
+    fx.cdc_events(spark, sf).repartitionByRange(4, "event_id").write.json(path)
+    return apply_cdc(_in_order(spark, path), NODE, NOW_MS).drop("payload")
+
+
+def _in_order(spark, path):
+    return read_cdc(spark, path)
+
+
+@query(
+    "read_cdc",
+    compose("SELECT event_id, origin_node_id, event_type, query_key FROM cdc WHERE event_type IN ('insert', 'remove')", "cdc"),
+)
+def _(spark, sf):
+    path = work_dir(spark, "cdc-files")
+    fx.cdc_events(spark, sf).write.json(path)
+    stream = read_cdc(spark, path, ["insert", "remove"])
+    return drain_append(stream.select("event_id", "origin_node_id", "event_type", "query_key"), "cdc-read")
+
+
+@query(
+    "cdc_gaps",
+    compose(
+        """SELECT origin_node_id, after, sequence AS before, sequence - after - 1 AS missing FROM
+        (SELECT *, lag(sequence) OVER (PARTITION BY origin_node_id ORDER BY sequence) AS after FROM cdc) WHERE sequence - after > 1""",
+        "cdc",
+    ),
+)
+def _(spark, sf):
+    return cdc.cdc_gaps(fx.cdc_events(spark, sf))
+
+
+@query(
+    "snapshot_events",
+    compose(
+        f"""SELECT row_number() OVER (ORDER BY cached_at, norm_key) AS sequence, epoch_us(cached_at) // 1000 AS timestamp_ms, norm_key AS query_key,
+        upstream_id, CAST({NOW_MS} + 10800000 AS BIGINT) AS absolute_expiry_ms FROM entries""",
+        "entries",
+    ),
+)
+def _(spark, sf):
+    out = cdc.snapshot_events(cache_entries(spark, sf), NODE, NOW_MS, 3600, 7200)
+    return out.select("sequence", "timestamp_ms", "query_key", "upstream_id", "absolute_expiry_ms")
+
+
+@query(
+    "parity",
+    compose(
+        """SELECT count(a.timestamp_ms) AS a_keys, count(b.timestamp_ms) AS b_keys, count(*) FILTER (b.timestamp_ms IS NULL) AS only_a,
+        count(*) FILTER (a.timestamp_ms IS NULL) AS only_b, count(*) FILTER (a.timestamp_ms <> b.timestamp_ms) AS different
+        FROM a FULL JOIN b USING (query_key)""",
+        "cdc", a=FOLDED, b=FOLDED.replace(f"<> '{NODE}'", "<> 'n1'"),
+    ),
+)
+def _(spark, sf):
+    events = fx.cdc_events(spark, sf)
+    return cdc.parity(cdc.fold_cdc(events, NODE, NOW_MS), cdc.fold_cdc(events, "n1", NOW_MS))
+
+
+def _window_sql(start: str, length: str, source: str) -> str:
+    return compose(
+        f"""SELECT {start} AS window_start, {start} + INTERVAL '{length}' AS window_end, upstream_id, {TRAFFIC} FROM {source}
+        GROUP BY {start}, upstream_id""",
+        "log",
+    )
+
+
+@query("stream_tumbling", _window_sql("time_bucket(INTERVAL '1 day', ts)", "1 day", "log"))
+def _(spark, sf):
+    return drain_complete(traffic.stream_stats(log_stream(spark, sf), "1 day", "2 days", by=("upstream_id",)), "tumbling")
+
+
+@query(
+    "stream_sliding",
+    _window_sql(
+        "s", "1 day", "(SELECT log.*, time_bucket(INTERVAL '6 hours', ts) - o * INTERVAL '6 hours' AS s FROM log, range(0, 4) AS x(o))"
+    ),
+)
+def _(spark, sf):
+    stats = traffic.stream_stats(log_stream(spark, sf), "1 day", "2 days", slide="6 hours", by=("upstream_id",))
+    return drain_complete(stats, "sliding")
+
+
+@query(
+    "stream_sessions",
+    compose(
+        f"""SELECT min(ts) AS window_start, max(ts) + INTERVAL '1 hour' AS window_end, upstream_id, {TRAFFIC} FROM
+        (SELECT *, count(*) FILTER (gap) OVER (PARTITION BY upstream_id ORDER BY ts, request_id) AS session FROM
+         (SELECT *, ts - lag(ts) OVER (PARTITION BY upstream_id ORDER BY ts, request_id) > INTERVAL '1 hour' AS gap FROM log))
+        GROUP BY upstream_id, session""",
+        "log",
+    ),
+)
+def _(spark, sf):
+    stats = traffic.stream_stats(log_stream(spark, sf), "", "2 days", by=("upstream_id",), session_gap="1 hour")
+    return drain_complete(stats, "sessions")
+
+
+@query("dedup_log", "SELECT event_id AS request_id, event_type FROM events")
+def _(spark, sf):
+    """Every log row arrives twice."""
+    log = log_stream(spark, sf)
+    return drain_append(traffic.dedup_log(log.union(log)).select("request_id", "event_type"), "dedup")
+
+
+@query(
+    "stream_token_bucket",
+    f"SELECT request_id, client_id, allowed, tokens FROM ({BUCKET}) WHERE burst = 5",
+)
+def _(spark, sf):
+    arrivals = log_stream(spark, sf).select("request_id", "client_id", "ts")
+    out = machines.stream_token_bucket(arrivals, "client_id", 1 / 7200, 5.0)
+    return drain_append(out.select("request_id", "client_id", "allowed", "tokens"), "bucket")
+
+
+@query("stream_circuit", CIRCUIT_SQL)
+def _(spark, sf):
+    out = machines.stream_circuit(log_stream(spark, sf).select("upstream_id", "ts", "seq", "success"), CIRCUIT)
+    return drain_append(out.select("upstream_id", "seq", "state", "admitted"), "circuit")
+
+
+@query("stream_resilience", RESILIENCE_SQL)
+def _(spark, sf):
+    out = machines.stream_resilience(log_stream(spark, sf).select("upstream_id", "ts", "seq", "success"), RESILIENCE)
+    return drain_append(out.select("upstream_id", "seq", "state", "rps_limit"), "resilience")
+
+
+@query(
+    "stream_replay",
+    f"""WITH RECURSIVE log AS ({CTE['log'][1]}), a AS (SELECT key, request_id AS seq, epoch_us(ts) AS t,
+        row_number() OVER (PARTITION BY key ORDER BY ts, request_id) AS r FROM log),
+    s AS (SELECT key, seq, t, r, t AS filled, 'miss' AS outcome FROM a WHERE r = 1 UNION ALL
+        SELECT a.key, a.seq, a.t, a.r, CASE WHEN a.t - filled < 7200000000 THEN filled ELSE a.t END,
+            CASE WHEN a.t - filled < 7200000000 THEN 'hit' WHEN a.t - filled < 28800000000 THEN 'stale' ELSE 'expired' END
+        FROM s JOIN a ON a.key = s.key AND a.r = s.r + 1)
+    SELECT key, seq, outcome FROM s""",
+)
+def _(spark, sf):
+    out = machines.stream_replay(log_stream(spark, sf).select("key", "ts", "seq"), 7200, 21600)
+    return drain_append(out.select("key", "seq", "outcome"), "replay")
+
+
+REFRESH = """SELECT key AS query_id, upstream_id, ts, request_id AS seq, list_distinct(list_transform(range(0, 5),
+    lambda j: CAST(floor(latency_ms / 100) AS BIGINT) * j % 7)) AS ids, latency_ms / 500 AS score FROM log"""
+DRIFTED = """SELECT query_id, upstream_id, ts, seq, CASE WHEN prev IS NULL THEN NULL WHEN ov >= 0.9 AND ch < 0.05 THEN 'none'
+    WHEN ov >= 0.7 AND ch < 0.15 THEN 'minor' WHEN ov >= 0.5 AND ch < 0.3 THEN 'moderate' WHEN ov >= 0.3 THEN 'significant' ELSE 'major' END AS level
+    FROM (SELECT *, round(len(list_intersect(ids, prev)) / greatest(len(ids), len(prev)), 6) AS ov,
+        CASE WHEN len(list_intersect(ids, prev)) > 0 THEN round(abs(score - pscore), 6) ELSE 1 END AS ch
+        FROM (SELECT *, lag(ids) OVER w AS prev, lag(score) OVER w AS pscore FROM rf WINDOW w AS (PARTITION BY query_id ORDER BY ts, seq)))"""
+
+
+def _drift_stream(spark, sf):
+    """Each request as a refresh of its key with up to five results."""
+    step = F.floor(F.col("latency_ms") / 100)
+    ids = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda j: F.pmod(step * j, F.lit(7))))
+    score = F.col("latency_ms") / 500
+    refreshes = log_stream(spark, sf).select(
+        F.col("key").alias("query_id"), "upstream_id", "ts", "seq", ids.alias("ids"), F.transform(ids, lambda _: score).alias("scores")
+    )
+    return machines.stream_drift(refreshes).select("query_id", "upstream_id", "ts", "seq", "level")
+
+
+@query("stream_drift", compose(f"SELECT query_id, seq, level FROM ({DRIFTED})", "log", rf=REFRESH))
+def _(spark, sf):
+    return drain_append(_drift_stream(spark, sf), "drift").select("query_id", "seq", "level")
+
+
+@query(
+    "stream_drift_alerts",
+    compose(
+        """SELECT upstream_id, seq, CAST(count(*) OVER w AS INTEGER) AS total, count(*) FILTER (level IN ('significant', 'major')) OVER w >= 60 AS alert
+        FROM d WHERE level IS NOT NULL WINDOW w AS (PARTITION BY upstream_id ORDER BY ts, seq ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)""",
+        "log", rf=REFRESH, d=DRIFTED,
+    ),
+)
+def _(spark, sf):
+    """Levels of the first stream, read as a second stream."""
+    levels = drain_append(_drift_stream(spark, sf), "drift")
+    path = work_dir(spark, "levels")
+    levels.filter(F.col("level").isNotNull()).select("upstream_id", "ts", "seq", "level").write.parquet(path)
+    stream = spark.readStream.schema("upstream_id string, ts timestamp, seq bigint, level string").parquet(path)
+    out = machines.stream_drift_alerts(stream, alert_count=60)
+    return drain_append(out.select("upstream_id", "seq", "total", "alert"), "alerts")
