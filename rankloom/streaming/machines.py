@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from rankloom.functions.ttl import MAX_FROZEN_SECONDS
 from rankloom.operators.drift import LEVELS, LIMITS, SIGNIFICANT_OVERLAP
 from rankloom.operators.health import CircuitConfig, ResilienceConfig, circuit_machine, resilience_machine
 from rankloom.operators.sweeps import bucket_start, bucket_step
@@ -26,7 +25,7 @@ class KeyedMachine(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         schema = T.StructType([T.StructField("json", T.StringType())])
-        self.state = handle.getValueState("machine", schema, ttlDurationMs=self.ttl_ms) if self.ttl_ms else handle.getValueState("machine", schema)
+        self.state = handle.getValueState("machine", schema, ttlDurationMs=self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(self.order, kind="stable")
@@ -100,8 +99,12 @@ def freshness_machine(fresh: float, stale: float):
     return start, step
 
 
-def stream_replay(log: DataFrame, fresh: float, stale: float, ttl_ms: int | None = MAX_FROZEN_SECONDS * 1000) -> DataFrame:
-    """Label every access of a log stream (key, ts, seq) hit, stale, expired or miss."""
+def stream_replay(log: DataFrame, fresh: float, stale: float, ttl_ms: int | None = None) -> DataFrame:
+    """Label every access of a log stream (key, ts, seq) hit, stale, expired or miss.
+
+    ``ttl_ms`` forgets keys unused for so long in wall-clock time; a stream with it runs until it is stopped, so leave
+    it out where the files at hand are to be drained.
+    """
     start, step = freshness_machine(fresh, stale)
     rows = log.withColumn("at_us", F.unix_micros("ts"))
     return run_machine(rows, ["key"], ["at_us", "seq"], ["at_us"], "outcome string", start, step, ttl_ms)
