@@ -79,14 +79,10 @@ def _(spark, sf):
 
 @query("apply_cdc", compose(FOLDED, "cdc"))
 def _(spark, sf):
-    """The change events as JSON files in four batches, applied one after the other."""
+    """The change events as JSON files, applied as a stream."""
     path = work_dir(spark, "cdc-files")
     fx.cdc_events(spark, sf).repartitionByRange(4, "event_id").write.json(path)
-    return apply_cdc(_in_order(spark, path), NODE, NOW_MS).drop("payload")
-
-
-def _in_order(spark, path):
-    return read_cdc(spark, path)
+    return apply_cdc(read_cdc(spark, path), NODE, NOW_MS).drop("payload")
 
 
 @query(

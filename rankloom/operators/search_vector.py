@@ -78,6 +78,7 @@ def vector_search(
     within: tuple[str, ...] = (),
     skip_same: bool = False,
     earlier: bool = False,
+    repeated: bool = False,
 ) -> DataFrame:
     """Top ``top_k`` corpus vectors per query as (query_id, rank, id, score).
 
@@ -85,7 +86,8 @@ def vector_search(
     one block with one part and returns the block's best ``top_k`` there. No pair of rows ever
     leaves a task and neither side is collected or broadcast. ``within`` names columns that both sides
     must share; a group of any size is cut like the whole. Vectors of other lengths never match.
-    ``skip_same`` leaves out a vector's own id, ``earlier`` admits only a smaller ``seq``.
+    ``skip_same`` leaves out a vector's own id, ``earlier`` admits only a smaller ``seq``. ``repeated`` says that a
+    pair may meet in several groups and counts once.
     """
     keys = list(within)
     extra = ["seq"] if earlier else []
@@ -123,7 +125,7 @@ def vector_search(
         .cogroup(d.groupBy(*cell))
         .applyInPandas(_block_top_k(metric, top_k, min_score, skip_same, earlier), schema)
     )
-    if len(within) and "table_no" in within:
+    if repeated:
         partial = partial.distinct()
     return top_rows(partial, ["query_id"], [F.desc("score"), F.asc("id")], top_k).select(
         "query_id", "rank", "id", "score"
@@ -166,6 +168,7 @@ def vector_search_lsh(
         top_k=top_k,
         within=("table_no", "bucket"),
         skip_same=skip_same,
+        repeated=True,
     )
 
 
