@@ -21,19 +21,23 @@ from rankloom.operators.ordered import top_rows
 from rankloom.operators.search_text import text_search
 from rankloom.operators.search_vector import vector_search
 from rankloom.plans.answer import AnswerConfig, answer_queries
+from rankloom.session import cut
 
 
 def search_legs(spark, sf, top_k=5):
     """English lexical search first, then lexical search in the other languages and vectors over all."""
     docs = fx.corpus(spark, sf)
-    vectors = embed_texts(docs.select("id", "content"), "content").select("id", "embedding")
+    made = {}
 
     def lexical(part):
         return lambda q: text_search(q, part, top_k=top_k)
 
     def nearest(q):
-        qv = embed_texts(q.select("query_id", "query"), "query")
-        return vector_search(qv, vectors, top_k=top_k)
+        # Both sides are read several times by the search, so they are computed once.
+        if "vectors" not in made:
+            made["vectors"] = cut(embed_texts(docs.select("id", "content"), "content").select("id", "embedding"))
+        qv = cut(embed_texts(q.select("query_id", "query"), "query").select("query_id", "embedding"))
+        return vector_search(qv, made["vectors"], top_k=top_k)
 
     return [
         Leg("fts_en", "fts", 1, lexical(docs.filter(F.col("topic") == "en"))),

@@ -11,6 +11,7 @@ from rankloom.catalog.base import query
 from rankloom.catalog.ctes import SPACE, compose
 from rankloom.functions import scores, text, ttl, vectors
 from rankloom.operators import fingerprint, keys, staleness, validation
+from rankloom.session import small
 
 
 def norm(e: str) -> str:
@@ -326,7 +327,7 @@ def _(spark, sf):
     top = e.groupBy("event_type").agg(F.max("value").alias("m"))
     d, v = F.col("value") / 100, F.col("value")
     low, high = (F.lit(x) for x in scores.LEG_RANGE["fts"])
-    return e.join(F.broadcast(top), "event_type").select(
+    return e.join(small(top), "event_type").select(
         "event_id",
         scores.round6(scores.by_max_score(v, F.col("m"))).alias("by_max"),
         *[scores.round6(scores.from_distance(d, k)).alias(a) for k, a in

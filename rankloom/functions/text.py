@@ -48,7 +48,7 @@ def apply_prefix(query, prefix: str | None) -> Column:
 
 def tokens(c, separator: str = NOT_WORD) -> Column:
     """Lower-cased tokens of a text, empty ones dropped."""
-    return F.filter(F.split(F.lower(_col(c)), separator), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(_col(c)), separator), "")
 
 
 def words(c) -> Column:

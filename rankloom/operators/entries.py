@@ -46,6 +46,14 @@ def entries_summary(entries: DataFrame, fresh: float, stale: float, now: str) ->
     )
 
 
+def oldest(entries: DataFrame, n: int, slot_seconds: float = 3600) -> DataFrame:
+    """The ``n`` oldest entries, counted slot by slot, so that a large ``n`` needs no single task."""
+    numbered = ordered_scan(
+        entries.withColumn("_one", F.lit(1)), [], "cached_at", ["norm_key"], slot_seconds, running_sum={"_place": "_one"}
+    )
+    return numbered.filter(F.col("_place") <= n).drop("_one", "_place")
+
+
 def evict_plan(
     entries: DataFrame,
     now: str,
@@ -63,7 +71,7 @@ def evict_plan(
     if older_than is not None:
         chosen = chosen.filter(age_seconds(now) >= older_than)
     if max_entries is not None:
-        chosen = chosen.orderBy("cached_at", "norm_key").limit(max_entries)
+        chosen = oldest(chosen, max_entries)
     marks = chosen.select("norm_key", F.lit("evict").alias("action"))
     return entries.join(marks, "norm_key", "left").withColumn("action", F.coalesce("action", F.lit("keep")))
 

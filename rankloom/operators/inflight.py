@@ -37,7 +37,7 @@ def dedup_factor(labelled: DataFrame) -> DataFrame:
 def fetch_spans(cdc: DataFrame, slot_seconds: float = 3600) -> DataFrame:
     """Spans between a fetch_start and the event of its key that ends it.
 
-    An insert or remove-free cancel ends a span, a later start replaces it; a start that nothing follows stays open.
+    An insert or a cancel ends a span, a later start replaces it; a start that nothing follows stays open.
     """
     events = cdc.filter(F.col("event_type").isin("fetch_start", "fetch_cancel", "insert")).withColumn(
         "_e", F.struct("event_type", "origin_node_id", "timestamp_ms")

@@ -32,6 +32,9 @@ def percentiles(
     Values are counted first, with map-side combine; the running count is then taken per value range
     of width ``slot``, so that a group of any size spreads over many tasks.
     """
+    if not group:
+        everything = percentiles(df.withColumn("_all", F.lit(0)), ["_all"], value, ps, method, slot)
+        return everything.drop("_all")
     counts = df.groupBy(*group, value).agg(F.count("*").alias("_n"))
     placed = ordered_scan(counts, group, value, [], slot, running_sum={"_upto": "_n"})
     totals = counts.groupBy(*group).agg(F.sum("_n").alias("_total"))
@@ -39,9 +42,7 @@ def percentiles(
     low, high, share = _ranks(method, F.col("_total"), F.col("p"))
     wanted = wanted.withColumns({"_low": low.cast("bigint"), "_high": high.cast("bigint"), "_share": share})
     after = F.col("_upto") - F.col("_n")
-    near = placed.join(
-        wanted, [*group] if group else None, "inner"
-    ).filter((F.col("_upto") >= F.col("_low")) & (after < F.col("_high")))
+    near = placed.join(wanted, group).filter((F.col("_upto") >= F.col("_low")) & (after < F.col("_high")))
     is_low = (F.col("_upto") >= F.col("_low")) & (after < F.col("_low"))
     is_high = (F.col("_upto") >= F.col("_high")) & (after < F.col("_high"))
     both = near.groupBy(*group, "p").agg(

@@ -55,7 +55,7 @@ def key_phrases(docs: DataFrame) -> DataFrame:
     """Add ``phrases``: sorted distinct pairs of neighbouring words that look like names."""
     edges = r"^[^\p{L}\p{N}_-]+|[^\p{L}\p{N}_-]+$"
     named = r"^\p{Lu}|[-_]"
-    split = docs.withColumn("_w", F.filter(F.split("content", SPACE), lambda w: w != ""))
+    split = docs.withColumn("_w", F.array_remove(F.split("content", SPACE), ""))
     n = F.size("_w")
     pairs = F.zip_with(
         F.slice("_w", F.lit(1), F.greatest(n - 1, F.lit(0))),

@@ -65,8 +65,8 @@ def _block_top_k(metric: str, k: int, min_score: float | None, skip_same: bool,
     return best
 
 
-def _count_parts(df: DataFrame, rows: int) -> int:
-    return max(1, math.ceil(df.count() / rows))
+def _parts(n: int, rows: int) -> int:
+    return max(1, math.ceil(n / rows))
 
 
 def vector_search(
@@ -84,7 +84,7 @@ def vector_search(
 
     Queries and corpus are hashed into blocks and parts of bounded size, and one task compares
     one block with one part and returns the block's best ``top_k`` there. No pair of rows ever
-    leaves a task and neither side is collected or broadcast. ``within`` names columns that both sides
+    leaves a task and neither side is collected or broadcast. Both sides are read more than once; cut() costly ones first. ``within`` names columns that both sides
     must share; a group of any size is cut like the whole. Vectors of other lengths never match.
     ``skip_same`` leaves out a vector's own id, ``earlier`` admits only a smaller ``seq``. ``repeated`` says that a
     pair may meet in several groups and counts once.
@@ -100,8 +100,9 @@ def vector_search(
         q, d = q.join(sizes, keys), d.join(sizes, keys)
     else:
         cores = q.sparkSession.sparkContext.defaultParallelism
-        nb = F.lit(_count_parts(q, BLOCK_ROWS)).cast("bigint")
-        np_ = F.lit(max(_count_parts(d, PART_ROWS), min(cores, _count_parts(d, 512)))).cast("bigint")
+        n_corpus = d.count()
+        nb = F.lit(_parts(q.count(), BLOCK_ROWS)).cast("bigint")
+        np_ = F.lit(max(_parts(n_corpus, PART_ROWS), min(cores, _parts(n_corpus, 512)))).cast("bigint")
         q, d = (x.withColumns({"_nb": nb, "_np": np_}) for x in (q, d))
 
     def home(c: str, n: str) -> Column:

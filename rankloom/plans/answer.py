@@ -65,7 +65,7 @@ def answer_queries(
     rest = exact.filter(~F.coalesce(F.col("freshness").isin("fresh", "stale"), F.lit(False)))
 
     def vectors(df: DataFrame) -> DataFrame:
-        return embed_texts(df, "text", embedder=cfg.embedder).drop("text")
+        return cut(embed_texts(df, "text", embedder=cfg.embedder).drop("text"))
 
     context_text = F.concat(F.lit("ctx:"), F.col("context_id"), F.lit(":"), F.col("query")).alias("text")
     matched = semantic_match(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rankloom.functions.text import slugify
 from rankloom.functions.ttl import MAX_FROZEN_SECONDS, jittered_ttl
+from rankloom.operators.entries import oldest
 
 
 def write_cache_entries(entries: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -37,12 +38,11 @@ def distill(
         chosen = chosen.filter(F.col("context_id") == context)
     if not include_stale:
         chosen = chosen.filter(age <= jittered_ttl(fresh, F.col("norm_key")))
-    chosen = chosen.orderBy("cached_at", "norm_key")
     if limit > 0:
-        chosen = chosen.limit(limit)
+        chosen = oldest(chosen, limit)
     if embeddings is not None:
         chosen = chosen.join(embeddings.select("norm_key", "embedding"), "norm_key", "left")
-    return chosen
+    return chosen.orderBy("cached_at", "norm_key")
 
 
 def entry_markdown(pretty: Column, raw: Column) -> Column:
