@@ -76,7 +76,11 @@ def _(spark, sf):
     return logstats.audit_stats(fx.request_log(spark, sf))
 
 
-@query("audit_text")
+@query(
+    "audit_text",
+    """SELECT doc_id, CASE WHEN strlen(text) > 200 THEN text[1:list_max(list_filter(range(0, 201), lambda i: strlen(text[1:i]) <= 200))] || '...'
+        ELSE text END AS query FROM documents""",
+)
 def _(spark, sf):
     return fx.table(spark, sf, "documents").select("doc_id", logstats.audit_text("text").alias("query"))
 
