@@ -15,7 +15,7 @@ from rankloom.functions.vectors import as_double
 from rankloom.operators.ordered import top_rows
 from rankloom.session import small
 
-BLOCK_ROWS = 2048
+BLOCK_ROWS = 8192
 PART_ROWS = 16384
 _STEP = 256
 

@@ -79,24 +79,29 @@ def answer_queries(
     routed = cut(rest.join(matched, "norm_key", "left"))
     missed = routed.filter(F.col("matched_key").isNull())
 
+    # The leader's own short id stands for the question: a digest would travel with every candidate document.
     found, outcome, _ = cascade(
-        missed.select(F.col("norm_key").alias("query_id"), "query", "context_id"), legs, cfg.cascade
+        missed.select(F.col("leader").alias("query_id"), "query", "context_id"), legs, cfg.cascade
     )
     listed = found.join(docs.select("id", "content"), "id").join(
-        missed.select(F.col("norm_key").alias("query_id"), "context_id"), "query_id"
+        missed.select(F.col("leader").alias("query_id"), "context_id"), "query_id"
     )
     scoped = cut(scope(listed, phrases, cfg.scope_mode, cfg.scope))
     faulty = validate_responses(scoped.withColumn("metadata", F.lit(None).cast("string"))).filter(
         F.col("error_code").isNotNull()
     )
-    fetched = scoped.join(faulty.select("query_id"), "query_id", "left_anti")
+    fetched = (
+        scoped.join(faulty.select("query_id"), "query_id", "left_anti")
+        .withColumnRenamed("query_id", "leader")
+        .join(missed.select("leader", "norm_key"), "leader")
+    )
 
     key_hits = (
         served.select("norm_key", F.col("norm_key").alias("from_key"))
         .unionByName(routed.filter(F.col("matched_key").isNotNull()).select("norm_key", F.col("matched_key").alias("from_key")))
         .join(entry_hits.withColumnRenamed("norm_key", "from_key"), "from_key")
         .select("norm_key", "rank", "id", "score")
-        .unionByName(fetched.select(F.col("query_id").alias("norm_key"), "rank", "id", "score"))
+        .unionByName(fetched.select("norm_key", "rank", "id", "score"))
     )
     askers = valid.select("query_id", "norm_key", "effective_top_k")
     responses = (
@@ -104,28 +109,28 @@ def answer_queries(
         .select("query_id", "rank", "id", "score")
     )
 
-    faults = faulty.select(F.col("query_id").alias("norm_key"), F.lit(True).alias("faulty"))
+    faults = faulty.select(F.col("query_id").alias("leader"), F.lit(True).alias("faulty"))
     by_key = (
-        served.select("norm_key", F.when(F.col("freshness") == "fresh", "hit").otherwise("stale").alias("cache_status"),
+        served.select("norm_key", "leader", F.when(F.col("freshness") == "fresh", "hit").otherwise("stale").alias("cache_status"),
                       F.lit("exact").alias("tier"), F.lit(None).cast("string").alias("miss_reason"))
         .unionByName(
             routed.select(
                 "norm_key",
+                "leader",
                 F.when(F.col("matched_key").isNotNull(), "hit").otherwise("miss").alias("cache_status"),
                 F.when(F.col("matched_key").isNotNull(), "semantic").otherwise("search").alias("tier"),
                 F.when(F.col("matched_key").isNull(), F.when(F.col("freshness").isNull(), "not_in_cache").otherwise("expired"))
                 .alias("miss_reason"),
             )
         )
-        .join(outcome.select(F.col("query_id").alias("norm_key"), "final_leg", "stop_reason"), "norm_key", "left")
-        .join(faults, "norm_key", "left")
+        .join(outcome.select(F.col("query_id").alias("leader"), "final_leg", "stop_reason"), "leader", "left")
+        .join(faults, "leader", "left")
     )
     counts = key_hits.groupBy("norm_key").agg(F.count("*").alias("n"))
     audit = (
         checked.select("query_id", "norm_key", "error_code", "effective_top_k")
         .join(by_key, "norm_key", "left")
         .join(counts, "norm_key", "left")
-        .join(asked.select("norm_key", "leader"), "norm_key", "left")
         .select(
             "query_id",
             F.coalesce("cache_status", F.lit("error")).alias("cache_status"),
