@@ -295,16 +295,41 @@ def _(spark, sf):
     return inflight.dedup_factor(_coalesced(spark, sf))
 
 
-@query(
-    "fetch_spans",
-    compose(
-        """SELECT query_key, origin_node_id AS origin, timestamp_ms AS start_ms, nt AS end_ms, CASE WHEN ne IS NULL THEN 'open'
+SPANS = """SELECT query_key, origin_node_id AS origin, timestamp_ms AS start_ms, nt AS end_ms, CASE WHEN ne IS NULL THEN 'open'
         WHEN ne = 'insert' THEN 'inserted' WHEN ne = 'fetch_cancel' THEN 'cancelled' ELSE 'replaced' END AS outcome FROM
         (SELECT *, lead(event_type) OVER w AS ne, lead(timestamp_ms) OVER w AS nt FROM cdc
          WHERE event_type IN ('fetch_start', 'fetch_cancel', 'insert')
-         WINDOW w AS (PARTITION BY query_key ORDER BY timestamp_ms, origin_node_id, sequence)) WHERE event_type = 'fetch_start'""",
+         WINDOW w AS (PARTITION BY query_key ORDER BY timestamp_ms, origin_node_id, sequence)) WHERE event_type = 'fetch_start'"""
+
+
+@query(
+    "fetch_spans",
+    compose(
+        SPANS,
         "cdc",
     ),
 )
 def _(spark, sf):
     return inflight.fetch_spans(fx.cdc_events(spark, sf))
+
+
+@query(
+    "wait_for_fetches",
+    compose(
+        """SELECT request_id, CASE WHEN NOT w THEN 'proceed' WHEN e - at_ms <= 600000 THEN 'served' ELSE 'timed_out' END AS outcome,
+        CAST(CASE WHEN NOT w THEN 0 WHEN e - at_ms <= 600000 THEN e - at_ms ELSE 600000 END AS BIGINT) AS waited_ms FROM
+        (SELECT *, open IS NOT NULL AND coalesce(open.e > at_ms, true) AND open.o <> node AS w, open.e AS e FROM
+        (SELECT *, last_value(span IGNORE NULLS) OVER (PARTITION BY query_key ORDER BY at_ms, r, node, request_id
+            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS open FROM
+        (SELECT request_id, key::VARCHAR AS query_key, 'n' || (client_id % 3) AS node, epoch_us(ts) // 1000 AS at_ms, 1 AS r, NULL AS span FROM log
+         UNION ALL SELECT NULL, query_key, origin, start_ms, 0, {'o': origin, 'e': end_ms} FROM spans)) WHERE r = 1)""",
+        "log", "cdc", spans=SPANS,
+    ),
+)
+def _(spark, sf):
+    """Every logged request as one of its node, against the fetches in the change stream; ten minutes at most."""
+    requests = fx.request_log(spark, sf).select(
+        "request_id", F.col("key").cast("string").alias("query_key"),
+        F.concat(F.lit("n"), F.pmod("client_id", F.lit(3)).cast("string")).alias("node_id"), F.unix_millis("ts").alias("at_ms"),
+    )
+    return inflight.wait_for_fetches(requests, inflight.fetch_spans(fx.cdc_events(spark, sf)), 600_000)

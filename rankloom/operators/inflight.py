@@ -62,3 +62,27 @@ def fetch_spans(cdc: DataFrame, slot_seconds: float = 3600) -> DataFrame:
         F.lit("open").alias("outcome"),
     )
     return closed.unionByName(left_open)
+
+
+def wait_for_fetches(requests: DataFrame, spans: DataFrame, timeout_ms: int, slot_seconds: float = 3600) -> DataFrame:
+    """Whether each request (request_id, query_key, node_id, at_ms) waits for another node's fetch, and how that ends.
+
+    The latest span that started before the request counts if it is still open then; a wait is served when the span
+    ends within the timeout.
+    """
+    fetch = F.struct(F.col("origin").alias("origin"), F.col("end_ms").alias("end_ms"))
+    marks = spans.select(
+        "query_key", F.col("start_ms").alias("at_ms"), F.lit(0).alias("_row"), F.col("origin").alias("_by"), fetch.alias("_span")
+    )
+    asked = requests.withColumns({"_row": F.lit(1), "_by": F.col("node_id")})
+    both = asked.unionByName(marks, allowMissingColumns=True).withColumn("_ts", F.col("at_ms") / 1000)
+    seen = ordered_scan(both, ["query_key"], "_ts", ["_row", "_by", "request_id"], slot_seconds, last_seen={"_open": "_span"})
+    end = F.col("_open.end_ms")
+    waits = F.col("_open").isNotNull() & (end.isNull() | (end > F.col("at_ms"))) & (F.col("_open.origin") != F.col("node_id"))
+    left = end - F.col("at_ms")
+    served = F.coalesce(left <= timeout_ms, F.lit(False))
+    return seen.filter("_row = 1").select(
+        "request_id",
+        F.when(~waits, "proceed").when(served, "served").otherwise("timed_out").alias("outcome"),
+        F.when(waits, F.when(served, left).otherwise(F.lit(timeout_ms))).otherwise(F.lit(0)).cast("bigint").alias("waited_ms"),
+    )
