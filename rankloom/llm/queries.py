@@ -44,7 +44,7 @@ _FAILS = " OR ".join(
 RULES_CTE = rf"""
 d AS (SELECT *, row_number() OVER () AS r, coalesce(text, '') AS t FROM {{table}}),
 w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
-             list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+             [x for x in string_split(t, chr(10)) if regexp_matches(x, '[^\x20\x09-\x0D]')] AS l FROM d),
 g AS (SELECT r, i, list_slice(w, i, i + 4) AS g FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) > 4)),
 twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM g) WHERE c > 1),
 covered AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 5)) AS p FROM twice) GROUP BY r),
@@ -52,8 +52,8 @@ counted AS (
   SELECT w.* EXCLUDE (w, l, t), len(w) AS n_words, len(array_to_string(w, '')) AS word_chars,
          len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines,
          coalesce(covered.n, 0) AS n_repeat_words, len(l) AS n_lines, len(regexp_extract_all(t, '\p{{{{Lu}}}}')) AS n_upper,
-         len(list_filter(w, x -> trim(x, '.,;:!?"''()') IN ({_STOP}))) AS n_stop, len(list_distinct(w)) AS n_distinct,
-         len(list_filter(l, x -> regexp_matches(x, '^[\x20\x09-\x0D]*[-*•]'))) AS n_bullets
+         len([x for x in w if trim(x, '.,;:!?"''()') IN ({_STOP})]) AS n_stop, len(list_distinct(w)) AS n_distinct,
+         len([x for x in l if regexp_matches(x, '^[\x20\x09-\x0D]*[-*•]')]) AS n_bullets
   FROM w LEFT JOIN covered USING (r)),
 judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM counted),
 ruled AS (SELECT *, NOT base_failed AND NOT coalesce({_FAILS}, false) AS kept FROM judged)"""
