@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import bpe, rules
+from rankloom.llm import bpe, neardup, rules
 from rankloom.llm.registry import QUERIES, SQL, query, read
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -68,3 +68,9 @@ def op8_rules(spark: SparkSession, sf: str) -> DataFrame:
     """Every document's counts and verdict by the whole table of thresholds."""
     judged = rules.apply_rules(read(spark, sf, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op4_dart_minhash")
+def op4_dart_minhash(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's class of copies and near copies, and how many other texts it is linked to."""
+    return neardup.with_classes(read(spark, sf, "documents"))
