@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import bpe, neardup, rules
+from rankloom.llm import bpe, neardup, quality, rules
 from rankloom.llm.registry import QUERIES, SQL, query, read
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -74,3 +74,9 @@ def op8_rules(spark: SparkSession, sf: str) -> DataFrame:
 def op4_dart_minhash(spark: SparkSession, sf: str) -> DataFrame:
     """Every document's class of copies and near copies, and how many other texts it is linked to."""
     return neardup.with_classes(read(spark, sf, "documents"))
+
+
+@query("op6_quality")
+def op6_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's chance of being good, with the evidence and the rate of its site that it comes from."""
+    return quality.classify(read(spark, sf, "documents"), read(spark, sf, "labels"), keep=("source", "lang"))
