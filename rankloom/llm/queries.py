@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import bpe, neardup, quality, rules
+from rankloom.llm import bpe, neardup, packing, quality, rules
 from rankloom.llm.registry import QUERIES, SQL, query, read
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -80,3 +80,9 @@ def op4_dart_minhash(spark: SparkSession, sf: str) -> DataFrame:
 def op6_quality(spark: SparkSession, sf: str) -> DataFrame:
     """Every document's chance of being good, with the evidence and the rate of its site that it comes from."""
     return quality.classify(read(spark, sf, "documents"), read(spark, sf, "labels"), keep=("source", "lang"))
+
+
+@query("op5_pack")
+def op5_pack(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's pieces in sequences of 4096 ids that all hold the sources in the corpus's proportions."""
+    return packing.pack(read(spark, sf, "documents"), VOCABULARY)
