@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import bpe, neardup, packing, quality, rules
+from rankloom.llm import bpe, neardup, packing, pii, quality, rules
 from rankloom.llm.registry import QUERIES, SQL, query, read
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -86,3 +86,11 @@ def op6_quality(spark: SparkSession, sf: str) -> DataFrame:
 def op5_pack(spark: SparkSession, sf: str) -> DataFrame:
     """Every document's pieces in sequences of 4096 ids that all hold the sources in the corpus's proportions."""
     return packing.pack(read(spark, sf, "documents"), VOCABULARY)
+
+
+@query("op2_pii")
+def op2_pii(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's personal data, and the terms beside it that disclose it."""
+    found = pii.sanitise(read(spark, sf, "documents").select("doc_id", "text"), form=None, keep_texts="found")
+    counts = [F.get("_n", F.lit(i)).alias(f"n_{k}") for i, k in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(pii.spelled("_base"), 256).alias("base_sha256"), pii.spelled("_spans").alias("spans"))
