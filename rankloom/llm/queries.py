@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import bpe, neardup, packing, pii, quality, rules
+from rankloom.llm import bpe, html_text, neardup, packing, pii, quality, rules, topk
 from rankloom.llm.registry import QUERIES, SQL, query, read
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -94,3 +94,25 @@ def op2_pii(spark: SparkSession, sf: str) -> DataFrame:
     found = pii.sanitise(read(spark, sf, "documents").select("doc_id", "text"), form=None, keep_texts="found")
     counts = [F.get("_n", F.lit(i)).alias(f"n_{k}") for i, k in enumerate(pii.KINDS)]
     return found.select("doc_id", *counts, F.sha2(pii.spelled("_base"), 256).alias("base_sha256"), pii.spelled("_spans").alias("spans"))
+
+
+@query(
+    "op1_topk",
+    """
+WITH v AS (SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum([a * c.v[i] for a, i in q.v]) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, rank, vec_id, score FROM
+  (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s) WHERE rank <= 20""",
+)
+def op1_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """The 20 best other vectors of every vector whose id is divisible by 20."""
+    return topk.top_k(read(spark, sf, "embeddings"), F.col("_id") % 20 == 0)
+
+
+@query("op3_html_text")
+def op3_html_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Every page's main text."""
+    pages = html_text.extract(read(spark, sf, "pages").select("page_id", "url", "html"), drop=("html",))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
