@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import bpe, html_text, neardup, packing, pii, quality, rules, topk
+from rankloom.llm import bpe, html_text, licenses, neardup, packing, pii, quality, rules, topk, warc
 from rankloom.llm.registry import QUERIES, SQL, query, read
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -116,3 +116,38 @@ def op3_html_text(spark: SparkSession, sf: str) -> DataFrame:
     """Every page's main text."""
     pages = html_text.extract(read(spark, sf, "pages").select("page_id", "url", "html"), drop=("html",))
     return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def _duck(pattern: str) -> str:
+    return pattern.replace("'", "''")
+
+
+def _canonical_sql(unit: str) -> str:
+    bare = f"trim(regexp_replace(lower(regexp_replace({unit}, '{_duck(licenses.COPYRIGHT)}', '', 'g')), '{_duck(licenses.WORDLESS)}', ' ', 'g'))"
+    for pattern, to in licenses.EQUIVALENT:
+        bare = f"regexp_replace({bare}, '{_duck(pattern)}', '{to.replace('$', chr(92))}', 'g')"
+    return f"sha256({bare})"
+
+
+_KNOWN_ROWS = ", ".join(f"('{k}', '{_duck(t)}')" for k, t in licenses.KNOWN)
+
+
+@query(
+    "op9_licenses",
+    f"""
+WITH known AS (SELECT DISTINCT license, {_canonical_sql('unit')} AS digest FROM (VALUES {_KNOWN_ROWS}) AS t(license, unit)),
+lines AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS unit, unnest(l) AS u FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)),
+units AS (SELECT doc_id, 0 AS unit, text AS u FROM documents WHERE text IS NOT NULL UNION ALL SELECT * FROM lines),
+digests AS (SELECT doc_id, unit, {_canonical_sql('u')} AS digest FROM units)
+SELECT doc_id, CAST(unit AS BIGINT) AS unit, license, digest FROM digests JOIN known USING (digest)""",
+)
+def op9_licenses(spark: SparkSession, sf: str) -> DataFrame:
+    """Every whole text and every line that is a known licence or notice."""
+    return licenses.scan(read(spark, sf, "documents"))
+
+
+@query("op10_warc")
+def op10_warc(spark: SparkSession, sf: str) -> DataFrame:
+    """The metadata and conversion record of every page, with its record's digest in place of its bytes."""
+    made = warc.derive(warc.responses(read(spark, sf, "pages")))
+    return made.withColumn("record_sha256", warc.record_digest()).drop("record")
