@@ -5,8 +5,8 @@ on it at unit rate, the same for every text, and each names a coordinate. A text
 time at which every coordinate has been hit; the earliest dart of a coordinate is its signature entry. Two texts agree in an
 entry with the probability of their weighted Jaccard similarity, and the darts looked at depend on the signature's length.
 
-Copies share one node from the start. Nodes that agree in a band meet at hubs, not in pairs: every member is compared with the
-first of its bucket; what is like none of them goes into a next round with eight times as many hubs, until buckets are empty.
+Copies share one node from the start. Nodes that agree in a band meet at hubs, not in pairs: the members of a
+bucket are compared with a few of them, what is linked becomes one class, and only buckets of several classes go on to new hubs.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ from rankloom.session import cut, small
 SHINGLE, SIMILARITY = 5, 0.8
 #: At a similarity of 0.8 a pair shares none of 24 bands of 5 rows with a chance of 0.00007.
 BANDS, ROWS = 24, 5
+#: Nodes of a bucket that its other classes are compared with in a later round.
+HUBS = 8
 _STEP, _TURN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
 
@@ -154,28 +156,37 @@ def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return met.select("x", "y", (common / (F.size("_p") + F.size("_q") - common)).alias("similarity"))
 
 
-def links_in_buckets(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links (x, y) with x < y among the nodes that share a bucket; members: (key, node, n, prio), sets: by node."""
-    spark, hubs_each, found = members.sparkSession, 1, []
+def link_buckets(members: DataFrame, sets: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Links (x, y) with x < y that join the nodes of buckets into classes, and the classes (node, root).
+
+    members: (key, node, n, prio), sets: by node. In each round the hubs of a bucket meet its members of other classes; buckets of one
+    class are done. The first round has one hub, later ones HUBS new ones each, so that buckets of up to HUBS + 1 classes are
+    compared in full, and larger ones until a round joins nothing more. Rows grow with the members, not with pairs of them.
+    """
+    found: list[DataFrame] = []
+    members, turn, roots = members.withColumn("root", F.col("node")), 0, None
     while not members.isEmpty():
-        if hubs_each == 1:
-            first = F.min(F.struct("prio", "node", "n")).alias("f")
-            hubs = members.groupBy("key").agg(first).select("key", F.col("f.node").alias("hub"), F.col("f.n").alias("hub_n"))
-        else:
-            rank = F.row_number().over(Window.partitionBy("key").orderBy("prio", "node"))
-            hubs = members.withColumn("r", rank).where(F.col("r") <= hubs_each).select("key", F.col("node").alias("hub"), F.col("n").alias("hub_n"))
-        met = cut(members.join(hubs, "key").where("node != hub").select("key", "node", "hub", (F.least("n", "hub_n") >= similarity * F.greatest("n", "hub_n")).alias("near")))
-        pairs = met.where("near").select(F.least("node", "hub").alias("x"), F.greatest("node", "hub").alias("y")).distinct()
-        new = cut(compare(pairs, sets).where(F.col("similarity") >= similarity))
-        found.append(new.select("x", "y"))
-        linked = met.join(new, (F.least("node", "hub") == F.col("x")) & (F.greatest("node", "hub") == F.col("y"))).select("key", "node")
-        settled = linked.unionByName(hubs.select("key", F.col("hub").alias("node"))).distinct()
-        left = members.join(settled, ["key", "node"], "left_anti")
-        several = left.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-        members, hubs_each = cut(left.join(several, "key", "left_semi")), hubs_each * 8
+        turn += 1
+        rank = F.row_number().over(Window.partitionBy("key").orderBy("prio" if turn == 1 else F.xxhash64("node", F.lit(turn)), "node"))
+        named = [F.col(c).alias(f"hub_{c}" if c != "node" else "hub") for c in ("node", "n", "root")]
+        hubs = members.withColumn("r", rank).where(F.col("r") <= (1 if turn == 1 else HUBS)).select("key", *named)
+        near = F.least("n", "hub_n") >= similarity * F.greatest("n", "hub_n")
+        met = members.join(hubs, "key").where(near & (F.col("root") != F.col("hub_root")))
+        pairs = cut(met.select(F.least("node", "hub").alias("x"), F.greatest("node", "hub").alias("y")).distinct())
+        new = cut(compare(pairs, sets).where(F.col("similarity") >= similarity).select("x", "y"))
+        none = new.isEmpty()
+        if none and turn > 1:
+            break
+        if not none:
+            found.append(new)
+            roots = components(reduce(DataFrame.unionByName, found))
+            members = members.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            open_keys = members.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("key")
+            members = cut(members.join(open_keys, "key", "left_semi"))
     if not found:
-        return spark.createDataFrame([], "x long, y long")
-    return reduce(DataFrame.unionByName, found).distinct()
+        spark = sets.sparkSession
+        return spark.createDataFrame([], "x long, y long"), spark.createDataFrame([], "node long, root long")
+    return reduce(DataFrame.unionByName, found), roots
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -200,8 +211,9 @@ def components(links: DataFrame) -> DataFrame:
 def near_duplicates(table: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, width: int = SHINGLE) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Classes of a ``signed`` table: (nodes, links, classes).
 
-    nodes: (_a, _b, node, root, class_id, n_copies, n_links), one row per different text: texts of the same words, in any case and
-    spacing, are one node, named by their first row. links: (x, y) between nodes of at least ``similarity``. classes: (root, class_id).
+    nodes: (_a, _b, node, root, class_id, n_copies), one row per different text: texts of the same words, in any case and
+    spacing, are one node, named by their first row. links: (x, y) between nodes of at least ``similarity`` that
+    hold the classes together. classes: (root, class_id).
     Texts without words (null, empty, blank) are one node without links. class_id is the smallest id of a class; null if all are null.
     """
     alike = table.groupBy("_a", "_b").agg(F.min(F.struct("_row", "_n", "_bands")).alias("f"), F.min(id_col).alias("least_id"), F.count("*").alias("n_copies"))
@@ -212,21 +224,18 @@ def near_duplicates(table: DataFrame, id_col: str = "doc_id", text: str = "text"
     members = cut(banded.join(several, "key", "left_semi").select("key", "node", "n", prio.alias("prio")))
     wanted = members.select(F.col("node").alias("_row")).distinct()
     sets = cut(element_sets(table.select("_row", text).join(small(wanted), "_row", "left_semi"), text, width))
-    links = cut(links_in_buckets(members, sets, similarity))
-    roots = components(links)
-    ends = links.select(F.col("x").alias("node")).unionByName(links.select(F.col("y").alias("node")))
-    degree = ends.groupBy("node").agg(F.count("*").alias("n_links"))
-    placed = nodes.drop("bands", "n").join(roots, "node", "left").join(degree, "node", "left").fillna(0, ["n_links"])
+    links, roots = link_buckets(members, sets, similarity)
+    placed = nodes.drop("bands", "n").join(roots, "node", "left")
     placed = cut(placed.withColumn("root", F.coalesce("root", "node")))
     classes = placed.groupBy("root").agg(F.min("least_id").alias("class_id"))
     return placed.join(classes, "root").drop("least_id"), links, classes
 
 
 def with_classes(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``df``: its id, class_id, n_copies (rows of the same words) and n_links (different texts it is linked to)."""
+    """One row per row of ``df``: its id, class_id and n_copies, the rows of the same words."""
     table = signed(df.select(id_col, text), text)
     nodes, _, _ = near_duplicates(table, id_col, text)
-    return table.select(id_col, "_a", "_b").join(nodes, ["_a", "_b"]).select(id_col, "class_id", "n_copies", "n_links")
+    return table.select(id_col, "_a", "_b").join(nodes, ["_a", "_b"]).select(id_col, "class_id", "n_copies")
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:

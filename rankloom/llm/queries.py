@@ -72,7 +72,7 @@ def op8_rules(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("op4_dart_minhash")
 def op4_dart_minhash(spark: SparkSession, sf: str) -> DataFrame:
-    """Every document's class of copies and near copies, and how many other texts it is linked to."""
+    """Every document's class of copies and near copies, and how many rows have its very words."""
     return neardup.with_classes(read(spark, sf, "documents"))
 
 
