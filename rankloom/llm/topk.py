@@ -81,11 +81,12 @@ def _blocks(rows: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
     def build(part: pd.DataFrame) -> pd.DataFrame:
         dims = part["_v"].map(len)
         return pd.DataFrame({
-            name: [part[name].iloc[0]], "ids": [part["_id"].fillna(np.iinfo(np.int64).max).astype("int64").to_numpy()], "rows": [part["_row"].to_numpy()],
+            name: [part[name].iloc[0]], "ids": [part["_id"].to_numpy()], "rows": [part["_row"].to_numpy()],
             "dims": [dims.to_numpy()], "values": [np.concatenate(part["_v"].tolist()) if dims.sum() else np.zeros(0, np.int64)],
         })
 
-    dealt = rows.withColumn(name, F.pmod(F.xxhash64("_row"), F.lit(n)).cast("int"))
+    # a null id becomes the largest one, so that it comes last among ties
+    dealt = rows.withColumn("_id", F.coalesce("_id", F.lit(2**63 - 1))).withColumn(name, F.pmod(F.xxhash64("_row"), F.lit(n)).cast("int"))
     return cut(dealt.groupBy(name).applyInPandas(build, f"{name} int, ids array<long>, rows array<long>, dims array<int>, values array<long>")), n
 
 
