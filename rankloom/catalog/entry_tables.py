@@ -189,7 +189,7 @@ def _(spark, sf):
         || '- **Upstream:** `' || upstream_id || '`' || chr(10) || '- **Hash:** `' || norm_key || '`' || chr(10) || '- **Cached at:** `'
         || strftime(cached_at, '%Y-%m-%dT%H:%M:%S.%f') || '000Z`' || chr(10)
         || CASE WHEN extended_count > 0 THEN '- **TTL extensions:** ' || extended_count || chr(10) ELSE '' END || chr(10)
-        || '## Response' || chr(10) || chr(10) || '```json' || chr(10) || '{' || chr(10) || '  "took_ms": ' || took_ms || chr(10) || '}'
+        || '## Response' || chr(10) || chr(10) || '```json' || chr(10) || '{' || chr(10) || '  "key": ' || key || ',' || chr(10) || '  "took_ms": ' || took_ms || chr(10) || '}'
         || chr(10) || '```' || chr(10) AS body FROM entries WHERE age <= 86400""",
         "entries",
     ),
@@ -259,15 +259,18 @@ def _raw_responses(spark, sf, backend):
         F.when(lang == "fr", F.col("text")).alias("text"),
         F.when(~lang.isin("en", "fr"), F.col("text")).alias("body"),
     ]
+    # metadata of every JSON type
+    extra = ["lang", F.col("n_chars").alias("size"), (F.col("doc_id") % 2 == 0).alias("even"), F.struct(F.array("doc_id").alias("ids")).alias("ref")]
     if backend == "elasticsearch":
-        hit = F.struct(F.col("doc_id").cast("string").alias("_id"), score.alias("_score"),
-                       F.struct(*named, "lang").alias("_source"))
+        hit = F.struct(F.col("doc_id").cast("string").alias("_id"), score.alias("_score"), F.struct(*named, *extra).alias("_source"))
     elif backend == "meilisearch":
         hit = F.struct(F.when(lang != "de", F.col("doc_id")).alias("id"),
                        F.when(lang == "de", F.concat(F.lit("u"), F.col("doc_id").cast("string"))).alias("uid"),
-                       score.alias("_rankingScore"), *named, "lang")
+                       score.alias("_rankingScore"), *named, *extra)
+    elif backend == "milvus":
+        hit = F.struct(F.col("doc_id").alias("id"), (1 - score).alias("distance"), F.struct(*named, *extra, F.array(score).alias("vector")).alias("entity"))
     else:
-        hit = F.struct(F.col("doc_id").alias("id"), (1 - score).alias("distance"), *named, "lang")
+        hit = F.struct(F.col("doc_id").alias("id"), score.alias("score"), F.struct(*named, *extra).alias("payload"))
     per = d.groupBy("source").agg(
         F.array_sort(F.collect_list(F.struct("doc_id", hit.alias("h")))).alias("hs"), F.max(score).alias("top")
     )
@@ -275,19 +278,21 @@ def _raw_responses(spark, sf, backend):
     if backend == "elasticsearch":
         body = F.struct(F.struct(F.col("top").alias("max_score"), hits.alias("hits")).alias("hits"))
     else:
-        body = F.struct(hits.alias("hits" if backend == "meilisearch" else "data"))
+        body = F.struct(hits.alias({"meilisearch": "hits", "milvus": "data", "qdrant": "result"}[backend]))
     return per.select(F.col("source").alias("query_id"), F.to_json(body).alias("response"))
 
 
 PARSED = """SELECT source AS query_id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INTEGER) AS rank, {id} AS id,
-    {score} AS score, text AS content, {meta} AS metadata FROM (SELECT *, round(1 / (1 + n_chars / 1000), 6) AS s FROM documents)"""
+    {score} AS score, text AS content, '{{"even":' || (doc_id % 2 = 0)::VARCHAR || ',"lang":"' || lang || '","ref":{{"ids":[' || doc_id || ']}},"size":'
+    || n_chars || {uid} || '}}' AS metadata FROM (SELECT *, round(1 / (1 + n_chars / 1000), 6) AS s FROM documents)"""
 BACKENDS = {
-    "elasticsearch": ("doc_id::VARCHAR", "round(s / max(s) OVER (PARTITION BY source), 6)", "'{\"lang\":\"' || lang || '\"}'"),
+    "elasticsearch": ("doc_id::VARCHAR", "round(s / max(s) OVER (PARTITION BY source), 6)", "''"),
     "meilisearch": (
         "CASE WHEN lang = 'de' THEN 'u' || doc_id ELSE doc_id::VARCHAR END", "s",
-        "CASE WHEN lang = 'de' THEN '{\"lang\":\"de\",\"uid\":\"u' || doc_id || '\"}' ELSE '{\"lang\":\"' || lang || '\"}' END",
+        "CASE WHEN lang = 'de' THEN ',\"uid\":\"u' || doc_id || '\"' ELSE '' END",
     ),
-    "milvus": ("doc_id::VARCHAR", "s", "'{\"lang\":\"' || lang || '\"}'"),
+    "milvus": ("doc_id::VARCHAR", "s", "''"),
+    "qdrant": ("doc_id::VARCHAR", "s", "''"),
 }
 
 
@@ -296,4 +301,4 @@ def _parsed(backend):
 
 
 for backend, (i, s, m) in BACKENDS.items():
-    query(f"parse_{backend}", PARSED.format(id=i, score=s, meta=m))(_parsed(backend))
+    query(f"parse_{backend}", PARSED.format(id=i, score=s, uid=m))(_parsed(backend))

@@ -131,7 +131,7 @@ def cascade(
     cfg = cfg or CascadeConfig()
     pending, chosen, outcomes = queries, [], []
     if targeted:
-        pending, hits, outcome = _targeted(queries, legs)
+        pending, hits, outcome = _targeted(queries, legs, cfg.failed)
         chosen.append(hits)
         outcomes.append(outcome)
 
@@ -215,12 +215,14 @@ def cascade(
     )
 
 
-def _targeted(queries: DataFrame, legs: list[Leg]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Ask the leg that a query names; any hit settles the query, the others stay pending."""
+def _targeted(queries: DataFrame, legs: list[Leg], failed: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Ask the leg that a query names; any hit of a leg that did not fail settles the query, the others stay pending."""
     lists = []
     for leg in legs:
         named = queries.filter(F.col("upstream_id") == leg.upstream_id)
         found = leg.search(named).withColumn("upstream_id", F.lit(leg.upstream_id))
+        if failed is not None:
+            found = found.join(failed, ["query_id", "upstream_id"], "left_anti")
         lists.append(found.select("query_id", "rank", "id", "score", "upstream_id"))
     hits = cut(reduce(DataFrame.unionByName, lists))
     settled = hits.select("query_id", "upstream_id").distinct()

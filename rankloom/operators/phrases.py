@@ -21,7 +21,12 @@ TERM_STOP = (
 
 
 def suggest_phrases(texts: DataFrame, max_phrases: int = 8) -> DataFrame:
-    """Best scope phrases of (doc_id, text): frequent tokens, the more so if not in every text."""
+    """Best scope phrases of (doc_id, text): frequent tokens, the more so if not in every text.
+
+    ``max_phrases`` is 1 to 32.
+    """
+    if not 1 <= max_phrases <= 32:
+        raise ValueError("max_phrases must be 1 to 32")
     per_doc = (
         texts.select("doc_id", F.explode(tokens("text")).alias("phrase"))
         .filter((F.octet_length("phrase") >= 3) & ~F.col("phrase").isin(SUGGEST_STOP))
@@ -32,7 +37,7 @@ def suggest_phrases(texts: DataFrame, max_phrases: int = 8) -> DataFrame:
     n_docs = texts.agg(F.greatest(F.count("*"), F.lit(1)).alias("n")).scalar()
     idf = F.greatest(F.lit(0.0), F.log(n_docs / F.col("df"))) + 1
     scored = counts.select("phrase", "tf", "df", round6(F.col("tf") * idf).alias("score"), F.lit(1.0).alias("weight"))
-    return scored.orderBy(F.desc("score"), "phrase").limit(max(1, min(32, max_phrases)))
+    return scored.orderBy(F.desc("score"), "phrase").limit(max_phrases)
 
 
 def key_terms(docs: DataFrame, max_df: int = 2) -> DataFrame:

@@ -13,8 +13,9 @@ SHAPES = {
                       "drop": ("content", "text", "body")},
     "meilisearch": {"list": "$.hits", "id": ("id", "uid"), "score": "_rankingScore", "fields": None,
                     "drop": ("id", "content", "text", "body", "_rankingScore", "_formatted")},
-    "milvus": {"list": "$.data", "id": ("id",), "score": "distance", "fields": None,
-               "drop": ("content", "text", "body", "vector", "id", "distance")},
+    "milvus": {"list": "$.data", "id": ("id",), "score": "distance", "fields": "entity",
+               "drop": ("content", "text", "body", "vector", "id")},
+    "qdrant": {"list": "$.result", "id": ("id",), "score": "score", "fields": "payload", "drop": ("content", "text", "body")},
 }
 CONTENT_FIELDS = ("content", "text", "body")
 
@@ -22,25 +23,29 @@ CONTENT_FIELDS = ("content", "text", "body")
 def parse_hits(raw: DataFrame, backend: str) -> DataFrame:
     """(query_id, rank, id, score, content, metadata) from (query_id, response) JSON rows.
 
-    The content is the first of the known fields, ids may be text or numbers, and all other fields are metadata.
+    The content is the first of the known text fields (of a hit itself before those of its entity), ids may be text or numbers, and all
+    other fields are metadata: a JSON object in which numbers, booleans and nested values keep their types. A hit without fields has none.
     """
     shape = SHAPES[backend]
-    hits = F.from_json(F.get_json_object("response", shape["list"]), "array<map<string,string>>")
+    hits = F.try_variant_get(F.try_parse_json("response"), shape["list"], "array<variant>")
     rows = raw.select("query_id", "response", F.posexplode(hits).alias("pos", "hit"))
     hit = F.col("hit")
-    fields = F.from_json(hit[shape["fields"]], "map<string,string>") if shape["fields"] else hit
-    rows = rows.withColumn("fields", fields)
-    content = F.coalesce(*[F.try_element_at("fields", F.lit(f)) for f in CONTENT_FIELDS], F.lit(""))
-    found_id = F.coalesce(*[F.try_element_at(hit, F.lit(f)) for f in shape["id"]], F.lit("unknown" if backend == "milvus" else ""))
-    kept = F.map_filter("fields", lambda k, v: ~k.isin(*shape["drop"]))
-    score = F.try_element_at(hit, F.lit(shape["score"])).cast("double")
+
+    def part(source: Column, field: str, kind: str = "string") -> Column:
+        return F.try_variant_get(source, f"$.{field}", kind)
+
+    rows = rows.withColumn("fields", part(hit, shape["fields"], "variant") if shape["fields"] else hit)
+    places = [(hit, "content")] if backend == "milvus" else []
+    content = F.coalesce(*[part(v, f) for v, f in [*places, *((F.col("fields"), f) for f in CONTENT_FIELDS)]], F.lit(""))
+    found_id = F.coalesce(*[part(hit, f) for f in shape["id"]], F.lit("unknown" if backend == "milvus" else ""))
+    kept = F.map_filter(F.try_variant_get("fields", "$", "map<string,variant>"), lambda k, v: ~k.isin(*shape["drop"]))
     parsed = rows.select(
         "query_id",
         (F.col("pos") + 1).alias("rank"),
         found_id.alias("id"),
-        _normal_score(backend, score).alias("score"),
+        _normal_score(backend, part(hit, shape["score"], "double")).alias("score"),
         content.alias("content"),
-        F.to_json(F.map_from_entries(F.array_sort(F.map_entries(kept)))).alias("metadata"),
+        F.to_json(F.map_from_entries(F.array_sort(F.map_entries(kept), lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)))).alias("metadata"),
     )
     return parsed.filter((F.col("content") != "") | (F.col("id") != "")) if backend == "meilisearch" else parsed
 
@@ -51,4 +56,6 @@ def _normal_score(backend: str, score: Column) -> Column:
         return round6(by_max_score(F.coalesce(score, F.lit(0.0)), top))
     if backend == "milvus":
         return round6(clamp01(1 - F.coalesce(score, F.lit(0.0))))
+    if backend == "qdrant":
+        return round6(score)
     return round6(clamp01(F.coalesce(score, F.lit(0.0))))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rankloom.functions.text import slugify
 from rankloom.functions.ttl import MAX_FROZEN_SECONDS, jittered_ttl
@@ -67,20 +71,23 @@ def entry_markdown(pretty: Column, raw: Column) -> Column:
     )
 
 
-# The fields of a stored response.
-RESPONSE_SCHEMA = (
-    "results array<struct<id:string,score:double,content:string,metadata:map<string,string>,upstream_id:string>>, "
-    "cache_status string, took_ms bigint, generated_at bigint, miss_reason string"
-)
+def _indented(response: pd.Series) -> pd.Series:
+    def one(text):
+        try:
+            return json.dumps(json.loads(text, parse_constant=_refuse), indent=2, sort_keys=True, ensure_ascii=False)
+        except (TypeError, ValueError):
+            return None
+
+    return response.map(one)
+
+
+def _refuse(name):
+    raise ValueError(f"{name} is not JSON")
 
 
 def pretty_response(response: Column) -> Column:
-    """Indented form of a stored response; null when it does not parse."""
-    parsed = F.from_json(response, RESPONSE_SCHEMA)
-    text = F.to_json(parsed, {"pretty": "true"})
-    text = F.regexp_replace(text, r'(?m)^( *"(?:[^"\\]|\\.)*") : ', "$1: ")
-    text = F.regexp_replace(text, r"(?m): \[ \](,?)$", ": []$1")
-    return F.when(F.try_parse_json(response).isNotNull() & parsed.isNotNull(), text)
+    """Indented form of a stored response with every field it has, names sorted; null when it does not parse."""
+    return F.pandas_udf(_indented, T.StringType())(response)
 
 
 def distill_documents(entries: DataFrame) -> DataFrame:
