@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -51,6 +52,13 @@ def extend(
     return df.mapInArrow(run, schema)
 
 
+def least_hashed(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """At most ``rows`` rows: one for each of the smallest hashes of ``key``. Only hashes are sorted, and only their edge reaches the driver."""
+    hashed = df.withColumn("_hash", F.xxhash64(key))
+    edge = hashed.select("_hash").distinct().orderBy("_hash").limit(rows).agg(F.max("_hash")).first()[0]
+    return hashed.where(F.col("_hash") <= F.lit(edge)).dropDuplicates(["_hash"]).drop("_hash")
+
+
 def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts in a row, and where each text begins and ends; a null text is empty."""
     texts = pc.fill_null(texts, "")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rankloom.llm.arrowtext import extend
+from rankloom.llm.arrowtext import extend, least_hashed
 
 #: Labelled pages that weights are learned from, those of the smallest hash.
 LABELLED = 2000
@@ -151,7 +151,7 @@ def main_text(page: str, weights: Weights) -> str:
 def train(pages: DataFrame, html_col: str = "html", rows: int = LABELLED) -> Weights:
     """Weights from at most ``rows`` pages with a closed article element."""
     marked = pages.select(F.col(html_col).alias("h")).where(F.col("h").rlike("(?is)<article\\b.*</article\\s*>"))
-    return learn([r.h for r in marked.orderBy(F.xxhash64("h"), "h").limit(rows).collect()])
+    return learn(sorted(r.h for r in least_hashed(marked, "h", rows).collect()))
 
 
 def extract(pages: DataFrame, html_col: str = "html", out: str = "text", weights: Weights | None = None, drop: tuple[str, ...] = ()) -> DataFrame:
