@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rankloom.llm.arrowtext import SPACES, extend, raw, span_hashes, words
+from rankloom.llm.arrowtext import SPACES, extend, least_hashed, raw, span_hashes, words
 from rankloom.llm.neardup import counted, shingles
 from rankloom.session import cut, small
 
@@ -86,7 +86,7 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> M
 def train(table: DataFrame, labels: DataFrame, id_col: str, label: str, rows: int = LABELLED) -> Model:
     """Fit on at most ``rows`` labelled rows of a table with ``_features``; labels other than 0 and 1 are left out."""
     known = labels.where(F.col(label).isin(0, 1)).groupBy(id_col).agg(F.max(label).alias("_y"))
-    sample = table.join(known, id_col).orderBy(F.xxhash64(id_col), id_col).limit(rows).select("_features", "_y").toPandas()
+    sample = least_hashed(table.select(id_col, "_features").join(known, id_col), id_col, rows).orderBy(id_col).select("_features", "_y").toPandas()
     x = np.array(sample["_features"].tolist(), float).reshape(len(sample), len(FEATURES))
     return fit(x, sample["_y"].to_numpy(float))
 
