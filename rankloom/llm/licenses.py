@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankloom.session import once
+
 COPYRIGHT = r"(?im)^[^\p{L}\n]*(copyright[ \t]*(\(c\)|©|[0-9]|<|\[)|\(c\)[ \t]*[0-9<\[]|©|all rights reserved).*$"
 WORDLESS = r"[^\p{L}\p{N}]+"
 
@@ -78,8 +80,9 @@ def bare(unit: Column) -> Column:
 
 
 def canonical(words: Column) -> Column:
-    """Equivalent spellings of a bare text made one."""
-    return reduce(lambda c, e: F.regexp_replace(c, *e), EQUIVALENT, words)
+    """Equivalent spellings of a bare text made one. One look tells most texts, which have none of them, from the others."""
+    made = reduce(lambda c, e: F.regexp_replace(c, *e), EQUIVALENT, words)
+    return F.when(words.rlike("|".join(p for p, _ in EQUIVALENT)), made).otherwise(words)
 
 
 def known_digests(spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
@@ -96,5 +99,8 @@ def scan(df: DataFrame, id_col: str = "doc_id", text: str = "text", known: tuple
     """
     units = F.concat(F.array(F.col(text)), F.when(F.instr(F.col(text), "\n") > 0, F.split(F.col(text), "\n")).otherwise(F.array(F.col(text))))
     rows = df.where(F.col(text).isNotNull()).select(F.col(id_col), F.posexplode(units).alias("unit", "_u"))
-    digests = rows.select(id_col, "unit", F.sha2(canonical(bare(F.col("_u"))), 256).alias("digest"))
+    # No spelling loses half of a text: one of twice the length of every known licence is none, and skips the spellings.
+    longest = 2 * max(len(t) for _, t in known)
+    words = once(rows, _bare=bare(F.col("_u"))).where(F.length("_bare") <= longest)
+    digests = words.select(id_col, "unit", F.sha2(canonical(F.col("_bare")), 256).alias("digest"))
     return digests.join(F.broadcast(known_digests(df.sparkSession, known)), "digest").select(id_col, F.col("unit").cast("long").alias("unit"), "license", "digest")
