@@ -13,8 +13,12 @@ from pyspark.sql import functions as F
 
 from rankloom.session import once
 
+# A text without any of these has no copyright line.
+_MARKS = ("copyright", "(c)", "©", "all rights reserved")
 COPYRIGHT = r"(?im)^[^\p{L}\n]*(copyright[ \t]*(\(c\)|©|[0-9]|<|\[)|\(c\)[ \t]*[0-9<\[]|©|all rights reserved).*$"
 WORDLESS = r"[^\p{L}\p{N}]+"
+# The same within a line; a space that already stands alone is left, for speed.
+_WORDLESS_IN_LINE = r"[^\p{L}\p{N}\n ][^\p{L}\p{N}\n]*| [^\p{L}\p{N}\n]+"
 
 # Spellings that count as the same, after case and punctuation are gone (a pattern and what stands for it).
 EQUIVALENT = (
@@ -74,9 +78,16 @@ KNOWN = (
 )
 
 
-def bare(unit: Column) -> Column:
-    """Lower-case words one space apart, without copyright lines and punctuation."""
-    return F.btrim(F.regexp_replace(F.lower(F.regexp_replace(unit, COPYRIGHT, "")), WORDLESS, " "))
+def bare(lower: Column) -> Column:
+    """The words of every line of a lower-case text one space apart, without copyright lines and punctuation; lines stay lines."""
+    marked = reduce(lambda c, m: c | F.contains(lower, F.lit(m)), _MARKS[1:], F.contains(lower, F.lit(_MARKS[0])))
+    own = F.when(marked, F.regexp_replace(lower, COPYRIGHT, "")).otherwise(lower)
+    return F.regexp_replace(own, _WORDLESS_IN_LINE, " ")
+
+
+def one_line(words: Column) -> Column:
+    """A bare text of many lines as one."""
+    return F.btrim(F.regexp_replace(words, r" ?\n[ \n]*", " "))
 
 
 def canonical(words: Column) -> Column:
@@ -86,9 +97,10 @@ def canonical(words: Column) -> Column:
 
 
 def known_digests(spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
-    """(license, digest) of a list of licence texts; two licences of one normal form are an error of the list."""
+    """(license, digest, start: the first three letters) of a list of licence texts; two licences of one normal form are an error of the list."""
     table = spark.createDataFrame(list(known), "license string, unit string")
-    return table.select("license", F.sha2(canonical(bare(F.col("unit"))), 256).alias("digest")).distinct()
+    made = canonical(one_line(bare(F.lower("unit"))))
+    return table.select("license", F.sha2(made, 256).alias("digest"), F.left(made, F.lit(3)).alias("start")).distinct()
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text: str = "text", known: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
@@ -97,10 +109,14 @@ def scan(df: DataFrame, id_col: str = "doc_id", text: str = "text", known: tuple
     Null and empty texts and lines without words are none. Repeated rows give repeated results. The list of known licences is
     part of the program, its digests are broadcast.
     """
-    units = F.concat(F.array(F.col(text)), F.when(F.instr(F.col(text), "\n") > 0, F.split(F.col(text), "\n")).otherwise(F.array(F.col(text))))
-    rows = df.where(F.col(text).isNotNull()).select(F.col(id_col), F.posexplode(units).alias("unit", "_u"))
-    # No spelling loses half of a text: one of twice the length of every known licence is none, and skips the spellings.
-    longest = 2 * max(len(t) for _, t in known)
-    words = once(rows, _bare=bare(F.col("_u"))).where(F.length("_bare") <= longest)
-    digests = words.select(id_col, "unit", F.sha2(canonical(F.col("_bare")), 256).alias("digest"))
-    return digests.join(F.broadcast(known_digests(df.sparkSession, known)), "digest").select(id_col, F.col("unit").cast("long").alias("unit"), "license", "digest")
+    low = once(df.where(F.col(text).isNotNull()).select(id_col, text), _low=F.lower(F.col(text))).select(id_col, "_low")
+    bared = once(low, _bare=bare(F.col("_low"))).select(id_col, "_bare")
+    units = F.concat(F.array(one_line(F.col("_bare"))), F.split("_bare", "\n"))
+    words = bared.select(id_col, F.posexplode(units).alias("unit", "_u")).withColumn("_words", F.btrim("_u"))
+    # No spelling loses half of a text or changes its first three letters: what is twice as long as every known licence, or starts
+    # unlike all of them, is none, and skips spellings and digest.
+    words = words.where(F.length("_words").between(1, 2 * max(len(t) for _, t in known)))
+    listed = known_digests(df.sparkSession, known)
+    words = words.join(F.broadcast(listed.select("start").distinct()), F.left("_words", F.lit(3)) == F.col("start"), "left_semi")
+    digests = words.select(id_col, "unit", F.sha2(canonical(F.col("_words")), 256).alias("digest"))
+    return digests.join(F.broadcast(listed.drop("start")), "digest").select(id_col, F.col("unit").cast("long").alias("unit"), "license", "digest")
