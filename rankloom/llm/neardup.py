@@ -7,6 +7,7 @@ entry with the probability of their weighted Jaccard similarity, and the darts l
 
 Copies share one node from the start. Nodes that agree in a band meet at hubs, not in pairs: the members of a
 bucket are compared with a few of them, what is linked becomes one class, and only buckets of several classes go on to new hubs.
+Four bits of every signature entry travel with the members, so that the join itself turns away what cannot be similar enough.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -27,8 +28,10 @@ from rankloom.session import cut, small
 SHINGLE, SIMILARITY = 5, 0.8
 #: At a similarity of 0.8 a pair shares none of 24 bands of 5 rows with a chance of 0.00007.
 BANDS, ROWS = 24, 5
-#: Nodes of a bucket that its other classes are compared with in a later round.
-HUBS = 8
+#: Nodes of a bucket that its other classes are compared with in the first and in every later round.
+HUBS = (1, 8)
+#: The chance with which four bits of every entry turn away a pair of just enough similarity.
+ASTRAY = 1e-6
 _STEP, _TURN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
 
@@ -114,20 +117,48 @@ def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key
 
 
+def sketches(signatures: np.ndarray) -> np.ndarray:
+    """Four bits of every entry, sixteen entries a word."""
+    k = signatures.shape[1]
+    bits = np.zeros((len(signatures), -(-k // 16) * 16), np.uint64)
+    bits[:, :k] = signatures & np.uint64(15)
+    return (bits.reshape(len(signatures), -1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(2, dtype=np.uint64)
+
+
+def differing(a: Column, b: Column, k: int) -> Column:
+    """How many of ``k`` entries differ in the four bits that two sketches hold of them."""
+
+    def word(i: int) -> Column:
+        x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
+        any_bit = reduce(lambda c, n: c.bitwiseOR(F.shiftrightunsigned(x, n)), (1, 2, 3), x)
+        return F.bit_count(any_bit.bitwiseAND(F.lit(0x1111111111111111)))
+
+    return reduce(lambda c, i: c + word(i), range(1, -(-k // 16)), word(0))
+
+
+def most_differing(similarity: float, k: int) -> int:
+    """The entries that may differ in a sketch: a pair of this similarity has more of them with a chance below ASTRAY."""
+    p = (1 - similarity) * 15 / 16
+    chances = [math.comb(k, i) * p**i * (1 - p) ** (k - i) for i in range(k + 1)]
+    return next((n for n in range(k) if sum(chances[n + 1 :]) < ASTRAY), k)
+
+
 def _lists(values: np.ndarray, sizes: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(values, kind))
 
 
 def signed(df: DataFrame, text: str = "text", bands: int = BANDS, rows: int = ROWS, width: int = SHINGLE) -> DataFrame:
-    """The rows of ``df`` with _row, digests _a and _b, the number of shingles _n and the band keys _bands, written once."""
+    """The rows of ``df`` with _row, digests _a and _b, the number of shingles _n, the band keys _bands and the sketch _sketch, written once."""
 
     def make(texts: pa.Array) -> list:
         values, docs, first, second = shingles(texts, width)
         n = np.bincount(docs, minlength=len(texts))
-        keys = band_keys(darts(*counted(values, docs), len(texts), bands * rows), bands, rows)[n > 0]
-        return [pa.array(first.view(np.int64)), pa.array(second.view(np.int64)), pa.array(n), _lists(keys.ravel().view(np.int64), np.where(n > 0, bands, 0), pa.int64())]
+        signatures = darts(*counted(values, docs), len(texts), bands * rows)[n > 0]
+        lists = [_lists(x.ravel().view(np.int64), np.where(n > 0, x.shape[1], 0), pa.int64()) for x in (band_keys(signatures, bands, rows), sketches(signatures))]
+        return [pa.array(first.view(np.int64)), pa.array(second.view(np.int64)), pa.array(n), *lists]
 
-    fields = T.StructType([T.StructField("_a", T.LongType()), T.StructField("_b", T.LongType()), T.StructField("_n", T.LongType()), T.StructField("_bands", T.ArrayType(T.LongType()))])
+    longs = T.ArrayType(T.LongType())
+    fields = T.StructType([T.StructField(c, t) for c, t in (("_a", T.LongType()), ("_b", T.LongType()), ("_n", T.LongType()), ("_bands", longs), ("_sketch", longs))])
     own = df.select([F.col(f"`{c}`") for c in df.columns if c.lower() not in {"_row", "_low"}]).withColumn("_low", F.lower(F.col(text)))
     return cut(extend(own, "_low", fields, make, drop=("_low",)).withColumn("_row", F.monotonically_increasing_id()))
 
@@ -156,22 +187,23 @@ def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return met.select("x", "y", (common / (F.size("_p") + F.size("_q") - common)).alias("similarity"))
 
 
-def link_buckets(members: DataFrame, sets: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+def link_buckets(members: DataFrame, sets: DataFrame, similarity: float, entries: int = BANDS * ROWS) -> tuple[DataFrame, DataFrame]:
     """Links (x, y) with x < y that join the nodes of buckets into classes, and the classes (node, root).
 
-    members: (key, node, n, prio), sets: by node. In each round the hubs of a bucket meet its members of other classes; buckets of one
-    class are done. The first round has one hub, later ones HUBS new ones each, so that buckets of up to HUBS + 1 classes are
-    compared in full, and larger ones until a round joins nothing more. Rows grow with the members, not with pairs of them.
+    members: (key, node, n, prio, sketch), sets: by node. In each round the hubs of a bucket meet its members of other classes; buckets
+    of one class are done. Rounds have HUBS new hubs, so that buckets of up to 9 classes are compared in full, and larger
+    ones until a later round joins nothing more. Rows grow with the members, not with pairs of them.
     """
     found: list[DataFrame] = []
     members, turn, roots = members.withColumn("root", F.col("node")), 0, None
     while not members.isEmpty():
         turn += 1
         rank = F.row_number().over(Window.partitionBy("key").orderBy("prio" if turn == 1 else F.xxhash64("node", F.lit(turn)), "node"))
-        named = [F.col(c).alias(f"hub_{c}" if c != "node" else "hub") for c in ("node", "n", "root")]
-        hubs = members.withColumn("r", rank).where(F.col("r") <= (1 if turn == 1 else HUBS)).select("key", *named)
+        named = [F.col(c).alias(f"hub_{c}" if c != "node" else "hub") for c in ("node", "n", "root", "sketch")]
+        hubs = members.withColumn("r", rank).where(F.col("r") <= HUBS[min(turn, len(HUBS)) - 1]).select("key", *named)
         near = F.least("n", "hub_n") >= similarity * F.greatest("n", "hub_n")
-        met = members.join(hubs, "key").where(near & (F.col("root") != F.col("hub_root")))
+        alike = differing(F.col("sketch"), F.col("hub_sketch"), entries) <= most_differing(similarity, entries)
+        met = members.join(hubs, "key").where(near & (F.col("root") != F.col("hub_root")) & alike)
         pairs = cut(met.select(F.least("node", "hub").alias("x"), F.greatest("node", "hub").alias("y")).distinct())
         new = cut(compare(pairs, sets).where(F.col("similarity") >= similarity).select("x", "y"))
         none = new.isEmpty()
@@ -208,24 +240,24 @@ def components(links: DataFrame) -> DataFrame:
         before = state
 
 
-def near_duplicates(table: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, width: int = SHINGLE) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Classes of a ``signed`` table: (nodes, links, classes).
+def near_duplicates(table: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, width: int = SHINGLE, entries: int = BANDS * ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Classes of a ``signed`` table of ``entries`` signature entries (its bands times rows): (nodes, links, classes).
 
     nodes: (_a, _b, node, root, class_id, n_copies), one row per different text: texts of the same words, in any case and
     spacing, are one node, named by their first row. links: (x, y) between nodes of at least ``similarity`` that
     hold the classes together. classes: (root, class_id).
     Texts without words (null, empty, blank) are one node without links. class_id is the smallest id of a class; null if all are null.
     """
-    alike = table.groupBy("_a", "_b").agg(F.min(F.struct("_row", "_n", "_bands")).alias("f"), F.min(id_col).alias("least_id"), F.count("*").alias("n_copies"))
-    nodes = cut(alike.select("_a", "_b", F.col("f._row").alias("node"), F.col("f._n").alias("n"), F.col("f._bands").alias("bands"), "least_id", "n_copies"))
-    banded = nodes.select("node", "n", F.posexplode("bands").alias("band", "key"))
+    alike = table.groupBy("_a", "_b").agg(F.min(F.struct("_row", "_n", "_bands", "_sketch")).alias("f"), F.min(id_col).alias("least_id"), F.count("*").alias("n_copies"))
+    nodes = cut(alike.select("_a", "_b", F.col("f._row").alias("node"), F.col("f._n").alias("n"), F.col("f._bands").alias("bands"), F.col("f._sketch").alias("sketch"), "least_id", "n_copies"))
+    banded = nodes.select("node", "n", "sketch", F.posexplode("bands").alias("band", "key"))
     several = banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     prio = F.when(F.col("band") % 2 == 0, F.col("node")).otherwise(F.xxhash64("node"))
-    members = cut(banded.join(several, "key", "left_semi").select("key", "node", "n", prio.alias("prio")))
+    members = cut(banded.join(several, "key", "left_semi").select("key", "node", "n", prio.alias("prio"), "sketch"))
     wanted = members.select(F.col("node").alias("_row")).distinct()
     sets = cut(element_sets(table.select("_row", text).join(small(wanted), "_row", "left_semi"), text, width))
-    links, roots = link_buckets(members, sets, similarity)
-    placed = nodes.drop("bands", "n").join(roots, "node", "left")
+    links, roots = link_buckets(members, sets, similarity, entries)
+    placed = nodes.drop("bands", "sketch", "n").join(roots, "node", "left")
     placed = cut(placed.withColumn("root", F.coalesce("root", "node")))
     classes = placed.groupBy("root").agg(F.min("least_id").alias("class_id"))
     return placed.join(classes, "root").drop("least_id"), links, classes
