@@ -7,7 +7,8 @@ entry with the probability of their weighted Jaccard similarity, and the darts l
 
 Copies share one node from the start. Nodes that agree in a band meet at hubs, not in pairs: the members of a
 bucket are compared with a few of them, what is linked becomes one class, and only buckets of several classes go on to new hubs.
-Four bits of every signature entry travel with the members, so that the join itself turns away what cannot be similar enough.
+Four bits of every signature entry travel with the members, so that the join itself turns away what cannot be similar enough;
+32 bits of every band key do too, so that a member and a hub that share several buckets meet in the first of them only.
 """
 
 from __future__ import annotations
@@ -190,20 +191,26 @@ def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def link_buckets(members: DataFrame, sets: DataFrame, similarity: float, entries: int = BANDS * ROWS) -> tuple[DataFrame, DataFrame]:
     """Links (x, y) with x < y that join the nodes of buckets into classes, and the classes (node, root).
 
-    members: (key, node, n, prio, sketch), sets: by node. In each round the hubs of a bucket meet its members of other classes; buckets
-    of one class are done. Rounds have HUBS new hubs, so that buckets of up to 9 classes are compared in full, and larger
+    members: (key, band, node, n, prio, sketch, marks), sets: by node. The members of a bucket are ranked once, and each round takes
+    the next HUBS of them as hubs, which meet the members of other classes ranked below them. So two members meet once in a bucket.
+    Buckets of one class, or whose members have all been hubs, are done: those of up to 9 members are compared in full, larger
     ones until a later round joins nothing more. Rows grow with the members, not with pairs of them.
     """
     found: list[DataFrame] = []
-    members, turn, roots = members.withColumn("root", F.col("node")), 0, None
+    rank = F.row_number().over(Window.partitionBy("key").orderBy("prio", "node"))
+    members = cut(members.withColumn("r", rank).drop("prio").withColumn("root", F.col("node")))
+    turn, last, roots = 0, 0, None
     while not members.isEmpty():
         turn += 1
-        rank = F.row_number().over(Window.partitionBy("key").orderBy("prio" if turn == 1 else F.xxhash64("node", F.lit(turn)), "node"))
-        named = [F.col(c).alias(f"hub_{c}" if c != "node" else "hub") for c in ("node", "n", "root", "sketch")]
-        hubs = members.withColumn("r", rank).where(F.col("r") <= HUBS[min(turn, len(HUBS)) - 1]).select("key", *named)
+        first, last = last + 1, last + HUBS[min(turn, len(HUBS)) - 1]
+        named = [F.col(c).alias(f"hub_{c}" if c != "node" else "hub") for c in ("node", "n", "root", "sketch", "marks", "r")]
+        # of one node at most as many rows as bands
+        hub_bands = F.collect_list("band").over(Window.partitionBy("node")).alias("hub_bands")
+        hubs = members.where(F.col("r").between(first, last)).select("key", *named, hub_bands)
         near = F.least("n", "hub_n") >= similarity * F.greatest("n", "hub_n")
         alike = differing(F.col("sketch"), F.col("hub_sketch"), entries) <= most_differing(similarity, entries)
-        met = members.join(hubs, "key").where(near & (F.col("root") != F.col("hub_root")) & alike)
+        met_before = F.exists("hub_bands", lambda b: (b < F.col("band")) & (F.get("marks", b) == F.get("hub_marks", b)))
+        met = members.join(hubs, "key").where((F.col("r") > F.col("hub_r")) & (F.col("root") != F.col("hub_root")) & near & alike & ~met_before)
         pairs = cut(met.select(F.least("node", "hub").alias("x"), F.greatest("node", "hub").alias("y")).distinct())
         new = cut(compare(pairs, sets).where(F.col("similarity") >= similarity).select("x", "y"))
         none = new.isEmpty()
@@ -213,8 +220,9 @@ def link_buckets(members: DataFrame, sets: DataFrame, similarity: float, entries
             found.append(new)
             roots = components(reduce(DataFrame.unionByName, found))
             members = members.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            open_keys = members.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("key")
-            members = cut(members.join(open_keys, "key", "left_semi"))
+        ends = members.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.max("r").alias("c"))
+        open_keys = ends.where((F.col("a") != F.col("b")) & (F.col("c") > last + 1)).select("key")
+        members = cut(members.join(open_keys, "key", "left_semi"))
     if not found:
         spark = sets.sparkSession
         return spark.createDataFrame([], "x long, y long"), spark.createDataFrame([], "node long, root long")
@@ -250,10 +258,11 @@ def near_duplicates(table: DataFrame, id_col: str = "doc_id", text: str = "text"
     """
     alike = table.groupBy("_a", "_b").agg(F.min(F.struct("_row", "_n", "_bands", "_sketch")).alias("f"), F.min(id_col).alias("least_id"), F.count("*").alias("n_copies"))
     nodes = cut(alike.select("_a", "_b", F.col("f._row").alias("node"), F.col("f._n").alias("n"), F.col("f._bands").alias("bands"), F.col("f._sketch").alias("sketch"), "least_id", "n_copies"))
-    banded = nodes.select("node", "n", "sketch", F.posexplode("bands").alias("band", "key"))
+    marks = F.transform("bands", lambda key: F.hash(key)).alias("marks")
+    banded = nodes.select("node", "n", "sketch", marks, F.posexplode("bands").alias("band", "key"))
     several = banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     prio = F.when(F.col("band") % 2 == 0, F.col("node")).otherwise(F.xxhash64("node"))
-    members = cut(banded.join(several, "key", "left_semi").select("key", "node", "n", prio.alias("prio"), "sketch"))
+    members = cut(banded.join(several, "key", "left_semi").select("key", "band", "node", "n", prio.alias("prio"), "sketch", "marks"))
     wanted = members.select(F.col("node").alias("_row")).distinct()
     sets = cut(element_sets(table.select("_row", text).join(small(wanted), "_row", "left_semi"), text, width))
     links, roots = link_buckets(members, sets, similarity, entries)
