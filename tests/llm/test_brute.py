@@ -44,6 +44,16 @@ def test_near_duplicate_classes(spark):
     assert got == {i: top(i) for i in sets}
 
 
+def test_buckets_of_nine_members_are_compared_in_full(spark):
+    """Four pairs and one single node in two shared buckets: every link is found, whatever the order of the hubs."""
+    band = "key long, band int, node long, n long, prio long, sketch array<long>, marks array<int>"
+    members = [(key, key, node, 10, node * 7919 % 11, [0] * 8, [1, 2]) for key in (0, 1) for node in range(9)]
+    sets = [(node, [node // 2 * 100 + i for i in range(10)]) for node in range(9)]
+    links, roots = neardup.link_buckets(spark.createDataFrame(members, band), spark.createDataFrame(sets, "node long, s array<int>"), 0.8)
+    assert sorted(map(tuple, links.collect())) == [(0, 1), (2, 3), (4, 5), (6, 7)]
+    assert {r.root for r in roots.collect()} == {0, 2, 4, 6}
+
+
 def test_darts_estimate_weighted_similarity():
     rng = np.random.default_rng(1)
     a, b = rng.integers(1, 9, 300), rng.integers(1, 9, 300)
