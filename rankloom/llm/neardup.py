@@ -7,6 +7,8 @@ entry with the probability of their weighted Jaccard similarity, and the darts l
 
 Copies share one node from the start. Nodes that agree in a band meet at hubs, not in pairs: the members of a
 bucket are compared with a few of them, what is linked becomes one class, and only buckets of several classes go on to new hubs.
+When a round of hubs joins nothing more, the members of buckets that are still open meet by their rarest elements, of which two
+similar sets must share one, so no link of a bucket is lost to the number of its members.
 Four bits of every signature entry travel with the members, so that the join itself turns away what cannot be similar enough;
 32 bits of every band key do too, so that a member and a hub that share several buckets meet in the first of them only.
 """
@@ -33,6 +35,8 @@ BANDS, ROWS = 24, 5
 HUBS = (1, 8)
 #: The chance with which four bits of every entry turn away a pair of just enough similarity.
 ASTRAY = 1e-6
+#: Earlier elements that a place of a prefix carries, so that a pair of sets is made once.
+BEFORE = 32
 _STEP, _TURN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
 
@@ -188,37 +192,73 @@ def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return met.select("x", "y", (common / (F.size("_p") + F.size("_q") - common)).alias("similarity"))
 
 
+def hub_pairs(members: DataFrame, first: int, last: int, similarity: float, entries: int) -> DataFrame:
+    """(x, y) with x < y: the members ranked ``first`` to ``last`` of every bucket and those of other classes ranked below them."""
+    named = [F.col(c).alias(f"hub_{c}" if c != "node" else "hub") for c in ("node", "n", "root", "sketch", "marks", "r")]
+    # of one node at most as many rows as bands
+    hub_bands = F.collect_list("band").over(Window.partitionBy("node")).alias("hub_bands")
+    hubs = members.where(F.col("r").between(first, last)).select("key", *named, hub_bands)
+    near = F.least("n", "hub_n") >= similarity * F.greatest("n", "hub_n")
+    alike = differing(F.col("sketch"), F.col("hub_sketch"), entries) <= most_differing(similarity, entries)
+    met_before = F.exists("hub_bands", lambda b: (b < F.col("band")) & (F.get("marks", b) == F.get("hub_marks", b)))
+    met = members.join(hubs, "key").where((F.col("r") > F.col("hub_r")) & (F.col("root") != F.col("hub_root")) & near & alike & ~met_before)
+    return met.select(F.least("node", "hub").alias("x"), F.greatest("node", "hub").alias("y")).distinct()
+
+
+def open_pairs(members: DataFrame, sets: DataFrame, similarity: float, entries: int) -> DataFrame:
+    """(x, y) with x < y: all pairs of different classes among ``members`` that can reach ``similarity``, by prefixes of their sets.
+
+    With elements in order of their number of holders, two sets of size m and this similarity share one of the first
+    m - similarity * m + 1 of each. Elements of one holder come first and meet nobody, so what thousands share is seldom met at.
+    """
+    own = members.select("node", "root", "n", "sketch").dropDuplicates(["node"])
+    held = own.select("node").join(sets.toDF("node", "_set"), "node").select("node", F.explode("_set").alias("e"))
+    holders = held.groupBy("e").agg(F.count("*").alias("c")).where("c > 1")
+    ranked = held.join(holders, "e", "left").groupBy("node").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("c", F.lit(1)).alias("c"), "e"))).alias("_in_order"))
+    size = F.size("_in_order")
+    # the product is rounded down before it is rounded up: a prefix may be too long, never too short
+    first = F.slice("_in_order", F.lit(1), (size - F.ceil(size * similarity - 1e-6) + 1).cast("int"))
+    shared = F.transform(F.filter(first, lambda x: x["c"] > 1), lambda x: x["e"])
+    prefixes = cut(ranked.select("node", shared.alias("_prefix")).where(F.size("_prefix") > 0).join(own, "node"))
+    place = prefixes.select("node", "root", "n", "sketch", "_prefix", F.posexplode("_prefix").alias("_at", "e"))
+    # the elements before, as many as are worth carrying: a pair is made where none of them is shared
+    before = F.when(F.col("_at") > 0, F.slice("_prefix", F.greatest(F.col("_at") - BEFORE + 1, F.lit(1)), F.least("_at", F.lit(BEFORE)))).otherwise(F.slice("_prefix", 1, 0))
+    place = place.select("e", "node", "root", "n", "sketch", before.alias("before"))
+    other = place.select("e", *[F.col(c).alias(f"other_{c}") for c in place.columns[1:]])
+    near = F.least("n", "other_n") >= similarity * F.greatest("n", "other_n")
+    alike = differing(F.col("sketch"), F.col("other_sketch"), entries) <= most_differing(similarity, entries)
+    met = place.join(other, "e").where((F.col("node") < F.col("other_node")) & (F.col("root") != F.col("other_root")) & near & alike & ~F.arrays_overlap("before", "other_before"))
+    return met.select(F.col("node").alias("x"), F.col("other_node").alias("y")).distinct()
+
+
 def link_buckets(members: DataFrame, sets: DataFrame, similarity: float, entries: int = BANDS * ROWS) -> tuple[DataFrame, DataFrame]:
     """Links (x, y) with x < y that join the nodes of buckets into classes, and the classes (node, root).
 
     members: (key, band, node, n, prio, sketch, marks), sets: by node. The members of a bucket are ranked once, and each round takes
     the next HUBS of them as hubs, which meet the members of other classes ranked below them. So two members meet once in a bucket.
-    Buckets of one class, or whose members have all been hubs, are done: those of up to 9 members are compared in full, larger
-    ones until a later round joins nothing more. Rows grow with the members, not with pairs of them.
+    Buckets of one class, or whose members have all been hubs, are done. Once a round from the second on joins nothing more, the
+    members of all others meet by ``open_pairs``: when that happens changes the work, not the classes.
     """
     found: list[DataFrame] = []
     rank = F.row_number().over(Window.partitionBy("key").orderBy("prio", "node"))
     members = cut(members.withColumn("r", rank).drop("prio").withColumn("root", F.col("node")))
-    turn, last, roots = 0, 0, None
+    turn, last, roots, none = 0, 0, None, False
     while not members.isEmpty():
         turn += 1
-        first, last = last + 1, last + HUBS[min(turn, len(HUBS)) - 1]
-        named = [F.col(c).alias(f"hub_{c}" if c != "node" else "hub") for c in ("node", "n", "root", "sketch", "marks", "r")]
-        # of one node at most as many rows as bands
-        hub_bands = F.collect_list("band").over(Window.partitionBy("node")).alias("hub_bands")
-        hubs = members.where(F.col("r").between(first, last)).select("key", *named, hub_bands)
-        near = F.least("n", "hub_n") >= similarity * F.greatest("n", "hub_n")
-        alike = differing(F.col("sketch"), F.col("hub_sketch"), entries) <= most_differing(similarity, entries)
-        met_before = F.exists("hub_bands", lambda b: (b < F.col("band")) & (F.get("marks", b) == F.get("hub_marks", b)))
-        met = members.join(hubs, "key").where((F.col("r") > F.col("hub_r")) & (F.col("root") != F.col("hub_root")) & near & alike & ~met_before)
-        pairs = cut(met.select(F.least("node", "hub").alias("x"), F.greatest("node", "hub").alias("y")).distinct())
+        done = none and turn > 2
+        if done:
+            pairs = cut(open_pairs(members, sets, similarity, entries))
+        else:
+            first, last = last + 1, last + HUBS[min(turn, len(HUBS)) - 1]
+            pairs = cut(hub_pairs(members, first, last, similarity, entries))
         new = cut(compare(pairs, sets).where(F.col("similarity") >= similarity).select("x", "y"))
         none = new.isEmpty()
-        if none and turn > 1:
-            break
         if not none:
             found.append(new)
             roots = components(reduce(DataFrame.unionByName, found))
+        if done:
+            break
+        if not none:
             members = members.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         ends = members.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.max("r").alias("c"))
         open_keys = ends.where((F.col("a") != F.col("b")) & (F.col("c") > last + 1)).select("key")

@@ -86,3 +86,14 @@ def test_merges_of_long_words():
     lib, own = Tokenizer.from_file(path), bpe.Vocabulary(path)
     texts = ["a" * 4001, "ab" * 999, "=" * 5000, "Σίσυφος ΣΑΣ", "don't I'LL x's", "1 234 ½ Ⅷ", "é \x1c \x85 ​"]
     assert own.encode(texts) == [np.array(lib.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
+def test_large_buckets_lose_no_link(spark):
+    """Twenty pairs that share a passage in one bucket, each pair ranked last and behind all hubs: no round of hubs finds one."""
+    band = "key long, band int, node long, n long, prio long, sketch array<long>, marks array<int>"
+    members = [(0, 0, node, 20, node if node < 40 else 100 + node % 20, [0] * 8, [1]) for node in range(80)]
+    own = lambda node: node if node < 40 else 40 + node % 20
+    sets = [(node, [*range(12), *(1000 * own(node) + i for i in range(1, 8)), 10**6 + node]) for node in range(80)]
+    links, roots = neardup.link_buckets(spark.createDataFrame(members, band), spark.createDataFrame(sets, "node long, s array<int>"), 0.8)
+    assert sorted(map(tuple, links.collect())) == [(n, n + 20) for n in range(40, 60)]
+    assert {(r.node, r.root) for r in roots.collect()} == {(n, 40 + (n - 40) % 20) for n in range(60, 80)}
