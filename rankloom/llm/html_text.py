@@ -2,8 +2,8 @@
 
 A page is a row of events. Words score positive and tags negative, by the log-odds of standing in the article of labelled pages
 (those that mark it with an article element). Elements that are never article text (scripts, menus, forms, adverts, comments and
-the like, by element or by class and id) score nothing and give no text. A linear scan finds the contiguous run of events of the
-highest score; its words are the main text.
+the like, by element or by class and id) score nothing and give no text, unless they enclose the article. A linear scan finds the
+contiguous run of events of the highest score; its words are the main text.
 """
 
 from __future__ import annotations
@@ -11,7 +11,9 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -24,10 +26,15 @@ from rankloom.llm.arrowtext import extend, least_hashed
 #: Labelled pages that weights are learned from, those of the smallest hash.
 LABELLED = 2000
 
+_REST = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
 EVENT = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|svg|iframe|textarea|select|head)\b[^>]*(?:>.*?(?:</(?P=raw)\s*>|\Z)|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)"
+    # a head ends at its closing tag or where the first element or text of the body begins
+    rf"|<head(?=[\s/>]){_REST}>(?>\s+|<!--.*?-->|<(?P<in_head>title|script|style|noscript|template)\b{_REST}>.*?</(?P=in_head)\s*>|<(?:meta|link|base)\b{_REST}>)*+(?:</head\s*>)?"
+    rf"|<svg\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?<=/)>"
+    r"|<svg\b[^>]*>(?:.*?</svg\s*>|.*?(?=<(?:p|div|h[1-6]|ul|ol|table|article|main|section|/body)\b)|.*)"
+    r"|<(?P<raw>script|style|noscript|template|iframe|textarea|select)\b[^>]*(?:>.*?(?:</(?P=raw)\s*>|\Z)|\Z)"
+    rf"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>{_REST})(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)"
     r"|(?P<text>[^<]+|<)",
     re.S | re.I,
@@ -41,7 +48,23 @@ MARKED = re.compile(
     r"footer|site-header|page-header|masthead|topbar|comments?|commentlist|disqus|reply|replies|respond|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|search|"
     r"popup|modal|overlay|widget|pagination|pager|skip-link|toolbar)(?![a-z])", re.I,
 )
-NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+# Of these, what marks a container inside an article, by class or role.
+MARKED_INSIDE = re.compile(
+    r"(?<![a-z])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|comments?|commentlist|disqus|replies|respond|share|sharing|social|related|recommended|newsletter|subscribe|signup)(?![a-z])", re.I,
+)
+# Names of a layout, not of the part they speak of: has-sidebar, no-sidebar, content-sidebar.
+LAYOUT = re.compile(r"(?:has|no|not|non|with|without|content|layout|hide)[-_]", re.I)
+CONTAINERS = frozenset("div section ul ol dl aside table".split())
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+
+
+def _marked(tag: str, rest: str, inside: bool) -> bool:
+    """Whether the class, id or role names of an element are those of something else than an article's text."""
+    if inside and tag not in CONTAINERS or not (pattern := MARKED_INSIDE if inside else MARKED).search(rest):
+        return False
+    names = ("class", "role") if inside else ("class", "id", "role")
+    values = (a or b or c for name, a, b, c in ATTRIBUTE.findall(rest) if name.lower() in names)
+    return any(pattern.search(x) and not LAYOUT.match(x) for v in values for x in v.split())
 
 
 @dataclass(frozen=True)
@@ -64,15 +87,15 @@ def events(page: str) -> list[tuple[str, str]]:
         elif m["tag"]:
             tag = m["tag"].lower()
             if tag in ("article", "main"):
-                inside += -1 if m["end"] else 1
+                inside = max(inside + (-1 if m["end"] else 1), 0)
             bad = not m["end"] and tag not in VOID and tag not in ("html", "body", "article", "main") and not m["rest"].endswith("/")
-            bad = bad and (tag in BOILERPLATE or tag == "header" and inside <= 0 or any(MARKED.search(x) for g in NAMED.findall(m["rest"]) for x in g if x))
+            bad = bad and (tag in BOILERPLATE or tag == "header" and inside <= 0 or _marked(tag, m["rest"], inside > 0))
             found.append(((m["end"] and "/") + tag, "", bad))
     out, i = [], 0
-    closers = _closers(found)
+    closers, holds = _closers(found), _holder(found)
     while i < len(found):
         tag, text, bad = found[i]
-        if not bad:
+        if not bad or holds(i, closers[i]):
             out.append((tag, text))
         else:
             out.append(("/", ""))  # what was cut out parts the text around it
@@ -81,6 +104,30 @@ def events(page: str) -> list[tuple[str, str]]:
     return out
 
 
+def _holder(found: list[tuple[str, str, bool]]) -> Callable[[int, int], bool]:
+    """Tells whether an element that looks like boilerplate, from its opening tag to its end, holds the article.
+
+    It does with a main element or all articles of the page in it; a form also does with the first
+    h1 or half of the words of the page, and an element named by its class or id with the first h1.
+    """
+    at: dict[str, list[int]] = {"article": [], "main": [], "h1": []}
+    words = [0]
+    for i, (tag, text, _) in enumerate(found):
+        if tag in at:
+            at[tag].append(i)
+        words.append(words[-1] + (0 if tag else len(text.split())))
+
+    def holds(a: int, b: int) -> bool:
+        tag = found[a][0]
+        if bisect(at["main"], a) < bisect(at["main"], b) or at["article"] and a < at["article"][0] and at["article"][-1] < b:
+            return True
+        if tag != "form" and (tag in BOILERPLATE or tag == "header"):
+            return False
+        return bool(at["h1"]) and a < at["h1"][0] < b or tag == "form" and 2 * (words[b] - words[a]) >= words[-1] > 0
+
+    return holds
+
+
 def _closers(found: list[tuple[str, str, bool]]) -> dict[int, int]:
     """Where each boilerplate element ends: at its closing tag, else before the next block that opens."""
     out, open_at = {}, {}

@@ -111,6 +111,35 @@ def test_html(spark):
     assert html_text.extract(df.where("false")).count() == 0
 
 
+BODY = "<p>One two three four.</p><p>Five six seven eight.</p>"
+WORDS = "One two three four. Five six seven eight."
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<body><div class='content has-sidebar'><article>{BODY}</article><div class='sidebar'>Side box</div></div></body>", WORDS),
+        (f"<body><div class=no-sidebar>{BODY}</div></body>", WORDS),
+        (f"<body><div class='search'><article>{BODY}</article></div></body>", WORDS),
+        (f"<body><form id=aspnetForm><div>{BODY}</div></form></body>", WORDS),
+        (f"<body><form><nav>Menu of many words that are more than those of the text in the page</nav><main>{BODY}</main></form></body>", WORDS),
+        (f"<body><article><h2 id='search'>Head</h2>{BODY}<p id=alert>Nine ten.</p></article></body>", f"Head {WORDS} Nine ten."),
+        (f"<body><div data-id='comments' title='a class=login'>{BODY}</div></body>", WORDS),
+        (f"<html><head><meta charset=utf-8><title>T t</title><script>var a</script><body>{BODY}</body></html>", WORDS),
+        (f"<html><head lang=en><link rel=x href='a>b'>{BODY}", WORDS),
+        (f"<body><svg class='a' viewBox='0 0 1 1'/>{BODY}<svg><path/><text>no</text></svg></body>", WORDS),
+        (f"<body><svg><path/>{BODY}</body>", WORDS),
+        (f"<body><article>{BODY}</article><div class='comments'><article>Reader says no</article></div></body>", WORDS),
+    ],
+)
+def test_html_keeps_whole_articles(page, text):
+    assert html_text.main_text(page, html_text.Weights(other=-0.1)) == text
+
+
+def test_plain_text_of_open_elements():
+    assert warc.plain_text(f"<html><head><title>T t</title><body><svg/>{BODY}") == WORDS.replace(". F", ".\nF")
+
+
 def test_licenses(spark, docs, none):
     text = licenses.KNOWN[0][1].upper().replace("\n\n", "\n  ").replace("MERCHANTABILITY", "merchantability")
     df = spark.createDataFrame([(1, "Copyright (c) 2020 Some One\n\n" + text), (2, "prose\nReleased under the MIT Licence\nmore"), (3, None), (4, ""), (5, text + " and more")], "doc_id long, text string")
