@@ -1,6 +1,7 @@
 """Mixture-controlled packing: deficit round-robin over source queues fills every window to target token proportions.
 
-Each source with a share of its own is a queue, the small ones share a queue. In every window a queue is due its quota of
+Each source with a share of its own is a queue, the small ones share a queue: in it, whole documents stand in the order of the
+fraction of their source that is sent with them, so that at any place all its sources are equally far. In every window a queue is due its quota of
 tokens; what whole tokens cannot pay is its deficit, carried into the next window. The debts of all windows up to w have a
 closed form: queues up to j have sent floor(t C_j / N) tokens when t tokens are packed (N in all, C_j those of queues up to j).
 So a task finds the windows, offsets and carried deficits of its documents from their place in their queue alone, without
@@ -28,6 +29,8 @@ from rankloom.session import cut, small
 WINDOW, END = 4096, 2
 #: Tokens a window holds of a queue at least; sources of smaller shares are pooled. At most WINDOW / GRAIN queues reach the driver.
 GRAIN = 64
+#: Stretches of the shared queue that are sorted apart.
+STRETCHES = 4096
 
 
 @dataclass(frozen=True)
@@ -121,6 +124,29 @@ def coded_rows(df: DataFrame, path: str, id_col: str, text: str, source: str, en
     return cut(own.mapInArrow(run, f"_id {kind}, _source string, _ids binary, _n long, _before long, _part long"))
 
 
+def shared_places(coded: DataFrame, parts: DataFrame, tokens: int, window: int) -> DataFrame:
+    """The rows of ``coded`` with their _place in one queue of ``tokens`` tokens that all their sources share evenly.
+
+    A document stands at the fraction of its source's tokens that come before it or are a part of its own, the same part for all
+    documents of a source and by hash of its name, so that sources of one document spread as well. Stretches of fractions hold about
+    as many tokens each; they are sorted apart, and their sums are added up.
+    """
+    stretches = max(1, min(STRETCHES, tokens // (4 * window)))
+    of = Window.partitionBy("_source")
+    earlier = F.coalesce(F.sum("tokens").over(of.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = parts.select("_source", "_part", earlier.alias("_base"), F.sum("tokens").over(of).alias("_all"))
+    phase = F.pmod(F.xxhash64("_source"), F.lit(1 << 20)) / (1 << 20)
+    fraction = (F.col("_base") + F.col("_before") + F.col("_n") * phase) / F.col("_all")
+    stood = coded.join(small(starts), ["_source", "_part"]).withColumn("_fraction", fraction)
+    stood = stood.withColumn("_stretch", F.least(F.floor(F.col("_fraction") * stretches), F.lit(stretches - 1)))
+    sums = stood.groupBy("_stretch").agg(F.sum("_n").alias("_sum"))
+    before = F.coalesce(F.sum("_sum").over(Window.orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = Window.partitionBy("_stretch").orderBy("_fraction", "_source", "_part", "_before").rowsBetween(Window.unboundedPreceding, -1)
+    ordered = stood.withColumn("_own", F.coalesce(F.sum("_n").over(own), F.lit(0)))
+    placed = ordered.join(F.broadcast(sums.select("_stretch", before.alias("_first"))), "_stretch")
+    return placed.select("_id", "_ids", (F.col("_first") + F.col("_own")).alias("_place"))
+
+
 def pack(
     df: DataFrame, path: str, id_col: str = "doc_id", text: str = "text", source: str = "source", targets: dict[str, float] | None = None,
     window: int = WINDOW, end: int = END, grain: int = GRAIN, with_ids: bool = False,
@@ -128,7 +154,9 @@ def pack(
     """Cut every row's ids and the closing id ``end`` into pieces of gapless sequences of ``window`` ids; only the last one is short.
 
     ``targets`` has weights of sources; those not named share what their tokens would get. Without it every window has the corpus's
-    own proportions. A null or empty text is the closing id alone, a null source is a source, repeated rows are packed each.
+    own proportions, to a token for sources of ``grain`` tokens a window or more; the documents of smaller ones (and of the smallest
+    other, if they do not come to ``grain`` together) stay whole in their shared queue and are spread evenly over all windows, as
+    are those not named by ``targets``. A null or empty text is the closing id alone, a null source is a source, repeated rows are packed each.
     Returns id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, on request, the piece's ids; an empty table gives no row.
     """
     coded = coded_rows(df, path, id_col, text, source, end)
@@ -153,9 +181,14 @@ def pack(
     if any((x.length * window < x.length.sum()).any() and x.length.sum() > window for x in plan):
         raise ValueError("a target gives a source less than one token a window")
     queue = F.coalesce(F.create_map(*[F.lit(x) for i, s in enumerate(names) for x in (s, i)])[F.col("_source")], F.lit(len(names))) if names else F.lit(0)
-    order = Window.partitionBy("_queue").orderBy("_part", "_source").rowsBetween(Window.unboundedPreceding, -1)
-    bases = parts.withColumn("_queue", queue).withColumn("_base", F.coalesce(F.sum("tokens").over(order), F.lit(0))).drop("tokens")
+    shared = len(names)
+    order = Window.partitionBy("_queue").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_queue", queue)
+    bases = parts.where(F.col("_queue") < shared).withColumn("_base", F.coalesce(F.sum("tokens").over(order), F.lit(0))).drop("tokens")
     placed = coded.join(small(bases), ["_source", "_part"]).select("_id", "_ids", "_queue", (F.col("_base") + F.col("_before")).alias("_place"))
+    if rest:
+        pool = shared_places(coded.where(queue == shared), parts.where(F.col("_queue") == shared), rest, window)
+        placed = placed.unionByName(pool.withColumn("_queue", F.lit(shared)))
     wide = max(end + 1, len(vocabulary(path).tokens)) > 1 << 16
 
     def run(batches):

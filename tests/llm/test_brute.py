@@ -79,6 +79,25 @@ def test_windows_hold_the_proportions(spark):
             assert all(abs(held.get(s, 0) - 4096 * total[s] / whole) < 2 for s in own if len(own) > 1 and s in held)
 
 
+@pytest.mark.parametrize("large", [0, 9])
+def test_small_sources_are_spread_over_all_windows(spark, large):
+    """A hundred even sources, alone or beside one of nine tenths: none has a queue, and each is half sent at half of the tape."""
+    n = 100
+    rows = [(i, "word of the text " * (8 + i * 31 % 5), f"s{i // 10}") for i in range(10 * n)]
+    rows += [(10 * n + i, "word of the text " * 100, "large") for i in range(large * n)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = packing.pack(df.repartition(4, "source"), public_tokenizers.path("word_bpe_49k.json"), window=512)
+    seen = got.join(df.select("doc_id", "source"), "doc_id").select("source", (packing.F.col("sequence_id") * 512 + packing.F.col("offset")).alias("at"), "length").collect()
+    half, total, early = sum(r.length for r in seen) / 2, Counter(), Counter()
+    for r in seen:
+        total[r.source] += r.length
+        early[r.source] += r.length if r.at < half else 0
+    assert len(total) == n + bool(large)
+    assert all(abs(early[s] / total[s] - 0.5) <= 0.2 for s in total)
+    places = sorted((r.at, r.length) for r in seen)
+    assert places[0][0] == 0 and all(a + k == b for (a, k), (b, _) in zip(places, places[1:]))
+
+
 def test_merges_of_long_words():
     from tokenizers import Tokenizer
 
