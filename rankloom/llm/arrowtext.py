@@ -21,8 +21,10 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def slices(batch: pa.RecordBatch, column: str, budget: int) -> Iterator[pa.RecordBatch]:
-    """Cut a batch where its texts reach ``budget`` bytes, so that a task's memory depends on one slice or one text."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    """Cut a batch where its texts (or lists of four-byte values) reach ``budget`` bytes, so that a task's memory depends on one slice or one text."""
+    texts = batch.column(column)
+    lengths = pc.multiply(pc.list_value_length(texts), 4) if pa.types.is_list(texts.type) else pc.binary_length(texts)
+    sizes = pc.fill_null(lengths, 0).to_numpy(zero_copy_only=False)
     start, held = 0, 0
     for i, n in enumerate(sizes):
         if held and held + n > budget:

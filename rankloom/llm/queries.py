@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import bpe, html_text, licenses, neardup, packing, pii, quality, rules, topk, warc
+from rankloom.llm import bpe, divergence, html_text, lexical, licenses, neardup, packing, pieces, pii, quality, rules, topk, warc
 from rankloom.llm.registry import QUERIES, SQL, query, read
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def load():
@@ -151,3 +152,67 @@ def op10_warc(spark: SparkSession, sf: str) -> DataFrame:
     """The metadata and conversion record of every page, with its record's digest in place of its bytes."""
     made = warc.derive(warc.responses(read(spark, sf, "pages")))
     return made.withColumn("record_sha256", warc.record_digest()).drop("record")
+
+
+@query("op11_pieces")
+def op11_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's piece ids, counted and digested, and the digest of what they decode to."""
+    docs = read(spark, sf, "documents").select("doc_id", "text")
+    coded = pieces.encode(docs, PIECES, drop=("text",))
+    back = pieces.decode(coded, PIECES)
+    spelled = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return back.select("doc_id", "n_tokens", F.sha2(spelled, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+_AZ = "translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = r"regexp_extract_all({text}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')".replace("{text}", _AZ)
+
+
+@query(
+    "op12_lexical",
+    f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_ALNUM.format(text='text')} AS t FROM documents WHERE text IS NOT NULL),
+lens AS (SELECT r, doc_id, len(t) AS n FROM d WHERE len(t) > 0),
+size AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM lens),
+tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(t) AS term FROM d) GROUP BY r, term),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) AS w
+      FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), size),
+q AS (SELECT DISTINCT item_id, unnest({_ALNUM.format(text='text')}) AS term FROM benchmark WHERE text IS NOT NULL),
+s AS (SELECT item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+      FROM q JOIN tf USING (term) JOIN w USING (term) JOIN lens USING (r), size GROUP BY item_id, r, doc_id)
+SELECT item_id, rank, doc_id, score FROM
+  (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s WHERE score > 0) WHERE rank <= 10""",
+)
+def op12_lexical(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return lexical.search(lexical.build_index(read(spark, sf, "documents")), read(spark, sf, "benchmark"))
+
+
+_LETTERS = _ALNUM.replace(r"\x2F\x3A-", "")
+
+
+@query(
+    "op13_divergence",
+    f"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_LETTERS.format(text="coalesce(text, '')")} AS t FROM documents),
+tf AS (SELECT lang, source, r, term, count(*) AS c FROM (SELECT lang, source, r, unnest(t) AS term FROM d) GROUP BY ALL),
+kept AS (SELECT lang, term, sum(c)::HUGEINT AS total FROM tf GROUP BY lang, term HAVING count(*) >= 10),
+langs AS (SELECT lang, count(*)::HUGEINT AS v, sum(total)::HUGEINT AS n FROM kept GROUP BY lang),
+counts AS (SELECT lang, source, term, sum(c)::HUGEINT AS c FROM tf JOIN kept USING (lang, term) GROUP BY ALL),
+groups AS (SELECT g.lang, g.source, coalesce(v, 0) AS v, coalesce(n, 0) AS n
+           FROM (SELECT DISTINCT lang, source FROM d) g LEFT JOIN (SELECT lang, v FROM langs) USING (lang)
+           LEFT JOIN (SELECT lang, source, sum(c)::HUGEINT AS n FROM counts GROUP BY ALL) USING (lang, source)),
+p AS (SELECT g.lang, g.source, k.term, 1 + (1000000000 * (coalesce(c, 0) + 2)) // (g.n + 2 * g.v) AS p, coalesce(c, 0) AS c,
+             1 + (1000000000 * (k.total + 2)) // (l.n + 2 * l.v) AS q
+      FROM groups g JOIN kept k USING (lang) JOIN langs l USING (lang) LEFT JOIN counts USING (lang, source, term)),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+         FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(value, 0)::BIGINT AS value
+          FROM groups g JOIN groups h ON g.lang = h.lang AND g.source <> h.source LEFT JOIN sums s ON s.lang = g.lang AND s.source = g.source AND s.item = h.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, (((p - q) * (p - q)) // (p + q))::BIGINT AS value FROM p WHERE c > 0 AND p > q),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM (FROM pairs UNION ALL FROM terms))
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 10""",
+)
+def op13_divergence(spark: SparkSession, sf: str) -> DataFrame:
+    """Every source's divergence from every other of its language, and the terms that set it apart from the language."""
+    return divergence.audit(read(spark, sf, "documents"))
