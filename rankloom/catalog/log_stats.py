@@ -145,7 +145,7 @@ PERCENTILES["linear"] = " UNION ALL ".join(
 def _percentiles(method):
     def run(spark, sf):
         return percentiles.percentiles(
-            fx.request_log(spark, sf), ["upstream_id"], "latency_ms", [0.5, 0.9, 0.95, 0.99], method, slot=10
+            fx.request_log(spark, sf), ["upstream_id"], "latency_ms", [0.5, 0.9, 0.95, 0.99], method
         )
 
     return run

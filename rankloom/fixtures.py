@@ -129,5 +129,5 @@ def cdc_events(spark: SparkSession, sf: str) -> DataFrame:
         F.lit(1).alias("_one"),
         "value",
     )
-    counted = ordered_scan(rows, ["origin_node_id"], "event_id", [], 100_000, running_sum={"sequence": "_one"})
+    counted = ordered_scan(rows, ["origin_node_id"], "event_id", [], running_sum={"sequence": "_one"})
     return counted.filter(F.col("value") <= 480).drop("_one", "value")

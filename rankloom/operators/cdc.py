@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.operators.ordered import ordered_scan
+from rankloom.operators.ordered import SLOT_ROWS, ordered_scan
 
 STATE = ["query_key", "timestamp_ms", "payload", "upstream_id", "context_id"]
 
@@ -50,7 +50,7 @@ def fold_cdc(events: DataFrame, node_id: str, now_ms: int) -> DataFrame:
     return kept.select("query_key", "x.*")
 
 
-def label_cdc(events: DataFrame, node_id: str, now_ms: int, slot_rows: float = 100_000) -> DataFrame:
+def label_cdc(events: DataFrame, node_id: str, now_ms: int, slot_rows: int = SLOT_ROWS) -> DataFrame:
     """Add ``result`` to every event: applied, stale, or why it was skipped."""
     labelled = events.withColumn("_skip", _decision(node_id, now_ms))
     counted = F.col("_skip").isNull()
@@ -81,17 +81,17 @@ def cdc_counts(labelled: DataFrame) -> DataFrame:
     )
 
 
-def cdc_gaps(events: DataFrame, slot_rows: float = 100_000) -> DataFrame:
+def cdc_gaps(events: DataFrame, slot_rows: int = SLOT_ROWS) -> DataFrame:
     """Missing sequence numbers per origin: the last one before and the first one after each gap."""
     seen = ordered_scan(events, ["origin_node_id"], "sequence", [], slot_rows, previous={"after": "sequence"})
     gap = F.col("sequence") - F.col("after") - 1
     return seen.filter(gap > 0).select("origin_node_id", "after", F.col("sequence").alias("before"), gap.alias("missing"))
 
 
-def snapshot_events(entries: DataFrame, node_id: str, now_ms: int, fresh: float, stale: float, slot_seconds: float = 3600) -> DataFrame:
+def snapshot_events(entries: DataFrame, node_id: str, now_ms: int, fresh: float, stale: float, slot_rows: int = SLOT_ROWS) -> DataFrame:
     """Insert events for all entries, numbered from 1 by age without a global sort, with a common expiry."""
     numbered = ordered_scan(
-        entries.withColumn("_one", F.lit(1)), [], "cached_at", ["norm_key"], slot_seconds, running_sum={"sequence": "_one"}
+        entries.withColumn("_one", F.lit(1)), [], "cached_at", ["norm_key"], slot_rows, running_sum={"sequence": "_one"}
     )
     return numbered.select(
         "sequence",

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.functions.scores import round6
-from rankloom.operators.ordered import ordered_scan
+from rankloom.operators.ordered import SLOT_ROWS, ordered_scan
 
 # Levels in rising order, with the least overlap and the score change below which each holds.
 LEVELS = ("none", "minor", "moderate", "significant", "major")
@@ -42,7 +42,7 @@ def detect_drift(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def drift_window(
-    observations: DataFrame, n: int = 100, above: str = "moderate", alert_count: int = 10, slot_seconds: float = 3600
+    observations: DataFrame, n: int = 100, above: str = "moderate", alert_count: int = 10, slot_rows: int = SLOT_ROWS
 ) -> DataFrame:
     """State of the last ``n`` observations (upstream_id, ts, seq, level) after each one.
 
@@ -51,7 +51,7 @@ def drift_window(
     """
     number = F.array_position(F.array(*[F.lit(x) for x in LEVELS]), F.col("level")).cast("int") - 1
     rows = observations.withColumns({"_level": number, "_one": F.lit(1)})
-    placed = ordered_scan(rows, ["upstream_id"], "ts", ["seq"], slot_seconds, running_sum={"_pos": "_one"})
+    placed = ordered_scan(rows, ["upstream_id"], "ts", ["seq"], slot_rows, running_sum={"_pos": "_one"})
     block = F.floor((F.col("_pos") - 1) / n)
     copies = placed.withColumn("_own", block).withColumn("_block", F.explode(F.array(block, block + 1)))
     w = Window.partitionBy("upstream_id", "_block").orderBy("_pos").rowsBetween(-(n - 1), 0)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rankloom.functions.scores import round6
 from rankloom.functions.ttl import MAX_FROZEN_SECONDS, freshness, jittered_ttl
-from rankloom.operators.ordered import ordered_scan
+from rankloom.operators.ordered import SLOT_ROWS, ordered_scan
 from rankloom.session import small
 
 
@@ -46,10 +46,10 @@ def entries_summary(entries: DataFrame, fresh: float, stale: float, now: str) ->
     )
 
 
-def oldest(entries: DataFrame, n: int, slot_seconds: float = 3600) -> DataFrame:
-    """The ``n`` oldest entries, counted slot by slot, so that a large ``n`` needs no single task."""
+def oldest(entries: DataFrame, n: int, slot_rows: int = SLOT_ROWS) -> DataFrame:
+    """The ``n`` oldest entries, counted in slots of bounded rows, so that a large ``n`` needs no single task."""
     numbered = ordered_scan(
-        entries.withColumn("_one", F.lit(1)), [], "cached_at", ["norm_key"], slot_seconds, running_sum={"_place": "_one"}
+        entries.withColumn("_one", F.lit(1)), [], "cached_at", ["norm_key"], slot_rows, running_sum={"_place": "_one"}
     )
     return numbered.filter(F.col("_place") <= n).drop("_one", "_place")
 
@@ -118,10 +118,10 @@ def warm_plan(
 def warm_entries(plan: DataFrame, invalid: DataFrame, existing: DataFrame, capacity: int) -> DataFrame:
     """Plan rows (context_id, position, norm_key) to insert: valid ones in order until the context is full.
 
-    Positions are counted in slices, so that one context may hold most of the plan.
+    Positions are counted in slots, so that one context may hold most of the plan.
     """
     valid = plan.join(invalid.select("norm_key"), "norm_key", "left_anti").withColumn("_one", F.lit(1))
-    placed = ordered_scan(valid, ["context_id"], "position", ["norm_key"], 100_000, running_sum={"place": "_one"})
+    placed = ordered_scan(valid, ["context_id"], "position", ["norm_key"], running_sum={"place": "_one"})
     used = small(existing.groupBy("context_id").agg(F.count("*").alias("used")))
     room = F.lit(capacity) - F.coalesce("used", F.lit(0))
     return placed.join(used, "context_id", "left").filter(F.col("place") <= room).select(

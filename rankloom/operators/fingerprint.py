@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.operators.ordered import ordered_scan
+from rankloom.operators.ordered import SLOT_ROWS, ordered_scan
 
 # The fields in which backends announce dimension, model and version.
 DIM_FIELDS = ("embedding_dims", "dimensions", "dim", "vector_size", "embedding_dimension")
@@ -51,13 +51,13 @@ def schema_fingerprint(df: DataFrame, json_col: str) -> DataFrame:
     ).drop("_doc")
 
 
-def schema_changes(observations: DataFrame, slot_seconds: float = 3600) -> DataFrame:
+def schema_changes(observations: DataFrame, slot_rows: int = SLOT_ROWS) -> DataFrame:
     """Observations (upstream_id, ts, seq, dims, model) that contradict the one before them.
 
     Two fingerprints differ when a part that both know is unequal.
     """
     scanned = ordered_scan(
-        observations, ["upstream_id"], "ts", ["seq"], slot_seconds,
+        observations, ["upstream_id"], "ts", ["seq"], slot_rows,
         previous={"prev_dims": "dims", "prev_model": "model"},
     )
     differs = F.coalesce(F.col("dims") != F.col("prev_dims"), F.lit(False)) | F.coalesce(

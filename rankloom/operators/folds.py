@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rankloom.operators.ordered import ordered_scan
+from rankloom.operators.ordered import SLOT_ROWS, ordered_scan
 from rankloom.session import cut
 
 CHUNK_ROWS = 500_000
@@ -59,7 +59,7 @@ def keyed_fold(
     start: Callable[[], list],
     step: Callable,
     chunk_rows: int = CHUNK_ROWS,
-    slot_seconds: float = 3600,
+    slot_rows: int = SLOT_ROWS,
 ) -> DataFrame:
     """Add the columns of ``output`` (a DDL string) that a state machine gives per key in time order.
 
@@ -91,7 +91,7 @@ def keyed_fold(
         zero = F.lit(0).cast("bigint")
         return finish(fold(rows.withColumns({"_pos": zero, "_chunk": zero, "_entry": F.lit(None).cast("string")})))
 
-    numbered = ordered_scan(rows.withColumn("_one", F.lit(1)), keys, at, order, slot_seconds, running_sum={"_pos": "_one"})
+    numbered = ordered_scan(rows.withColumn("_one", F.lit(1)), keys, at, order, slot_rows, running_sum={"_pos": "_one"})
     numbered = cut(numbered.drop("_one").withColumn("_chunk", F.floor((F.col("_pos") - 1) / chunk_rows)))
     done = cut(fold(numbered.withColumn("_entry", F.lit(None).cast("string"))))
     chunk = [*keys, "_chunk"]
@@ -107,32 +107,3 @@ def keyed_fold(
         assumed = cut(assumed.join(changed, chunk, "left_anti").unionByName(changed))
         again = fold(numbered.join(changed, chunk))
         done = cut(done.join(changed, chunk, "left_anti").unionByName(again))
-
-
-def renewal_chain(
-    rows: DataFrame,
-    keys: list[str],
-    at: str,
-    order: list[str],
-    closed: bool,
-    chunk_rows: int = CHUNK_ROWS,
-    slot_seconds: float = 3600,
-) -> DataFrame:
-    """Mark the rows that open a new span while none is open, with ``_until`` as each row's own end.
-
-    A row joins the open span when its time lies before the span's end, or at it when ``closed``. Times are
-    long columns ``_at`` and ``_until`` in microseconds. Adds ``opens`` and the opener's ``span_at``.
-    """
-
-    def start():
-        return [None, None]
-
-    def step(state, now, until):
-        end, opened = state
-        if end is not None and (now <= end if closed else now < end):
-            return state, (False, opened)
-        return [int(until), int(now)], (True, int(now))
-
-    return keyed_fold(
-        rows, keys, at, order, ["_at", "_until"], "opens boolean, span_at bigint", start, step, chunk_rows, slot_seconds
-    )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.operators.folds import CHUNK_ROWS, keyed_fold
-from rankloom.operators.ordered import ordered_scan
+from rankloom.operators.ordered import SLOT_ROWS, ordered_scan
 
 MAX_RATE = 3.4028234663852886e38
 
@@ -19,7 +19,7 @@ def health_timeline(
     recover_after: int = 2,
     degraded_rate: float = 0.1,
     min_requests: int = 10,
-    slot_seconds: float = 3600,
+    slot_rows: int = SLOT_ROWS,
 ) -> DataFrame:
     """Online, degraded or offline after every outcome.
 
@@ -28,11 +28,11 @@ def health_timeline(
     """
     rows = outcomes.withColumns({"_one": F.lit(1), "_fail": (~F.col("success")).cast("int")})
     a = ordered_scan(
-        rows, ["upstream_id"], "ts", ["seq"], slot_seconds, running_sum={"n": "_one", "failed": "_fail"}
+        rows, ["upstream_id"], "ts", ["seq"], slot_rows, running_sum={"n": "_one", "failed": "_fail"}
     )
     a = a.withColumns({"_ok_at": F.when(F.col("success"), F.col("n")), "_bad_at": F.when(~F.col("success"), F.col("n"))})
     b = ordered_scan(
-        a, ["upstream_id"], "ts", ["seq"], slot_seconds, last_seen={"_last_ok": "_ok_at", "_last_bad": "_bad_at"}
+        a, ["upstream_id"], "ts", ["seq"], slot_rows, last_seen={"_last_ok": "_ok_at", "_last_bad": "_bad_at"}
     )
     zero = F.lit(0)
     b = b.withColumns(
@@ -47,7 +47,7 @@ def health_timeline(
             F.col("success") & (F.col("success_streak") >= recover_after), 0
         ),
     )
-    c = ordered_scan(b, ["upstream_id"], "ts", ["seq"], slot_seconds, last_seen={"_offline": "_flag"})
+    c = ordered_scan(b, ["upstream_id"], "ts", ["seq"], slot_rows, last_seen={"_offline": "_flag"})
     degraded = (
         (F.col("n") >= min_requests) & (F.col("failure_streak") == 0) & (F.col("failed") / F.col("n") > degraded_rate)
     )
@@ -101,14 +101,14 @@ def circuit_machine(cfg: CircuitConfig):
 
 
 def circuit_timeline(
-    outcomes: DataFrame, cfg: CircuitConfig | None = None, chunk_rows: int = CHUNK_ROWS, slot_seconds: float = 3600
+    outcomes: DataFrame, cfg: CircuitConfig | None = None, chunk_rows: int = CHUNK_ROWS, slot_rows: int = SLOT_ROWS
 ) -> DataFrame:
     """State of the circuit after every outcome, and whether the request was let through."""
     start, step = circuit_machine(cfg or CircuitConfig())
     rows = outcomes.withColumn("_at", F.unix_micros("ts"))
     return keyed_fold(
         rows, ["upstream_id"], "ts", ["seq"], ["_at", "success"], "state string, admitted boolean", start, step,
-        chunk_rows, slot_seconds,
+        chunk_rows, slot_rows,
     ).drop("_at")
 
 
@@ -165,14 +165,14 @@ def resilience_machine(cfg: ResilienceConfig):
 
 
 def resilience_timeline(
-    outcomes: DataFrame, cfg: ResilienceConfig | None = None, chunk_rows: int = CHUNK_ROWS, slot_seconds: float = 3600
+    outcomes: DataFrame, cfg: ResilienceConfig | None = None, chunk_rows: int = CHUNK_ROWS, slot_rows: int = SLOT_ROWS
 ) -> DataFrame:
     """State and request limit after every outcome."""
     start, step = resilience_machine(cfg or ResilienceConfig())
     rows = outcomes.withColumn("_at", F.unix_micros("ts"))
     return keyed_fold(
         rows, ["upstream_id"], "ts", ["seq"], ["_at", "success"], "state string, rps_limit double", start, step,
-        chunk_rows, slot_seconds,
+        chunk_rows, slot_rows,
     ).drop("_at")
 
 

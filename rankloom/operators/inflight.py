@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.operators.folds import renewal_chain
-from rankloom.operators.ordered import ordered_scan
+from rankloom.operators.ordered import SLOT_ROWS, ordered_scan
+from rankloom.operators.renewal import renewal_chain
 
 
-def coalesce_requests(log: DataFrame, key: str, seconds: str, slot_seconds: float = 3600) -> DataFrame:
+def coalesce_requests(log: DataFrame, key: str, seconds: str, slot_rows: int = SLOT_ROWS) -> DataFrame:
     """Label requests leader or waiter: a waiter starts while its key's leader is still running.
 
     ``log`` has (request_id, ts) and a duration in seconds; ``leader_at`` is the start of the leader.
     """
     at = F.unix_micros("ts")
     timed = log.withColumns({"_at": at, "_until": at + F.round(F.col(seconds) * 1_000_000).cast("bigint")})
-    marked = renewal_chain(timed, [key], "ts", ["request_id"], closed=False, slot_seconds=slot_seconds)
+    marked = renewal_chain(timed, [key], "ts", ["request_id"], closed=False, slot_rows=slot_rows)
     return marked.withColumns(
         {
             "role": F.when(F.col("opens"), "leader").otherwise("waiter"),
@@ -34,7 +34,7 @@ def dedup_factor(labelled: DataFrame) -> DataFrame:
     )
 
 
-def fetch_spans(cdc: DataFrame, slot_seconds: float = 3600) -> DataFrame:
+def fetch_spans(cdc: DataFrame, slot_rows: int = SLOT_ROWS) -> DataFrame:
     """Spans between a fetch_start and the event of its key that ends it.
 
     An insert or a cancel ends a span, a later start replaces it; a start that nothing follows stays open.
@@ -44,7 +44,7 @@ def fetch_spans(cdc: DataFrame, slot_seconds: float = 3600) -> DataFrame:
     )
     events = events.withColumn("_ts", F.col("timestamp_ms") / 1000)
     order = ["origin_node_id", "sequence"]
-    seen = ordered_scan(events, ["query_key"], "_ts", order, slot_seconds, previous={"_before": "_e"})
+    seen = ordered_scan(events, ["query_key"], "_ts", order, slot_rows, previous={"_before": "_e"})
     closed = seen.filter(F.col("_before.event_type") == "fetch_start").select(
         "query_key",
         F.col("_before.origin_node_id").alias("origin"),
@@ -64,7 +64,7 @@ def fetch_spans(cdc: DataFrame, slot_seconds: float = 3600) -> DataFrame:
     return closed.unionByName(left_open)
 
 
-def wait_for_fetches(requests: DataFrame, spans: DataFrame, timeout_ms: int, slot_seconds: float = 3600) -> DataFrame:
+def wait_for_fetches(requests: DataFrame, spans: DataFrame, timeout_ms: int, slot_rows: int = SLOT_ROWS) -> DataFrame:
     """Whether each request (request_id, query_key, node_id, at_ms) waits for another node's fetch, and how that ends.
 
     The latest span that started before the request counts if it is still open then; a wait is served when the span
@@ -76,7 +76,7 @@ def wait_for_fetches(requests: DataFrame, spans: DataFrame, timeout_ms: int, slo
     )
     asked = requests.withColumns({"_row": F.lit(1), "_by": F.col("node_id")})
     both = asked.unionByName(marks, allowMissingColumns=True).withColumn("_ts", F.col("at_ms") / 1000)
-    seen = ordered_scan(both, ["query_key"], "_ts", ["_row", "_by", "request_id"], slot_seconds, last_seen={"_open": "_span"})
+    seen = ordered_scan(both, ["query_key"], "_ts", ["_row", "_by", "request_id"], slot_rows, last_seen={"_open": "_span"})
     end = F.col("_open.end_ms")
     waits = F.col("_open").isNotNull() & (end.isNull() | (end > F.col("at_ms"))) & (F.col("_open.origin") != F.col("node_id"))
     left = end - F.col("at_ms")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.functions.scores import round6
-from rankloom.operators.ordered import ordered_scan, top_rows
+from rankloom.operators.ordered import SLOT_ROWS, ordered_scan, top_rows
 
 
 def _ranks(method: str, n: Column, p: Column) -> tuple[Column, Column, Column]:
@@ -25,18 +25,18 @@ def _ranks(method: str, n: Column, p: Column) -> tuple[Column, Column, Column]:
 
 
 def percentiles(
-    df: DataFrame, group: list[str], value: str, ps: list[float], method: str, slot: float = 1000.0
+    df: DataFrame, group: list[str], value: str, ps: list[float], method: str, slot_rows: int = SLOT_ROWS
 ) -> DataFrame:
     """(group, p, value): exact percentiles.
 
-    Values are counted first, with map-side combine; the running count is then taken per value range
-    of width ``slot``, so that a group of any size spreads over many tasks.
+    Values are counted first, with map-side combine; the running count is then taken in slots of at most ``slot_rows``
+    values, so that a group of any size spreads over many tasks.
     """
     if not group:
-        everything = percentiles(df.withColumn("_all", F.lit(0)), ["_all"], value, ps, method, slot)
+        everything = percentiles(df.withColumn("_all", F.lit(0)), ["_all"], value, ps, method, slot_rows)
         return everything.drop("_all")
     counts = df.groupBy(*group, value).agg(F.count("*").alias("_n"))
-    placed = ordered_scan(counts, group, value, [], slot, running_sum={"_upto": "_n"})
+    placed = ordered_scan(counts, group, value, [], slot_rows, running_sum={"_upto": "_n"})
     totals = counts.groupBy(*group).agg(F.sum("_n").alias("_total"))
     wanted = totals.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in ps])))
     low, high, share = _ranks(method, F.col("_total"), F.col("p"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rankloom.functions.scores import round6
 from rankloom.operators.folds import CHUNK_ROWS, keyed_fold
-from rankloom.operators.ordered import top_rows
+from rankloom.operators.ordered import SLOT_ROWS, top_rows
 
 
 def cascade_sweep(
@@ -71,14 +71,14 @@ def bucket_step(state: list, now_us: int, rps: float, burst: float) -> tuple[lis
 
 
 def token_bucket(
-    arrivals: DataFrame, key: str, rates: list[tuple[float, float]], chunk_rows: int = CHUNK_ROWS, slot_seconds: float = 3600
+    arrivals: DataFrame, key: str, rates: list[tuple[float, float]], chunk_rows: int = CHUNK_ROWS, slot_rows: int = SLOT_ROWS
 ) -> DataFrame:
     """Label (request_id, ts, key) arrivals allowed or denied for every (rps, burst), with the tokens left."""
     grid = F.explode(F.array(*[F.struct(F.lit(float(r)).alias("rps"), F.lit(float(b)).alias("burst")) for r, b in rates]))
     rows = arrivals.withColumn("_g", grid).select(*arrivals.columns, "_g.rps", "_g.burst", F.unix_micros("ts").alias("_at"))
     return keyed_fold(
         rows, [key, "rps", "burst"], "ts", ["request_id"], ["_at", "rps", "burst"], "allowed boolean, tokens double",
-        bucket_start, bucket_step, chunk_rows, slot_seconds,
+        bucket_start, bucket_step, chunk_rows, slot_rows,
     ).drop("_at")
 
 
