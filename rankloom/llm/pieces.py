@@ -19,6 +19,7 @@ import codecs
 import functools
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -29,7 +30,7 @@ from pyspark.sql import types as T
 
 from rankloom.llm.arrowtext import extend
 
-#: Words, and pairs of tokens, in each of the two tables that a task remembers; a full one takes the place of the older.
+#: Words, and pairs of tokens, in each of the two tables of a memory.
 REMEMBERED = 250_000
 
 SPACE = "▁"
@@ -76,6 +77,25 @@ def _each_byte(error: UnicodeError):
 codecs.register_error("rankloom-each-byte", _each_byte)
 
 
+class _Memory(dict):
+    """What ``make`` gives for a key, remembered; a full table becomes the older one, whose entries come back when they are asked for."""
+
+    def __init__(self, make):
+        self.make, self.older = make, {}
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
+        return value
+
+    def trim(self) -> None:
+        if len(self) > REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+
+
 class Pieces:
     """The tables of one model file, and a bounded memory of words and pairs already met."""
 
@@ -115,9 +135,13 @@ class Pieces:
         self._derive()
         self._cut()
         form = {BYTE: lambda t: bytes([int(t[3:5], 16)]), CONTROL: lambda t: b"", UNKNOWN: lambda t: unknown, NORMAL: lambda t: t.replace(SPACE, " ").encode()}
-        self.surfaces = [form[k](t) for t, k in zip(self.texts, self.kinds, strict=True)]
-        self.known: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})  # words met lately, and those met before
-        self.pairs: tuple[dict[int, bool], dict[int, bool]] = ({}, {})  # the same of pairs of tokens
+        plain = [form[k](t) for t, k in zip(self.texts, self.kinds, strict=True)]
+        led = [self.prefix and k == NORMAL and t.startswith(SPACE) for t, k in zip(self.texts, self.kinds, strict=True)]
+        #: What each id says, and then what it says at the front of a text.
+        self.surfaces = pa.array([*plain, *(x[1:] if skip else x for x, skip in zip(plain, led, strict=True))], pa.binary())
+        self.silent = np.array([k == CONTROL for k in self.kinds])
+        self.known = _Memory(self._word)
+        self.pairs = _Memory(lambda key: self.apart(*divmod(key, self.size)))
 
     def _merged(self, chars: str, stop: int = -1) -> tuple[list[str], list[str]]:
         """What a short string is merged to, and the two parts of its last merge; None in place of it once a merge crosses ``stop``."""
@@ -187,27 +211,15 @@ class Pieces:
 
     def _word(self, word: str) -> bytes:
         """The ids of one word."""
-        now, old = self.pairs
+        pairs, size = self.pairs, self.size
         last, sizes = [-1] * (len(word) + 1), [0] * (len(word) + 1)  # token and length; -1: the start, or an unknown character
-        for end, (size, token) in self.automaton.iter(word):
+        for end, (n, token) in self.automaton.iter(word):
             end += 1
-            if sizes[end]:
-                continue
-            before = last[end - size]
-            if before >= 0:
-                key = before * self.size + token
-                good = now.get(key)
-                if good is None:
-                    good = old.get(key)
-                    if good is None:
-                        good = self.apart(before, token)
-                    now[key] = good
-                if not good:
-                    continue
-            last[end], sizes[end] = token, size
-        if len(now) > REMEMBERED:
-            self.pairs = ({}, now)
-        found, at = [], len(word)
+            if not sizes[end]:
+                before = last[end - n]
+                if before < 0 or pairs[before * size + token]:
+                    last[end], sizes[end] = token, n
+        found, at = array("I"), len(word)
         while at:
             if sizes[at]:
                 found.append(last[at])
@@ -215,30 +227,38 @@ class Pieces:
             else:
                 at -= 1
                 found.extend(self.byte_ids[b] for b in reversed(word[at].encode()))
-        return np.array(found[::-1], "<u4").tobytes()
+        found.reverse()
+        return found.tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as little-endian unsigned 32-bit integers."""
+        """The ids of each text, as unsigned 32-bit integers."""
         out = []
         for text in texts:
-            now, old = self.known
-            ids = []
-            for w in self.words.findall((self.prefix + text).replace(" ", SPACE)) if text else ():
-                x = now.get(w)
-                if x is None:
-                    x = old.get(w)
-                    now[w] = x = self._word(w) if x is None else x
-                ids.append(x)
-            out.append(b"".join(ids))
-            if len(now) > REMEMBERED:
-                self.known = ({}, now)
+            words = self.words.findall((self.prefix + text).replace(" ", SPACE)) if text else ()
+            out.append(b"".join(map(self.known.__getitem__, words)))
+            self.known.trim()
+            self.pairs.trim()
         return out
 
-    def decode(self, ids: list[int]) -> str:
-        first = next((i for i in ids if self.kinds[i] != CONTROL), None)
-        said = b"".join(map(self.surfaces.__getitem__, ids)).decode(errors="rankloom-each-byte")
-        led = self.prefix and first is not None and self.kinds[first] == NORMAL and self.texts[first].startswith(SPACE)
-        return said[1:] if led else said
+    def decode(self, ids: np.ndarray, starts: np.ndarray) -> pa.StringArray:
+        """The texts of runs of ids; ``starts`` has where runs begin, and the total length at its end."""
+        if len(ids) and not 0 <= ids.min() <= ids.max() < self.size:
+            raise ValueError(f"ids of {ids.min()} to {ids.max()} for a model of {self.size} pieces")
+        # the front of a text is its first id that is not silent
+        spoken = np.flatnonzero(~self.silent[ids])
+        first = np.searchsorted(spoken, starts[:-1])
+        front = spoken[first[first < np.searchsorted(spoken, starts[1:])]]
+        said = ids.astype(np.int64)
+        said[front] += self.size
+        letters = pa.concat_arrays([self.surfaces.take(pa.array(said))])
+        at = np.frombuffer(letters.buffers()[1], np.int32, len(ids) + 1, letters.offset * 4)
+        data = letters.buffers()[2] or pa.py_buffer(b"")
+        made = pa.StringArray.from_buffers(len(starts) - 1, pa.py_buffer(at[starts].tobytes()), data)
+        try:
+            made.validate(full=True)
+        except pa.ArrowInvalid:  # bytes that are no character
+            return pa.array([x.decode(errors="rankloom-each-byte") for x in made.cast(pa.binary()).to_pylist()], pa.string())
+        return made
 
 
 @functools.lru_cache(maxsize=2)
@@ -257,7 +277,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", n_tok
     def make(texts: pa.Array) -> list:
         found = pieces(path).encode([x or "" for x in texts.to_pylist()])
         sizes = [len(x) // 4 for x in found]
-        flat = pa.array(np.frombuffer(b"".join(found), "<i4"))
+        flat = pa.array(np.frombuffer(b"".join(found), np.int32))
         return [pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), flat), sizes]
 
     return extend(df, text, T.StructType([T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(n_tokens, T.LongType())]), make, drop=drop)
@@ -271,7 +291,9 @@ def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded",
     """
 
     def make(rows: pa.Array) -> list:
-        own = pieces(path)
-        return [[own.decode([i for i in x or () if i is not None]) for x in rows.to_pylist()]]
+        if rows.null_count or rows.flatten().null_count:
+            rows = pa.array([[i for i in x or () if i is not None] for x in rows.to_pylist()], rows.type)
+        sizes = rows.value_lengths().to_numpy()
+        return [pieces(path).decode(rows.flatten().to_numpy(), np.r_[0, np.cumsum(sizes, dtype=np.int64)])]
 
     return extend(df, ids, T.StructType([T.StructField(decoded, T.StringType())]), make, drop=drop)
