@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.functions.text import SPACE
@@ -24,6 +24,22 @@ def benchmark_queries(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def own_k(item) -> Column:
+    """A number of results of each query's own, one in four without."""
+    kind = F.pmod(item, F.lit(4))
+    return F.when(kind == 0, 1).when(kind == 1, 5).when(kind == 2, 20)
+
+
+def failed_legs(spark: SparkSession, sf: str) -> DataFrame:
+    """Legs that fail for a query (query_id, upstream_id): where the last event of the two is no view and no purchase."""
+    leg = F.pmod("user_id", F.lit(3))
+    name = F.when(leg == 0, "fts_en").when(leg == 1, "fts_intl").otherwise("vec_all")
+    last = table(spark, sf, "events").groupBy(F.pmod(F.col("value").cast("bigint"), F.lit(400)).alias("query_id"), name.alias("upstream_id")).agg(
+        F.max_by("event_type", "event_id").alias("last")
+    )
+    return last.filter(~F.col("last").isin("view", "purchase")).select("query_id", "upstream_id")
+
+
 def corpus(spark: SparkSession, sf: str) -> DataFrame:
     """The documents as a searchable corpus."""
     # At most one leading piece is empty, so seven pieces hold the first five words.

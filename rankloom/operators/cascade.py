@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 
 from rankloom.functions.scores import LEG_RANGE, leg_normalized, round6
 from rankloom.operators.fusion import fuse_rrf
+from rankloom.operators.validation import DEFAULT_TOP_K
 from rankloom.session import cut, once
 
 
 @dataclass
 class Leg:
-    """A search leg. ``search`` maps queries to (query_id, rank, id, score)."""
+    """A search leg. ``search`` maps queries to (query_id, rank, id, score), as many as each query's top_k asks for."""
 
     upstream_id: str
     kind: str
@@ -31,7 +32,7 @@ class CascadeConfig:
     max_depth: int = 3
     fusion: str | None = None
     rrf_k: int = 60
-    max_results: int = 10
+    max_results: int | None = None  # of fused lists; None: each query's own top_k
     preferred: str | None = None
     content_keys: DataFrame | None = None
     failed: DataFrame | None = None
@@ -88,7 +89,7 @@ def _schedule(legs: list[Leg], cfg: CascadeConfig) -> _Schedule:
     groups: dict[int, list[Leg]] = {}
     for leg in preference_order(legs, cfg.preferred):
         groups.setdefault(leg.priority, []).append(leg)
-    plan, depth = _Schedule(), 0
+    plan, depth = _Schedule(unmet_reason="all_exhausted" if legs else "no_upstreams"), 0
     for _, group in sorted(groups.items()):
         fused = cfg.fusion == "rrf" and len(group) >= 2
         for legs_of_step in [group] if fused else [[leg] for leg in group]:
@@ -125,7 +126,7 @@ def cascade(
     """Search ``queries`` leg by leg; only unsatisfied queries reach the next step.
 
     Returns hits (query_id, rank, id, score, upstream_id), outcome (query_id, stop_reason, final_leg, tried,
-    depth) and the scores of every leg asked. Each step's hits and summary are written once to the
+    depth) and the scores of every leg asked, with whether it failed (``errored``). Each step's hits and summary are written once to the
     shared folder, since both the next step and the result read them.
     """
     cfg = cfg or CascadeConfig()
@@ -136,6 +137,12 @@ def cascade(
         outcomes.append(outcome)
 
     plan = _schedule(legs, cfg)
+    if not plan.steps:
+        outcomes.append(pending.select("query_id", *[F.lit(v).cast("string").alias(c) for c, v in (("stop_reason", plan.unmet_reason), ("final_leg", None), ("tried", ""))], F.lit(0).alias("depth")))
+        none = "rank int, id string, score double, upstream_id string"
+        chosen.append(queries.select("query_id", *[F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in none.split(", ")]).where("false"))
+        scores = queries.select("query_id", F.lit("").alias("upstream_id"), *[F.lit(0.0).alias(c) for c in ("max_score", "normalized")], F.lit(0).cast("bigint").alias("n"), F.lit(True).alias("errored"), F.lit(0).alias("step")).where("false")
+        return reduce(DataFrame.unionByName, [c.select("query_id", "rank", "id", "score", "upstream_id") for c in chosen]), reduce(DataFrame.unionByName, outcomes), scores
     start, step_hits, step_rows, leg_rows = pending, [], [], []
     for step in plan.steps:
         lists, scores = [], []
@@ -150,7 +157,10 @@ def cascade(
         leg_rows.append(per_leg)
         if step.fused:
             with_keys = reduce(DataFrame.unionByName, lists).join(cfg.content_keys, "id")
-            result = fuse_rrf(with_keys, cfg.rrf_k, cfg.max_results).drop("rrf_score")
+            most: int | str = cfg.max_results if cfg.max_results is not None else DEFAULT_TOP_K
+            if cfg.max_results is None and "top_k" in pending.columns:
+                with_keys, most = with_keys.join(pending.select("query_id", "top_k"), "query_id"), "top_k"
+            result = fuse_rrf(with_keys, cfg.rrf_k, most).drop("rrf_score")
             counts = result.groupBy("query_id").agg(F.count("*").alias("n"))
             best = per_leg.groupBy("query_id").agg(F.max(F.when(F.col("n") > 0, F.col("normalized"))).alias("normalized"))
             rows = best.join(counts, "query_id", "left").select(
@@ -234,3 +244,10 @@ def _targeted(queries: DataFrame, legs: list[Leg], failed: DataFrame | None = No
         F.lit(1).alias("depth"),
     )
     return queries.join(settled.select("query_id"), "query_id", "left_anti"), hits, outcome
+
+
+def upstream_failures(outcome: DataFrame, leg_scores: DataFrame) -> DataFrame:
+    """Queries (query_id) that no leg answered: there was none, or all were asked and every one failed. An empty answer is an answer."""
+    asked = leg_scores.groupBy("query_id").agg(F.bool_and("errored").alias("failed"))
+    ended = outcome.filter(F.col("stop_reason").isin("all_exhausted", "no_upstreams")).join(asked, "query_id", "left")
+    return ended.filter(F.coalesce("failed", F.lit(True))).select("query_id")

@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankloom.operators.validation import DEFAULT_TOP_K, MAX_TOP_K
 from rankloom.session import cut
 
 #: Most rows of one window, rounded down to a power of two.
@@ -131,7 +132,15 @@ def ordered_scan(
     return reduce(DataFrame.unionByName, found)
 
 
-def top_rows(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str = "rank") -> DataFrame:
-    """First ``n`` rows per key with their 1-based rank; Spark prunes to ``n`` before it shuffles."""
+def asked_k(top_k: int | str) -> Column:
+    """How many results a query wants: a number for all, or a column of its own, null for the usual number; between 1 and the most allowed."""
+    if isinstance(top_k, int):
+        return F.lit(top_k)
+    return F.greatest(F.lit(1), F.least(F.coalesce(F.col(top_k), F.lit(DEFAULT_TOP_K)), F.lit(MAX_TOP_K))).cast("int")
+
+
+def top_rows(df: DataFrame, keys: list[str], order: list[Column], n: int | str, rank: str = "rank", most: int = MAX_TOP_K) -> DataFrame:
+    """First ``n`` rows per key with their 1-based rank; ``n`` may name a column, with at most ``most``. Spark prunes to that before it shuffles."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= n)
+    ranked = df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= (n if isinstance(n, int) else most))
+    return ranked if isinstance(n, int) else ranked.filter(F.col(rank) <= F.col(n))

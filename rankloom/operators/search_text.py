@@ -2,107 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.functions.scores import by_max_score, round6
 from rankloom.functions.text import tokens
-from rankloom.operators.ordered import top_rows
-from rankloom.session import BROADCAST_ROWS
-
-# Fixed values of the published BM25 formula.
-K1 = 1.2
-B = 0.75
-
-
-def _field_tokens(docs: DataFrame, fields: tuple[str, ...]) -> DataFrame:
-    """(id, field, toks, length) per document and field, partitioned by document.
-
-    Only the searched fields are shuffled, once. Everything up to the partial top-k then stays
-    inside the document's partition: counting terms, joining query weights and summing scores.
-    """
-    spread = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), tokens(f).alias("toks")) for f in fields]))
-    return (
-        docs.select("id", *fields)
-        .repartition("id")
-        .select("id", spread.alias("x"))
-        .select("id", "x.field", "x.toks", F.size("x.toks").alias("length"))
-        .filter(F.col("length") > 0)
-    )
+from rankloom.operators.ordered import asked_k, top_rows
+from rankloom.operators.text_index import TextIndex, build_text_index, query_tokens, search_index
+from rankloom.session import cut
 
 
 def corpus_statistics(docs: DataFrame, fields: tuple[str, ...], vocabulary: DataFrame | None = None) -> DataFrame:
     """(field, token, df, n, avg_length) in one pass; restricted to the tokens of ``vocabulary`` when given.
 
-    Every document adds an empty token that carries its length, so that document frequencies,
-    document count and average length come from the same aggregation. The table can be stored
-    and handed to ``text_search``.
+    Every document adds an empty token that carries its length, so that document frequencies, document count and
+    average length come from one aggregation with map-side combine. The table can be stored and handed to ``text_search``.
     """
-    rows = _field_tokens(docs, fields).select(
-        "field", "length", F.explode(F.concat(F.array(F.lit("")), F.array_distinct("toks"))).alias("token")
-    )
+    spread = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), tokens(f).alias("toks")) for f in fields]))
+    lists = docs.select(spread.alias("x")).select("x.field", "x.toks", F.size("x.toks").alias("length")).filter(F.col("length") > 0)
+    rows = lists.select("field", "length", F.explode(F.concat(F.array(F.lit("")), F.array_distinct("toks"))).alias("token"))
     if vocabulary is not None:
         wanted = vocabulary.withColumn("wanted", F.lit(True))
         rows = rows.join(wanted, "token", "left").filter((F.col("token") == "") | F.col("wanted"))
-    counts = rows.groupBy("field", "token").agg(F.count("*").alias("df"), F.sum("length").alias("total"))
-    per_field = Window.partitionBy("field")
-
-    def of_all(c: str) -> Column:
-        return F.max(F.when(F.col("token") == "", F.col(c))).over(per_field)
-
-    return counts.select(
-        "field", "token", "df", of_all("df").alias("n"), (of_all("total") / of_all("df")).alias("avg_length")
-    ).filter(F.col("token") != "")
+    counts = cut(rows.groupBy("field", "token").agg(F.count("*").alias("df"), F.sum("length").alias("total")))
+    # one row per field
+    whole = counts.filter(F.col("token") == "").select("field", F.col("df").alias("n"), (F.col("total") / F.col("df")).alias("avg_length"))
+    return counts.filter(F.col("token") != "").join(F.broadcast(whole), "field").select("field", "token", "df", "n", "avg_length")
 
 
 def text_search(
     queries: DataFrame,
-    docs: DataFrame,
+    docs: DataFrame | TextIndex,
     fields: tuple[str, ...] = ("content", "title"),
-    top_k: int = 10,
+    top_k: int | str = 10,
     min_score: float | None = None,
     normalized: bool = False,
     stats: DataFrame | None = None,
 ) -> DataFrame:
-    """Top ``top_k`` documents per query as (query_id, rank, id, score).
+    """Top ``top_k`` documents per query as (query_id, rank, id, score); a column's name gives every query its own number.
 
-    A document's score is that of its best field. With ``normalized`` the scores of a query are
-    divided by its best one; ``min_score`` applies to what is returned.
+    ``docs`` is a corpus, or the index of one, which any number of searches may share. A document's score is that of its
+    best field. With ``normalized`` the scores of a query are divided by its best one; ``min_score`` applies to what is
+    returned. ``stats`` are stored ``corpus_statistics``, for scores as in a larger corpus.
     """
-    terms = (
-        queries.select("query_id", F.explode(tokens("query")).alias("token"))
-        .groupBy("query_id", "token")
-        .agg(F.count("*").alias("qtf"))
-    )
-    fits = terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-
-    def sized(side: DataFrame) -> DataFrame:
-        return F.broadcast(side) if fits else side
-
-    vocabulary = sized(terms.select("token").distinct())
-    if stats is None:
-        stats = corpus_statistics(docs, fields, vocabulary)
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = terms.join(stats, "token").select(
-        "query_id", "field", "token", (F.col("qtf") * idf * (K1 + 1)).alias("weight"), "avg_length"
-    )
-    postings = (
-        _field_tokens(docs, fields)
-        .select("id", "field", "length", F.explode("toks").alias("token"))
-        .join(vocabulary, "token", "left_semi")
-        .groupBy("id", "field", "length", "token")
-        .agg(F.count("*").alias("tf"))
-    )
-    tf = F.col("tf")
-    part = F.col("weight") * tf / (tf + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
-    per_field = [F.coalesce(F.sum(F.when(F.col("field") == f, part)), F.lit(0.0)) for f in fields]
-    best = F.greatest(*per_field) if len(per_field) > 1 else per_field[0]
-    scored = (
-        postings.join(sized(weights), ["field", "token"])
-        .groupBy("query_id", "id")
-        .agg(round6(best).alias("score"))
-    )
-    hits = top_rows(scored, ["query_id"], [F.desc("score"), F.asc("id")], top_k)
+    index = docs if isinstance(docs, TextIndex) else build_text_index(docs, fields)
+    found = search_index(query_tokens(queries, asked_k(top_k)), index, stats)
+    hits = top_rows(found, ["query_id"], [F.desc("score"), F.asc("id")], top_k if isinstance(top_k, int) else "k")
     if normalized:
         top = F.max("score").over(Window.partitionBy("query_id"))
         hits = hits.withColumn("score", round6(by_max_score(F.col("score"), top)))

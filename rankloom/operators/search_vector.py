@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rankloom.functions.vectors import as_double
-from rankloom.operators.ordered import top_rows
+from rankloom.operators.ordered import asked_k, top_rows
 from rankloom.session import small
 
 BLOCK_ROWS = 8192
@@ -34,8 +34,8 @@ def similarities(q: np.ndarray, d: np.ndarray, metric: str) -> np.ndarray:
     raise ValueError(f"unknown metric {metric}")
 
 
-def _block_top_k(metric: str, k: int, min_score: float | None, skip_same: bool, earlier: bool) -> Callable:
-    """Task function: best ``k`` of one corpus part for each query of one block."""
+def _block_top_k(metric: str, min_score: float | None, skip_same: bool, earlier: bool) -> Callable:
+    """Task function: each query's best ``k`` of one corpus part, for the queries of one block."""
 
     def best(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -53,14 +53,14 @@ def _block_top_k(metric: str, k: int, min_score: float | None, skip_same: bool,
                     allowed &= ds["seq"].to_numpy()[None, :] < chunk["seq"].to_numpy()[:, None]
                 if min_score is not None:
                     allowed &= sims >= min_score
-                for qid, row, ok in zip(chunk["query_id"], sims, allowed):
+                for qid, k, row, ok in zip(chunk["query_id"], chunk["k"], sims, allowed):
                     pick = np.flatnonzero(ok)
                     if len(pick) > k:
                         floor = np.partition(row[pick], len(pick) - k)[len(pick) - k]
                         pick = pick[row[pick] >= floor]
                     pick = pick[np.lexsort((ids[pick], -row[pick]))][:k]
-                    out.extend((qid, ids[i], row[i] + 0.0) for i in pick)
-        return pd.DataFrame(out, columns=["query_id", "id", "score"])
+                    out.extend((qid, k, ids[i], row[i] + 0.0) for i in pick)
+        return pd.DataFrame(out, columns=["query_id", "k", "id", "score"])
 
     return best
 
@@ -73,14 +73,14 @@ def vector_search(
     queries: DataFrame,
     corpus: DataFrame,
     metric: str = "cosine",
-    top_k: int = 10,
+    top_k: int | str = 10,
     min_score: float | None = None,
     within: tuple[str, ...] = (),
     skip_same: bool = False,
     earlier: bool = False,
     repeated: bool = False,
 ) -> DataFrame:
-    """Top ``top_k`` corpus vectors per query as (query_id, rank, id, score).
+    """Top ``top_k`` corpus vectors per query as (query_id, rank, id, score); a column's name gives every query its own number.
 
     Queries and corpus are hashed into blocks and parts of bounded size, and one task compares
     one block with one part and returns the block's best ``top_k`` there. No pair of rows ever
@@ -91,7 +91,7 @@ def vector_search(
     """
     keys = list(within)
     extra = ["seq"] if earlier else []
-    q = queries.select(*[F.col(c).alias(c) for c in keys], F.col("query_id").alias("query_id"), *[F.col(c).alias(c) for c in extra], as_double("embedding").alias("embedding"))
+    q = queries.select(*[F.col(c).alias(c) for c in keys], F.col("query_id").alias("query_id"), asked_k(top_k).alias("k"), *[F.col(c).alias(c) for c in extra], as_double("embedding").alias("embedding"))
     d = corpus.select(*[F.col(c).alias(c) for c in keys], F.col("id").alias("id"), *[F.col(c).alias(c) for c in extra], as_double("embedding").alias("embedding"))
     if keys:
         blocks = q.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("_nb"))
@@ -117,6 +117,7 @@ def vector_search(
     schema = T.StructType(
         [
             T.StructField("query_id", q.schema["query_id"].dataType),
+            T.StructField("k", T.IntegerType()),
             T.StructField("id", d.schema["id"].dataType),
             T.StructField("score", T.DoubleType()),
         ]
@@ -124,11 +125,11 @@ def vector_search(
     partial = (
         q.groupBy(*cell)
         .cogroup(d.groupBy(*cell))
-        .applyInPandas(_block_top_k(metric, top_k, min_score, skip_same, earlier), schema)
+        .applyInPandas(_block_top_k(metric, min_score, skip_same, earlier), schema)
     )
     if repeated:
         partial = partial.distinct()
-    return top_rows(partial, ["query_id"], [F.desc("score"), F.asc("id")], top_k).select(
+    return top_rows(partial, ["query_id"], [F.desc("score"), F.asc("id")], top_k if isinstance(top_k, int) else "k").select(
         "query_id", "rank", "id", "score"
     )
 
@@ -157,7 +158,7 @@ def vector_search_lsh(
     queries: DataFrame,
     corpus: DataFrame,
     dim: int,
-    top_k: int = 10,
+    top_k: int | str = 10,
     tables: int = 8,
     bits: int = 4,
     skip_same: bool = False,
