@@ -48,7 +48,20 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so that it is computed once."""
     path = work_dir(df.sparkSession, "cut")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    read = df.sparkSession.read.schema(df.schema).parquet(path)
+    read.cut_path = path
+    return read
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete what ``cut`` wrote behind these tables. Only for tables that nothing will read again: their successors are written."""
+    for df in tables:
+        path = getattr(df, "cut_path", None)
+        if path is not None:
+            spark = df.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+            df.cut_path = None
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
