@@ -5,12 +5,11 @@ on it at unit rate, the same for every text, and each names a coordinate. A text
 time at which every coordinate has been hit; the earliest dart of a coordinate is its signature entry. Two texts agree in an
 entry with the probability of their weighted Jaccard similarity, and the darts looked at depend on the signature's length.
 
-Copies share one node from the start. Nodes that agree in a band meet at hubs, not in pairs: the members of a
-bucket are compared with a few of them, what is linked becomes one class, and only buckets of several classes go on to new hubs.
-When a round of hubs joins nothing more, the members of buckets that are still open meet by their rarest elements, of which two
-similar sets must share one, so no link of a bucket is lost to the number of its members.
-Four bits of every signature entry travel with the members, so that the join itself turns away what cannot be similar enough;
-32 bits of every band key do too, so that a member and a hub that share several buckets meet in the first of them only.
+Copies share one node from the start. Nodes that agree in a band meet at the bucket's first node, its hub, not in pairs: a node and a
+hub make one edge, however many bands they share, and each node is compared first with the hub that it shares most bands with,
+then with those hubs that are still of another class. Members of buckets that still hold several classes then meet by their rarest
+elements, of which two similar sets must share one early enough, so no link of a bucket is lost to the number of its members.
+What travels by band is a key and a node; four bits of every signature entry join an edge once, and turn away what cannot be similar.
 """
 
 from __future__ import annotations
@@ -26,13 +25,11 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from rankloom.llm.arrowtext import SPACES, extend, mix, raw, run_digests, span_hashes, words
-from rankloom.session import cut, small
+from rankloom.session import cut, discard, small
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: At a similarity of 0.8 a pair shares none of 24 bands of 5 rows with a chance of 0.00007.
 BANDS, ROWS = 24, 5
-#: Nodes of a bucket that its other classes are compared with in the first and in every later round.
-HUBS = (1, 8)
 #: The chance with which four bits of every entry turn away a pair of just enough similarity.
 ASTRAY = 1e-6
 #: Earlier elements that a place of a prefix carries, so that a pair of sets is made once.
@@ -192,24 +189,18 @@ def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return met.select("x", "y", (common / (F.size("_p") + F.size("_q") - common)).alias("similarity"))
 
 
-def hub_pairs(members: DataFrame, first: int, last: int, similarity: float, entries: int) -> DataFrame:
-    """(x, y) with x < y: the members ranked ``first`` to ``last`` of every bucket and those of other classes ranked below them."""
-    named = [F.col(c).alias(f"hub_{c}" if c != "node" else "hub") for c in ("node", "n", "root", "sketch", "marks", "r")]
-    # of one node at most as many rows as bands
-    hub_bands = F.collect_list("band").over(Window.partitionBy("node")).alias("hub_bands")
-    hubs = members.where(F.col("r").between(first, last)).select("key", *named, hub_bands)
-    near = F.least("n", "hub_n") >= similarity * F.greatest("n", "hub_n")
-    alike = differing(F.col("sketch"), F.col("hub_sketch"), entries) <= most_differing(similarity, entries)
-    met_before = F.exists("hub_bands", lambda b: (b < F.col("band")) & (F.get("marks", b) == F.get("hub_marks", b)))
-    met = members.join(hubs, "key").where((F.col("r") > F.col("hub_r")) & (F.col("root") != F.col("hub_root")) & near & alike & ~met_before)
-    return met.select(F.least("node", "hub").alias("x"), F.greatest("node", "hub").alias("y")).distinct()
+def _alike(similarity: float, entries: int) -> Column:
+    """Whether sizes and sketches of both ends of a pair allow ``similarity``."""
+    near = F.least("n", "other_n") >= similarity * F.greatest("n", "other_n")
+    return near & (differing(F.col("sketch"), F.col("other_sketch"), entries) <= most_differing(similarity, entries))
 
 
 def open_pairs(members: DataFrame, sets: DataFrame, similarity: float, entries: int) -> DataFrame:
-    """(x, y) with x < y: all pairs of different classes among ``members`` that can reach ``similarity``, by prefixes of their sets.
+    """(x, y) with x < y: all pairs of different classes among ``members`` (node, root, n, sketch) that can reach ``similarity``.
 
     With elements in order of their number of holders, two sets of size m and this similarity share one of the first
-    m - similarity * m + 1 of each. Elements of one holder come first and meet nobody, so what thousands share is seldom met at.
+    m - similarity * m + 1 of each; where they meet first, what is left of either must make up the overlap that their sizes ask for.
+    Elements of one holder come first and meet nobody, so what thousands share is seldom met at.
     """
     own = members.select("node", "root", "n", "sketch").dropDuplicates(["node"])
     held = own.select("node").join(sets.toDF("node", "_set"), "node").select("node", F.explode("_set").alias("e"))
@@ -218,55 +209,72 @@ def open_pairs(members: DataFrame, sets: DataFrame, similarity: float, entries:
     size = F.size("_in_order")
     # the product is rounded down before it is rounded up: a prefix may be too long, never too short
     first = F.slice("_in_order", F.lit(1), (size - F.ceil(size * similarity - 1e-6) + 1).cast("int"))
-    shared = F.transform(F.filter(first, lambda x: x["c"] > 1), lambda x: x["e"])
-    prefixes = cut(ranked.select("node", shared.alias("_prefix")).where(F.size("_prefix") > 0).join(own, "node"))
-    place = prefixes.select("node", "root", "n", "sketch", "_prefix", F.posexplode("_prefix").alias("_at", "e"))
+    placed = F.filter(F.transform(first, lambda x, i: F.struct(x["c"].alias("c"), x["e"].alias("e"), i.alias("at"))), lambda x: x["c"] > 1)
+    prefixes = cut(ranked.select("node", size.alias("size"), placed.alias("_prefix")).where(F.size("_prefix") > 0).join(own, "node"))
+    place = prefixes.select("node", "root", "n", "size", "sketch", "_prefix", F.posexplode("_prefix").alias("_at", "x"))
     # the elements before, as many as are worth carrying: a pair is made where none of them is shared
-    before = F.when(F.col("_at") > 0, F.slice("_prefix", F.greatest(F.col("_at") - BEFORE + 1, F.lit(1)), F.least("_at", F.lit(BEFORE)))).otherwise(F.slice("_prefix", 1, 0))
-    place = place.select("e", "node", "root", "n", "sketch", before.alias("before"))
+    names = F.transform("_prefix", lambda x: x["e"])
+    before = F.when(F.col("_at") > 0, F.slice(names, F.greatest(F.col("_at") - BEFORE + 1, F.lit(1)), F.least("_at", F.lit(BEFORE)))).otherwise(F.slice(names, 1, 0))
+    place = place.select(F.col("x.e").alias("e"), "node", "root", "n", "size", F.col("x.at").alias("at"), "sketch", before.alias("before"))
+    # the smaller set of a pair, or the one with the smaller node, is met in a shorter prefix: the other one asks at least its own size of it
+    lesser = place.where(F.col("at") <= F.col("size") * ((1 - similarity) / (1 + similarity)) + 1e-6)
     other = place.select("e", *[F.col(c).alias(f"other_{c}") for c in place.columns[1:]])
-    near = F.least("n", "other_n") >= similarity * F.greatest("n", "other_n")
-    alike = differing(F.col("sketch"), F.col("other_sketch"), entries) <= most_differing(similarity, entries)
-    met = place.join(other, "e").where((F.col("node") < F.col("other_node")) & (F.col("root") != F.col("other_root")) & near & alike & ~F.arrays_overlap("before", "other_before"))
-    return met.select(F.col("node").alias("x"), F.col("other_node").alias("y")).distinct()
+    overlap = (F.col("size") + F.col("other_size")) * (similarity / (1 + similarity)) - 1e-6
+    reach = F.least(F.col("size") - F.col("at"), F.col("other_size") - F.col("other_at")) >= overlap
+    smaller = (F.col("size") < F.col("other_size")) | ((F.col("size") == F.col("other_size")) & (F.col("node") < F.col("other_node")))
+    met = lesser.join(other, "e").where(smaller & reach & (F.col("root") != F.col("other_root")) & _alike(similarity, entries) & ~F.arrays_overlap("before", "other_before"))
+    pairs = cut(met.select(F.least("node", "other_node").alias("x"), F.greatest("node", "other_node").alias("y")).distinct())
+    discard(prefixes)
+    return pairs
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    return cut(compare(pairs, sets).where(F.col("similarity") >= similarity).select("x", "y"))
+
 
+def _rooted(df: DataFrame, roots: DataFrame | None, node: str, root: str) -> DataFrame:
+    """``df`` with the class of its column ``node``: the node itself where it has no link."""
+    if roots is None:
+        return df.withColumn(root, F.col(node))
+    return df.join(roots.toDF(node, root), node, "left").withColumn(root, F.coalesce(root, node))
 
-def link_buckets(members: DataFrame, sets: DataFrame, similarity: float, entries: int = BANDS * ROWS) -> tuple[DataFrame, DataFrame]:
+
+def link_buckets(members: DataFrame, sets: DataFrame, similarity: float, entries: int = BANDS * ROWS, profiles: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Links (x, y) with x < y that join the nodes of buckets into classes, and the classes (node, root).
 
-    members: (key, band, node, n, prio, sketch, marks), sets: by node. The members of a bucket are ranked once, and each round takes
-    the next HUBS of them as hubs, which meet the members of other classes ranked below them. So two members meet once in a bucket.
-    Buckets of one class, or whose members have all been hubs, are done. Once a round from the second on joins nothing more, the
-    members of all others meet by ``open_pairs``: when that happens changes the work, not the classes.
+    members: (key, node), sets: by node, profiles: (node, n, sketch), which members may hold instead. Three steps: every node with the
+    hub of its buckets that it shares most of them with, nodes with those of their other hubs that are of other classes by then, and
+    ``open_pairs`` among the members of buckets that still hold several classes.
     """
-    found: list[DataFrame] = []
-    rank = F.row_number().over(Window.partitionBy("key").orderBy("prio", "node"))
-    members = cut(members.withColumn("r", rank).drop("prio").withColumn("root", F.col("node")))
-    turn, last, roots, none = 0, 0, None, False
-    while not members.isEmpty():
-        turn += 1
-        done = none and turn > 2
-        if done:
-            pairs = cut(open_pairs(members, sets, similarity, entries))
-        else:
-            first, last = last + 1, last + HUBS[min(turn, len(HUBS)) - 1]
-            pairs = cut(hub_pairs(members, first, last, similarity, entries))
-        new = cut(compare(pairs, sets).where(F.col("similarity") >= similarity).select("x", "y"))
-        none = new.isEmpty()
-        if not none:
-            found.append(new)
-            roots = components(reduce(DataFrame.unionByName, found))
-        if done:
-            break
-        if not none:
-            members = members.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        ends = members.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.max("r").alias("c"))
-        open_keys = ends.where((F.col("a") != F.col("b")) & (F.col("c") > last + 1)).select("key")
-        members = cut(members.join(open_keys, "key", "left_semi"))
-    if not found:
-        spark = sets.sparkSession
-        return spark.createDataFrame([], "x long, y long"), spark.createDataFrame([], "node long, root long")
-    return reduce(DataFrame.unionByName, found), roots
+    profiles = members.select("node", "n", "sketch").dropDuplicates(["node"]) if profiles is None else profiles
+    buckets = members.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    central = members.select("key", "node").join(buckets, "key").groupBy("node").agg(F.sum("c").alias("met"))
+    rank = F.struct("met", -F.col("node"))
+    hubs = members.select("key", "node").join(central, "node").groupBy("key").agg(F.max_by("node", rank).alias("hub"), F.count("*").alias("c")).where("c > 1").select("key", "hub")
+    shared = members.select("key", "node").join(hubs, "key").where("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("bands"))
+    edges = shared.join(profiles, "node").join(profiles.toDF("hub", "other_n", "other_sketch"), "hub").where(_alike(similarity, entries))
+    edges = cut(edges.select(F.col("hub").alias("x"), F.col("node").alias("y"), "bands"))
+    best = edges.groupBy("y").agg(F.max_by("x", F.struct("bands", -F.col("x"))).alias("x"))
+    links = _linked(best.select("x", "y"), sets, similarity)
+    roots = None if links.isEmpty() else components(links)
+    ends = _rooted(_rooted(edges.select("x", "y"), roots, "x", "a"), roots, "y", "b")
+    more = _linked(ends.where("a <> b").select("x", "y"), sets, similarity)
+    discard(edges)
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        roots = components(links)
+    placed = cut(_rooted(members.select("key", "node"), roots, "node", "root"))
+    several = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
+    left = placed.join(several, "key", "left_semi").select("node", "root").distinct()
+    pairs = open_pairs(left.join(profiles, "node"), sets, similarity, entries)
+    last = _linked(pairs, sets, similarity)
+    discard(pairs, placed)
+    if not last.isEmpty():
+        links = links.unionByName(last)
+        roots = components(links)
+    if roots is None:
+        roots = links.select(F.col("y").alias("node"), F.col("x").alias("root"))
+    return links, roots
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -281,7 +289,9 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = large.join(lower, "u")
+        known = edges
         edges = cut(hung.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(hung.select("u", F.col("m").alias("v"))).where("u != v").distinct())
+        discard(known)
         state = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if state == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -298,30 +308,38 @@ def near_duplicates(table: DataFrame, id_col: str = "doc_id", text: str = "text"
     """
     alike = table.groupBy("_a", "_b").agg(F.min(F.struct("_row", "_n", "_bands", "_sketch")).alias("f"), F.min(id_col).alias("least_id"), F.count("*").alias("n_copies"))
     nodes = cut(alike.select("_a", "_b", F.col("f._row").alias("node"), F.col("f._n").alias("n"), F.col("f._bands").alias("bands"), F.col("f._sketch").alias("sketch"), "least_id", "n_copies"))
-    marks = F.transform("bands", lambda key: F.hash(key)).alias("marks")
-    banded = nodes.select("node", "n", "sketch", marks, F.posexplode("bands").alias("band", "key"))
+    banded = nodes.select("node", F.explode("bands").alias("key"))
     several = banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    prio = F.when(F.col("band") % 2 == 0, F.col("node")).otherwise(F.xxhash64("node"))
-    members = cut(banded.join(several, "key", "left_semi").select("key", "band", "node", "n", prio.alias("prio"), "sketch", "marks"))
+    members = cut(banded.join(several, "key", "left_semi"))
     wanted = members.select(F.col("node").alias("_row")).distinct()
     sets = cut(element_sets(table.select("_row", text).join(small(wanted), "_row", "left_semi"), text, width))
-    links, roots = link_buckets(members, sets, similarity, entries)
+    links, roots = link_buckets(members, sets, similarity, entries, nodes.select("node", "n", "sketch"))
     placed = nodes.drop("bands", "sketch", "n").join(roots, "node", "left")
     placed = cut(placed.withColumn("root", F.coalesce("root", "node")))
+    discard(members, sets, nodes)
     classes = placed.groupBy("root").agg(F.min("least_id").alias("class_id"))
     return placed.join(classes, "root").drop("least_id"), links, classes
 
 
 def with_classes(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``df``: its id, class_id and n_copies, the rows of the same words."""
-    table = signed(df.select(id_col, text), text)
-    nodes, _, _ = near_duplicates(table, id_col, text)
-    return table.select(id_col, "_a", "_b").join(nodes, ["_a", "_b"]).select(id_col, "class_id", "n_copies")
+    """One row per row of ``df``: its id, class_id and n_copies, the rows of the same words.
+
+    Null, empty and blank texts are one class; a class of null ids alone has a null class_id. Other columns do not matter, whatever
+    their names. An empty table gives an empty one.
+    """
+    table = signed(df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text")))
+    nodes, _, _ = near_duplicates(table, "id")
+    return table.select("id", "_a", "_b").join(nodes, ["_a", "_b"]).select(F.col("id").alias(id_col), "class_id", "n_copies")
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``df`` without rows whose class has an earlier row. Rows of null, empty and blank texts are copies of each other."""
-    table = signed(df, text)
-    nodes, _, _ = near_duplicates(table, id_col, text)
+    """``df`` without rows whose class has an earlier row. Rows of null, empty and blank texts are copies of each other.
+
+    All columns keep their values, whatever their names. An empty table gives an empty one.
+    """
+    names = df.columns
+    place = {n: f"c{i}" for i, n in enumerate(names)}
+    table = signed(df.toDF(*place.values()), place[text])
+    nodes, _, _ = near_duplicates(table, place[id_col], place[text])
     first = nodes.where("root = node").select(F.col("node").alias("_row"))
-    return table.join(first, "_row", "left_semi").select([F.col(f"`{c}`") for c in df.columns])
+    return table.join(first, "_row", "left_semi").select([F.col(c).alias(n) for n, c in place.items()])

@@ -67,6 +67,15 @@ def test_near_duplicates(docs, none):
     assert neardup.with_classes(none).count() == 0 and neardup.one_of_each(none).count() == 0
 
 
+def test_one_of_each_keeps_the_values_of_clashing_columns(spark):
+    schema = "doc_id long, text string, _row string, _n int, _low string, _a string, _b string, _bands string, _sketch string, root string, node string"
+    rows_ = [(i, PROSE if i < 2 else f"{PROSE} and {i} more", f"row{i}", 7, "low", "a", "b", "bands", "sketch", "root", f"node{i}") for i in range(3)]
+    got = neardup.one_of_each(spark.createDataFrame(rows_, schema))
+    kept = sorted(map(tuple, got.collect()))
+    assert got.columns == [c.split()[0] for c in schema.split(", ")] and len(kept) in (1, 2)
+    assert all(r in rows_ for r in kept) and kept[0] == rows_[0]
+
+
 def test_pii(docs, none):
     got = {r.doc_id: r for r in pii.sanitise(docs).collect() if r.doc_id == 10}
     assert got[10]["_clean"] == "Ünï <|endoftext|> 日本 [email] [ip]" and got[10]["_n"] == [1, 1, 0, 0]
