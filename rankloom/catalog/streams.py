@@ -16,7 +16,8 @@ from rankloom.session import work_dir
 from rankloom.sources.cdc import read_cdc
 from rankloom.streaming import machines, traffic
 from rankloom.streaming.apply import apply_cdc
-from rankloom.streaming.runs import drain_append, drain_complete
+from rankloom.streaming.gaps import stream_gaps
+from rankloom.streaming.runs import drain_append, drain_complete, drain_update
 
 NODE = "n0"
 NOW_MS = 1_705_536_000_000  # 2024-01-18
@@ -108,6 +109,25 @@ def _(spark, sf):
     return cdc.cdc_gaps(fx.cdc_events(spark, sf))
 
 
+@query(
+    "stream_gaps",
+    compose(
+        """SELECT origin_node_id, after, sequence AS before, sequence - after - 1 AS missing FROM
+        (SELECT *, lag(sequence) OVER (PARTITION BY origin_node_id ORDER BY sequence) AS after FROM cdc) WHERE sequence - after > 1""",
+        "cdc",
+    ),
+)
+def _(spark, sf):
+    """The change events in four files, each a batch, and a last one with a heartbeat of every origin, a day after its newest event."""
+    path = work_dir(spark, "cdc-files")
+    events = fx.cdc_events(spark, sf).select("origin_node_id", "sequence", "timestamp_ms", "event_id")
+    events.repartitionByRange(4, "event_id").drop("event_id").write.json(path)
+    last = F.max("timestamp_ms").alias("timestamp_ms")
+    beats = events.groupBy("origin_node_id").agg(last).withColumn("timestamp_ms", F.col("timestamp_ms") + 86_400_000)
+    beats.coalesce(1).write.mode("append").json(path)
+    return drain_append(stream_gaps(read_cdc(spark, path, files_per_batch=1), "1 hour"), "gaps")
+
+
 @query(
     "snapshot_events",
     compose(
@@ -145,7 +165,8 @@ def _window_sql(start: str, length: str, source: str) -> str:
 
 @query("stream_tumbling", _window_sql("time_bucket(INTERVAL '1 day', ts)", "1 day", "log"))
 def _(spark, sf):
-    return drain_complete(traffic.stream_stats(log_stream(spark, sf), "1 day", "2 days", by=("upstream_id",)), "tumbling")
+    stats = traffic.stream_stats(log_stream(spark, sf), "1 day", "2 days", by=("upstream_id",))
+    return drain_update(stats, ["window_start", "window_end", "upstream_id"], "tumbling")[0]
 
 
 @query(
@@ -156,7 +177,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     stats = traffic.stream_stats(log_stream(spark, sf), "1 day", "2 days", slide="6 hours", by=("upstream_id",))
-    return drain_complete(stats, "sliding")
+    return drain_update(stats, ["window_start", "window_end", "upstream_id"], "sliding")[0]
 
 
 @query(

@@ -27,27 +27,47 @@ def _decision(node_id: str, now_ms: int) -> Column:
     )
 
 
-def fold_cdc(events: DataFrame, node_id: str, now_ms: int) -> DataFrame:
-    """Table that the events leave behind. Aggregations only, all with map-side combine.
+def effective_events(events: DataFrame, node_id: str, now_ms: int) -> DataFrame:
+    """The events that reach the table."""
+    return events.filter(_decision(node_id, now_ms).isNull())
+
+
+def reduce_cdc(events: DataFrame) -> DataFrame:
+    """The few of ``effective_events`` that decide what they leave behind: one insert and one remove per key, and one clear-all.
 
-    Per key only inserts after its last remove and after the last clear count; the newest of them stays, the first to
-    arrive among equals.
+    Aggregations only, all with map-side combine. Per key only inserts after its last remove and after the last clear count;
+    the newest of them stays, the first to arrive among equals. Reduced events of several batches, in order of arrival, reduce to
+    what all their events do, so a batch can be reduced without a look at what is stored.
     """
-    seen = events.filter(_decision(node_id, now_ms).isNull())
     removal = F.col("event_type") == "remove"
-    cleared = seen.agg(F.max(F.when(removal & (F.col("query_key") == ""), F.col("event_id"))).alias("c")).scalar()
-    removed = seen.filter(removal & (F.col("query_key") != "")).groupBy("query_key").agg(F.max("event_id").alias("removed_at"))
+    cleared = events.agg(F.max(F.when(removal & (F.col("query_key") == ""), F.col("event_id"))).alias("c")).scalar()
+    after_clear = F.col("event_id") > F.coalesce(cleared, F.lit(-2))
+    removed = events.filter(removal & (F.col("query_key") != "")).groupBy("query_key").agg(F.max("event_id").alias("removed_at"))
     live = (
-        seen.filter(F.col("event_type") == "insert")
-        .filter(F.col("event_id") > F.coalesce(cleared, F.lit(-2)))
+        events.filter((F.col("event_type") == "insert") & after_clear)
         .join(removed, "query_key", "left")
         .filter(F.col("event_id") > F.coalesce("removed_at", F.lit(-2)))
     )
     newest = F.struct(-F.col("timestamp_ms"), F.col("event_id"))
     kept = live.groupBy("query_key").agg(
-        F.min_by(F.struct("timestamp_ms", "payload", "upstream_id", "context_id"), newest).alias("x")
+        F.min_by(F.struct("event_id", "timestamp_ms", "payload", "upstream_id", "context_id"), newest).alias("x")
+    )
+    removes = removed.select("query_key", F.col("removed_at").alias("event_id")).filter(after_clear)
+    clear = events.filter(removal & (F.col("query_key") == "")).groupBy("query_key").agg(F.max("event_id").alias("event_id"))
+    return (
+        kept.select("query_key", F.lit("insert").alias("event_type"), "x.*")
+        .unionByName(removes.unionByName(clear).withColumn("event_type", F.lit("remove")), allowMissingColumns=True)
     )
-    return kept.select("query_key", "x.*")
+
+
+def stored_entries(reduced: DataFrame) -> DataFrame:
+    """The table that reduced events leave behind."""
+    return reduced.filter(F.col("event_type") == "insert").select(*STATE)
+
+
+def fold_cdc(events: DataFrame, node_id: str, now_ms: int) -> DataFrame:
+    """Table that the events leave behind."""
+    return stored_entries(reduce_cdc(effective_events(events, node_id, now_ms)))
 
 
 def label_cdc(events: DataFrame, node_id: str, now_ms: int, slot_rows: int = SLOT_ROWS) -> DataFrame:

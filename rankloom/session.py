@@ -53,14 +53,28 @@ def cut(df: DataFrame) -> DataFrame:
     return read
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def numbered_folders(spark: SparkSession, path: str, name: str) -> list[int]:
+    """The numbers n of the finished tables ``path/name=n``, ascending."""
+    parent = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = parent.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(parent):
+        return []
+    found = [x.getPath() for x in files.listStatus(parent)]
+    done = [x.getName() for x in found if files.exists(spark._jvm.org.apache.hadoop.fs.Path(x, "_SUCCESS"))]
+    return sorted(int(x.removeprefix(f"{name}=")) for x in done if x.startswith(f"{name}="))
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Delete what ``cut`` wrote behind these tables. Only for tables that nothing will read again: their successors are written."""
     for df in tables:
         path = getattr(df, "cut_path", None)
         if path is not None:
-            spark = df.sparkSession
-            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+            remove_folder(df.sparkSession, path)
             df.cut_path = None
 
 

@@ -48,7 +48,11 @@ def run_machine(
     stream: DataFrame, keys: list[str], order: list[str], inputs: list[str], output: str, start: Callable, step: Callable,
     ttl_ms: int | None = None,
 ) -> DataFrame:
-    """Streaming counterpart of ``keyed_fold``; rows of a key are ordered within each micro-batch."""
+    """Streaming counterpart of ``keyed_fold``; rows of a key are ordered within each micro-batch.
+
+    A task holds one key's rows of one micro-batch: bound that by the source's files or offsets per trigger. ``ttl_ms`` forgets keys
+    unused for so long in wall-clock time; a stream with it runs until it is stopped, so leave it out where files are to be drained.
+    """
     outputs = T.StructType.fromDDL(output)
     schema = T.StructType([*stream.schema.fields, *outputs.fields])
     processor = KeyedMachine(keys, order, stream.columns, inputs, outputs.fieldNames(), start, step, ttl_ms)
@@ -58,26 +62,26 @@ def run_machine(
     )
 
 
-def stream_token_bucket(arrivals: DataFrame, key: str, rps: float, burst: float) -> DataFrame:
+def stream_token_bucket(arrivals: DataFrame, key: str, rps: float, burst: float, ttl_ms: int | None = None) -> DataFrame:
     rows = arrivals.withColumns({"rps": F.lit(float(rps)), "burst": F.lit(float(burst)), "at_us": F.unix_micros("ts")})
     return run_machine(
-        rows, [key], ["at_us", "request_id"], ["at_us", "rps", "burst"], "allowed boolean, tokens double", bucket_start, bucket_step
+        rows, [key], ["at_us", "request_id"], ["at_us", "rps", "burst"], "allowed boolean, tokens double", bucket_start, bucket_step, ttl_ms
     )
 
 
-def stream_circuit(outcomes: DataFrame, cfg: CircuitConfig | None = None) -> DataFrame:
+def stream_circuit(outcomes: DataFrame, cfg: CircuitConfig | None = None, ttl_ms: int | None = None) -> DataFrame:
     start, step = circuit_machine(cfg or CircuitConfig())
     rows = outcomes.withColumn("at_us", F.unix_micros("ts"))
     return run_machine(
-        rows, ["upstream_id"], ["at_us", "seq"], ["at_us", "success"], "state string, admitted boolean", start, step
+        rows, ["upstream_id"], ["at_us", "seq"], ["at_us", "success"], "state string, admitted boolean", start, step, ttl_ms
     )
 
 
-def stream_resilience(outcomes: DataFrame, cfg: ResilienceConfig | None = None) -> DataFrame:
+def stream_resilience(outcomes: DataFrame, cfg: ResilienceConfig | None = None, ttl_ms: int | None = None) -> DataFrame:
     start, step = resilience_machine(cfg or ResilienceConfig())
     rows = outcomes.withColumn("at_us", F.unix_micros("ts"))
     return run_machine(
-        rows, ["upstream_id"], ["at_us", "seq"], ["at_us", "success"], "state string, rps_limit double", start, step
+        rows, ["upstream_id"], ["at_us", "seq"], ["at_us", "success"], "state string, rps_limit double", start, step, ttl_ms
     )
 
 
@@ -100,11 +104,7 @@ def freshness_machine(fresh: float, stale: float):
 
 
 def stream_replay(log: DataFrame, fresh: float, stale: float, ttl_ms: int | None = None) -> DataFrame:
-    """Label every access of a log stream (key, ts, seq) hit, stale, expired or miss.
-
-    ``ttl_ms`` forgets keys unused for so long in wall-clock time; a stream with it runs until it is stopped, so leave
-    it out where the files at hand are to be drained.
-    """
+    """Label every access of a log stream (key, ts, seq) hit, stale, expired or miss."""
     start, step = freshness_machine(fresh, stale)
     rows = log.withColumn("at_us", F.unix_micros("ts"))
     return run_machine(rows, ["key"], ["at_us", "seq"], ["at_us"], "outcome string", start, step, ttl_ms)
@@ -149,13 +149,13 @@ def alert_machine(n: int, above: str, alert_count: int):
     return start, step
 
 
-def stream_drift(refreshes: DataFrame) -> DataFrame:
+def stream_drift(refreshes: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """Drift level of each refresh (query_id, upstream_id, ts, seq, ids, scores) against the one before; null for the first."""
     start, step = snapshot_machine()
-    return run_machine(refreshes, ["query_id"], ["ts", "seq"], ["ids", "scores"], "level string", start, step)
+    return run_machine(refreshes, ["query_id"], ["ts", "seq"], ["ids", "scores"], "level string", start, step, ttl_ms)
 
 
-def stream_drift_alerts(observations: DataFrame, n: int = 100, above: str = "moderate", alert_count: int = 10) -> DataFrame:
+def stream_drift_alerts(observations: DataFrame, n: int = 100, above: str = "moderate", alert_count: int = 10, ttl_ms: int | None = None) -> DataFrame:
     """Alerts per upstream over its last ``n`` levels (upstream_id, ts, seq, level)."""
     start, step = alert_machine(n, above, alert_count)
-    return run_machine(observations, ["upstream_id"], ["ts", "seq"], ["level"], "total int, alert boolean", start, step)
+    return run_machine(observations, ["upstream_id"], ["ts", "seq"], ["level"], "total int, alert boolean", start, step, ttl_ms)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rankloom.session import work_dir
 
@@ -53,3 +55,44 @@ def drain_complete(stream: DataFrame, name: str) -> DataFrame:
     )
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
+
+
+@contextmanager
+def kept_progress(spark: SparkSession, most: int = 100_000):
+    """Keep the progress of every batch of a run."""
+    name = "spark.sql.streaming.numRecentProgressUpdates"
+    before = spark.conf.get(name)
+    spark.conf.set(name, most)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def drain_update(stream: DataFrame, keys: list[str], name: str) -> tuple[DataFrame, list[dict]]:
+    """Keep the last version of every row of an aggregating stream, by ``keys``; and per batch what its state held and dropped.
+
+    A batch writes the rows that it changed. State goes with the watermark: the second result has a row per batch with ``batch``,
+    ``state_rows`` and ``late_rows``, the rows that came after their window was closed and are counted nowhere else.
+    """
+    spark = stream.sparkSession
+    out = work_dir(spark, name)
+
+    def write(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={n}")
+
+    with kept_progress(spark):
+        query = (
+            stream.writeStream.foreachBatch(write).outputMode("update")
+            .option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+        told = query.recentProgress
+    by_batch = [
+        {"batch": p["batchId"], "state_rows": sum(o["numRowsTotal"] for o in p["stateOperators"]), "late_rows": sum(o["numRowsDroppedByWatermark"] for o in p["stateOperators"])}
+        for p in told
+    ]
+    versions = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(out)
+    rest = [c for c in stream.columns if c not in keys]
+    last = versions.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_last"))
+    return last.select(*keys, "_last.*").select(*stream.columns), by_batch
