@@ -9,6 +9,8 @@ from rankloom.catalog.base import query
 from rankloom.catalog.ctes import CTE, compose
 from rankloom.functions.scores import round6
 from rankloom.operators import embed, search_text, search_vector
+from rankloom.operators.vector_index import VectorIndex, semantic_match_indexed
+from rankloom.session import cut, work_dir
 
 HITS = """SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank, id, score
     FROM bm QUALIFY rank <= {k}"""
@@ -178,3 +180,64 @@ def _(spark, sf):
         .groupBy("lang")
         .agg(F.sum("n").alias("rows"), F.count("*").alias("computed"))
     )
+
+
+@query(
+    "embed_texts_known",
+    compose(
+        """SELECT id, CAST(axis AS INTEGER) AS axis, round(n / sqrt(sum(n * n) OVER (PARTITION BY id)), 6) AS component
+        FROM bow""",
+        t=TEXTS, bow=bow_sql("t"),
+    ),
+)
+def _(spark, sf):
+    """All texts, with the vectors of the documents from an earlier run."""
+    store = embed.VectorStore(spark, work_dir(spark, "vectors"))
+    store.embed(fx.table(spark, sf, "documents"), "text")
+    vectors = embed.embed_texts(texts(spark, sf), "text", known=store.known())
+    long = vectors.select("id", F.posexplode("embedding").alias("axis", "x"))
+    return long.filter(F.col("x") != 0).select("id", "axis", round6("x").alias("component"))
+
+
+@query(
+    "vector_store_runs",
+    compose(
+        """SELECT 1 AS run, count(*) AS rows, (SELECT count(DISTINCT text) FROM benchmark WHERE text SIMILAR TO '(.|\n)*[\p{L}\p{N}](.|\n)*') AS computed FROM benchmark
+        UNION ALL SELECT 2, count(*), count(DISTINCT text) FILTER (text SIMILAR TO '(.|\n)*[\p{L}\p{N}](.|\n)*' AND text NOT IN (SELECT text FROM benchmark)) FROM t
+        UNION ALL SELECT 3, count(*), 0 FROM t""",
+        t=TEXTS,
+    ),
+)
+def _(spark, sf):
+    """Three runs of one store: the benchmark, everything, everything again."""
+    store = embed.VectorStore(spark, work_dir(spark, "vectors"))
+    bench, every = fx.table(spark, sf, "benchmark").select("text"), texts(spark, sf).select("text")
+    told = []
+    for run, rows in enumerate((bench, every, every), 1):
+        found, computed = store.embed(rows, "text")
+        told.append(found.agg(F.lit(run).alias("run"), F.count("embedding").alias("rows"), F.lit(computed).cast("bigint").alias("computed")))
+    return told[0].unionByName(told[1]).unionByName(told[2])
+
+
+@query(
+    "semantic_index_recall",
+    compose(
+        "SELECT lang, count(*) FILTER (sim >= 0.99) AS matches, true AS reached FROM pairs GROUP BY lang",
+        dbow_=bow_sql("documents", "doc_id, lang", "text"),
+        dv="""SELECT d.doc_id AS seq, any_value(d.lang) AS lang, list(coalesce(b.n, 0.0) ORDER BY x.axis) AS v,
+        greatest(sqrt(sum(coalesce(b.n, 0.0) ** 2)), 1e-9) AS norm FROM documents d CROSS JOIN range(0, 128) x(axis)
+        LEFT JOIN dbow_ b ON b.doc_id = d.doc_id AND b.axis = x.axis GROUP BY d.doc_id""",
+        pairs="""SELECT a.seq, max(round(list_inner_product(a.v, b.v) / (a.norm * b.norm), 6)) AS sim, any_value(a.lang) AS lang FROM dv a
+        JOIN dv b ON a.lang = b.lang AND a.seq <> b.seq GROUP BY a.seq""",
+    ),
+)
+def _(spark, sf):
+    """Per language, documents with another one nearer than 0.99, and whether the index finds nine tenths of them or more."""
+    docs = fx.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "lang", "text")
+    vectors = cut(embed.embed_texts(docs, "text").drop("text"))
+    queries = vectors.withColumnRenamed("id", "query_id")
+    exact = search_vector.vector_search(queries, vectors, top_k=1, within=("lang",), skip_same=True)
+    found = semantic_match_indexed(queries, VectorIndex(vectors, keys=("lang",)), 0.99, skip_same=True)
+    both = exact.select("query_id", "score").join(found, "query_id").join(queries.select("query_id", "lang"), "query_id")
+    near = F.col("score") >= 0.99
+    return both.groupBy("lang").agg(F.count_if(near).alias("matches"), (F.count_if(near & F.col("hit")) >= 0.9 * F.count_if(near)).alias("reached"))

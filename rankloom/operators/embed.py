@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.functions.text import tokens
+from rankloom.session import cut, discard, numbered_folders
 
 DIM = 128
 
@@ -66,3 +67,37 @@ def embed_texts(
         .withColumn("embedding", F.coalesce("embedding", zero))
         .drop("text_key")
     )
+
+
+class VectorStore:
+    """Vectors of texts (text_key, embedding) kept between runs in a folder: a run appends what it had to compute, and reads the rest."""
+
+    def __init__(self, spark: SparkSession, path: str, dim: int = DIM):
+        self.spark, self.path, self.dim = spark, path, dim
+
+    def known(self) -> DataFrame:
+        """All vectors of finished runs."""
+        runs = [f"{self.path}/run={n}" for n in numbered_folders(self.spark, self.path, "run")]
+        reader = self.spark.read.schema("text_key string, embedding array<double>")
+        return reader.parquet(*runs) if runs else self.spark.createDataFrame([], "text_key string, embedding array<double>")
+
+    def embed(self, df: DataFrame, text_col: str, embedder: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, int]:
+        """``df`` with ``embedding``, and how many texts had to be computed.
+
+        Keys alone are held against the stored ones, so that no stored vector and no known text travels before it is
+        needed; the new vectors are written as one run before anything reads them. A run that finds nothing new writes nothing.
+        """
+        texts = df.select(F.sha2(text_col, 256).alias("text_key"), F.col(text_col).alias("text")).where("text IS NOT NULL")
+        missing = texts.join(self.known().select("text_key"), "text_key", "left_anti").dropDuplicates(["text_key"])
+        made = cut((embedder or hash_bow(self.dim))(missing).select("text_key", F.col("embedding").cast("array<double>").alias("embedding")))
+        n = made.count()
+        if n:
+            number = 1 + max(numbered_folders(self.spark, self.path, "run"), default=-1)
+            made.write.mode("overwrite").parquet(f"{self.path}/run={number}")
+        discard(made)
+        return embed_texts(df, text_col, known=self.known(), embedder=_none(self.dim), dim=self.dim), n
+
+
+def _none(dim: int) -> Callable[[DataFrame], DataFrame]:
+    """An embedder for texts that are all known: those that are not (texts without tokens) keep the zero vector."""
+    return lambda texts: texts.select("text_key", F.array_repeat(F.lit(0.0), dim).alias("embedding"))
