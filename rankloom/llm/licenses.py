@@ -11,11 +11,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.session import once
+from rankloom.session import cut, once, small
 
 # A text without any of these has no copyright line.
 _MARKS = ("copyright", "(c)", "©", "all rights reserved")
-COPYRIGHT = r"(?im)^[^\p{L}\n]*(copyright[ \t]*(\(c\)|©|[0-9]|<|\[)|\(c\)[ \t]*[0-9<\[]|©|all rights reserved).*$"
+COPYRIGHT = (
+    r"(?im)^[^\p{L}\n]*((portions|parts)[ \t]+copyright\b|copyright[ \t]*(\(c\)|©|:|[0-9]|<|\[)|copyright[ \t]+[^\n]*\b(19|20)[0-9][0-9]\b|"
+    r"copyright[ \t]+the[ \t][^\n]*\b(authors|contributors|developers|project|team)[ \t.]*$|\(c\)[ \t]*[0-9<\[]|\(c\)[ \t][^\n]*\b(19|20)[0-9][0-9]\b|©|all rights reserved).*$"
+)
 WORDLESS = r"[^\p{L}\p{N}]+"
 # The same within a line; a space that already stands alone is left, for speed.
 _WORDLESS_IN_LINE = r"[^\p{L}\p{N}\n ][^\p{L}\p{N}\n]*| [^\p{L}\p{N}\n]+"
@@ -77,6 +80,30 @@ KNOWN = (
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
 )
 
+#: Longer public licences, whole and up to the end of their terms, by the first letters, size and digest of their normal forms.
+DIGESTS = (
+    ("Apache-2.0", "apa", 8871, "f70a2718f78121f2da77cd6afbffffbd668d7c1fd36c85a3ef121e83cb5f48fe"),
+    ("Apache-2.0", "apa", 9887, "036b5ff6d47b44974c624da95e5bf0ac7ddfe5030e41dfa7ff8ac0c1daa9f32b"),
+    ("Artistic-1.0-Perl", "the", 5833, "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702"),
+    ("BSD-3-Clause-UC", "red", 1361, "21ce5e311a0ef74591e636cf6d0a236029bcaa0ee86324ac68d5748657aa8651"),
+    ("CC0-1.0", "cre", 6692, "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.2", "gnu", 19578, "15f6a8d360ffdecc988c29279c00f23e20de17f14f2a06572ab0d41de6e98b7b"),
+    ("GFDL-1.3", "gnu", 22013, "2d36daeff2ad303badb6dee8149748be25e22974dd468e1e8a55cf40f16fc01d"),
+    ("GPL-1.0", "gnu", 11765, "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224"),
+    ("GPL-1.0", "gnu", 9415, "6375a768fd262bf5281905a9585411d2d0fb4ea15cb08cfcba49f73fedb82abc"),
+    ("GPL-2.0", "gnu", 14483, "e1270b653c300290e7c039142bccb8776f9b5d14e8a05bc4e87dc7d1614a3b34"),
+    ("GPL-2.0", "gnu", 17117, "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821"),
+    ("GPL-3.0", "gnu", 30968, "ac6b52d57c0104e687039148f7b8e370e04c9bb5705bb786f8ef814eb65e8636"),
+    ("GPL-3.0", "gnu", 33406, "eaab5d82fdcca441d83a1913bbf07e4de3a739e190578c0bffde24f84e93bb2a"),
+    ("LGPL-2.0", "gnu", 22277, "504542bce5421b0f5a7e63ddb55443ccb300b27a65ba6bfc1370fed16a3af260"),
+    ("LGPL-2.0", "gnu", 24130, "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908"),
+    ("LGPL-2.1", "gnu", 23365, "48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4"),
+    ("LGPL-2.1", "gnu", 25217, "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891"),
+    ("LGPL-3.0", "gnu", 7104, "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "moz", 22447, "cbbde7eeab9b4d180dc00b34252f800e97fb1cddbab38ed8c0c73b956dc2cbf6"),
+    ("MPL-2.0", "moz", 14342, "6fedd8db6adb0e102fc0f69b9e1501d2edaf25940e34910831cab46f9f5d4e4d"),
+)
+
 
 def bare(lower: Column) -> Column:
     """The words of every line of a lower-case text one space apart, without copyright lines and punctuation; lines stay lines."""
@@ -96,18 +123,19 @@ def canonical(words: Column) -> Column:
     return F.when(words.rlike("|".join(p for p, _ in EQUIVALENT)), made).otherwise(words)
 
 
-def known_digests(spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
-    """(license, digest, start: the first three letters) of a list of licence texts; two licences of one normal form are an error of the list."""
-    table = spark.createDataFrame(list(known), "license string, unit string")
+def known_digests(spark: SparkSession, known: tuple[tuple[str, str], ...] | DataFrame = KNOWN, digests: tuple[tuple[str, str, int, str], ...] = DIGESTS) -> DataFrame:
+    """(license, start: the first three letters, size: the characters, digest) of normal forms: of licence texts (license, unit), and such rows as they are."""
+    table = known if isinstance(known, DataFrame) else spark.createDataFrame(list(known), "license string, unit string")
     made = canonical(one_line(bare(F.lower("unit"))))
-    return table.select("license", F.sha2(made, 256).alias("digest"), F.left(made, F.lit(3)).alias("start")).distinct()
+    own = once(table, _made=made).select("license", F.left("_made", F.lit(3)).alias("start"), F.length("_made").alias("size"), F.sha2("_made", 256).alias("digest"))
+    return own.unionByName(spark.createDataFrame(list(digests), "license string, start string, size int, digest string")).distinct()
 
 
-def scan(df: DataFrame, id_col: str = "doc_id", text: str = "text", known: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
+def scan(df: DataFrame, id_col: str = "doc_id", text: str = "text", known: tuple[tuple[str, str], ...] | DataFrame = KNOWN, digests: tuple[tuple[str, str, int, str], ...] = DIGESTS) -> DataFrame:
     """Every unit that is a known licence or notice: id, unit (0: the whole text, n: its n-th line), license, digest.
 
-    Null and empty texts and lines without words are none. Repeated rows give repeated results. The list of known licences is
-    part of the program, its digests are broadcast.
+    Null and empty texts and lines without words are none. Repeated rows give repeated results, an empty table none; other columns
+    do not matter. ``known`` lists licence texts, as a tuple or as a table (license, unit) of any size; ``digests`` known normal forms.
     """
     low = once(df.where(F.col(text).isNotNull()).select(id_col, text), _low=F.lower(F.col(text))).select(id_col, "_low")
     bared = once(low, _bare=bare(F.col("_low"))).select(id_col, "_bare")
@@ -115,8 +143,10 @@ def scan(df: DataFrame, id_col: str = "doc_id", text: str = "text", known: tuple
     words = bared.select(id_col, F.posexplode(units).alias("unit", "_u")).withColumn("_words", F.btrim("_u"))
     # No spelling loses half of a text or changes its first three letters: what is twice as long as every known licence, or starts
     # unlike all of them, is none, and skips spellings and digest.
-    words = words.where(F.length("_words").between(1, 2 * max(len(t) for _, t in known)))
-    listed = known_digests(df.sparkSession, known)
-    words = words.join(F.broadcast(listed.select("start").distinct()), F.left("_words", F.lit(3)) == F.col("start"), "left_semi")
-    digests = words.select(id_col, "unit", F.sha2(canonical(F.col("_words")), 256).alias("digest"))
-    return digests.join(F.broadcast(listed.drop("start")), "digest").select(id_col, F.col("unit").cast("long").alias("unit"), "license", "digest")
+    listed = cut(known_digests(df.sparkSession, known, digests))
+    longest = listed.agg(F.max("size")).first()[0] or 0
+    words = words.where(F.length("_words").between(1, 2 * longest))
+    starts = listed.groupBy("start").agg(F.max("size").alias("most"))
+    words = words.join(small(starts), (F.left("_words", F.lit(3)) == F.col("start")) & (F.length("_words") <= 2 * F.col("most")), "left_semi")
+    found = words.select(id_col, "unit", F.sha2(canonical(F.col("_words")), 256).alias("digest"))
+    return found.join(small(listed.select("license", "digest")), "digest").select(id_col, F.col("unit").cast("long").alias("unit"), "license", "digest")

@@ -130,13 +130,15 @@ def _canonical_sql(unit: str) -> str:
     return f"sha256({bare})"
 
 
+_DIGEST_ROWS = ", ".join(f"('{k}', '{d}')" for k, _, _, d in licenses.DIGESTS)
 _KNOWN_ROWS = ", ".join(f"('{k}', '{_duck(t)}')" for k, t in licenses.KNOWN)
 
 
 @query(
     "op9_licenses",
     f"""
-WITH known AS (SELECT DISTINCT license, {_canonical_sql('unit')} AS digest FROM (VALUES {_KNOWN_ROWS}) AS t(license, unit)),
+WITH known AS (SELECT license, {_canonical_sql('unit')} AS digest FROM (VALUES {_KNOWN_ROWS}) AS t(license, unit)
+    UNION SELECT * FROM (VALUES {_DIGEST_ROWS}) AS t(license, digest)),
 lines AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS unit, unnest(l) AS u FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)),
 units AS (SELECT doc_id, 0 AS unit, text AS u FROM documents WHERE text IS NOT NULL UNION ALL SELECT * FROM lines),
 digests AS (SELECT doc_id, unit, {_canonical_sql('u')} AS digest FROM units)
