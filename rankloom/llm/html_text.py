@@ -2,8 +2,8 @@
 
 A page is a row of events. Words score positive and tags negative, by the log-odds of standing in the article of labelled pages
 (those that mark it with an article element). Elements that are never article text (scripts, menus, forms, adverts, comments and
-the like, by element or by class and id) score nothing and give no text, unless they enclose the article. A linear scan finds the
-contiguous run of events of the highest score; its words are the main text.
+the like, by element or by class and id) score nothing and give no text, unless they enclose the article; a name alone cuts nothing that
+outweighs all the rest of the page. A linear scan finds the contiguous run of events of the highest score; its words are the main text.
 """
 
 from __future__ import annotations
@@ -29,25 +29,29 @@ LABELLED = 2000
 _REST = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
 EVENT = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    # a head ends at its closing tag or where the first element or text of the body begins
-    rf"|<head(?=[\s/>]){_REST}>(?>\s+|<!--.*?-->|<(?P<in_head>title|script|style|noscript|template)\b{_REST}>.*?</(?P=in_head)\s*>|<(?:meta|link|base)\b{_REST}>)*+(?:</head\s*>)?"
-    rf"|<svg\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?<=/)>"
-    r"|<svg\b[^>]*>(?:.*?</svg\s*>|.*?(?=<(?:p|div|h[1-6]|ul|ol|table|article|main|section|/body)\b)|.*)"
     r"|<(?P<raw>script|style|noscript|template|iframe|textarea|select)\b[^>]*(?:>.*?(?:</(?P=raw)\s*>|\Z)|\Z)"
     rf"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>{_REST})(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)"
     r"|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
+#: A page's head ends at its closing tag or where the first element or text of the body begins.
+HEAD = re.compile(
+    rf"<head(?=[\s/>]){_REST}>(?>\s+|<!--.*?-->|<(?P<in_head>title|script|style|noscript|template)\b{_REST}>.*?</(?P=in_head)\s*>|<(?:meta|link|base)\b{_REST}>)*+(?:</head\s*>)?",
+    re.S | re.I,
+)
 # Elements of HTML by their role.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-BOILERPLATE = frozenset("nav footer aside form button dialog menu".split())
+BOILERPLATE = frozenset("nav footer aside form button dialog menu svg".split())
+BLOCKS = frozenset("article main section div p h1 h2 h3 h4 h5 h6 ul ol table".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 MARKED = re.compile(
     r"(?<![a-z])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|menu|nav|navbar|navigation|breadcrumbs?|sidebar|side-bar|"
     r"footer|site-header|page-header|masthead|topbar|comments?|commentlist|disqus|reply|replies|respond|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|search|"
     r"popup|modal|overlay|widget|pagination|pager|skip-link|toolbar)(?![a-z])", re.I,
 )
+#: Of these, what readers write: left out however long it is, as long as anything else is left.
+READERS = re.compile(r"(?<![a-z])(?:comments?|commentlist|disqus|reply|replies|respond)(?![a-z])", re.I)
 # Of these, what marks a container inside an article, by class or role.
 MARKED_INSIDE = re.compile(
     r"(?<![a-z])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|comments?|commentlist|disqus|replies|respond|share|sharing|social|related|recommended|newsletter|subscribe|signup)(?![a-z])", re.I,
@@ -58,13 +62,14 @@ CONTAINERS = frozenset("div section ul ol dl aside table".split())
 ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 
 
-def _marked(tag: str, rest: str, inside: bool) -> bool:
-    """Whether the class, id or role names of an element are those of something else than an article's text."""
+def _marked(tag: str, rest: str, inside: bool) -> int:
+    """Whether the class, id or role names of an element are those of something else than an article's text (NAMED), or of what readers write (READER)."""
     if inside and tag not in CONTAINERS or not (pattern := MARKED_INSIDE if inside else MARKED).search(rest):
-        return False
+        return 0
     names = ("class", "role") if inside else ("class", "id", "role")
     values = (a or b or c for name, a, b, c in ATTRIBUTE.findall(rest) if name.lower() in names)
-    return any(pattern.search(x) and not LAYOUT.match(x) for v in values for x in v.split())
+    hits = [x for v in values for x in v.split() if pattern.search(x) and not LAYOUT.match(x)]
+    return 0 if not hits else READER if any(map(READERS.search, hits)) else NAMED
 
 
 @dataclass(frozen=True)
@@ -77,48 +82,89 @@ class Weights:
         return self.tags.get(tag, self.other)
 
 
+#: Why an element may be cut: by its own kind, by a name, by a name of what readers write.
+KIND, NAMED, READER = 1, 2, 3
+#: A named element is kept if it has more than this many times the words of all that would be left without it.
+OUTWEIGHS = 4
+
+
 def events(page: str) -> list[tuple[str, str]]:
     """(tag, "") and ("", text) in page order, without comments, raw elements and boilerplate elements. A closing tag begins with /."""
-    found: list[tuple[str, str, bool]] = []
+    if head := HEAD.search(page):
+        page = page[: head.start()] + page[head.end() :]
+    found: list[tuple[str, str, int]] = []
     inside = 0  # open article or main elements
     for m in EVENT.finditer(page):
         if m["text"] is not None:
-            found.append(("", m["text"], False))
+            found.append(("", m["text"], 0))
         elif m["tag"]:
             tag = m["tag"].lower()
             if tag in ("article", "main"):
                 inside = max(inside + (-1 if m["end"] else 1), 0)
-            bad = not m["end"] and tag not in VOID and tag not in ("html", "body", "article", "main") and not m["rest"].endswith("/")
-            bad = bad and (tag in BOILERPLATE or tag == "header" and inside <= 0 or _marked(tag, m["rest"], inside > 0))
+            bad = 0
+            if not m["end"] and tag not in VOID and tag not in ("html", "body", "article", "main") and not m["rest"].endswith("/"):
+                bad = KIND if tag in BOILERPLATE or tag == "header" and inside <= 0 else _marked(tag, m["rest"], inside > 0)
+            if tag == "svg" and m["rest"].endswith("/"):
+                continue
             found.append(((m["end"] and "/") + tag, "", bad))
+    closers = _closers(found)
+    words, holds = _words(found), _holder(found)
+    cut = _cuts(found, closers, holds, frozenset())
+    left = words[-1] - sum(words[closers[i] + 1] - words[i] for i in cut)
+    kept = set()
+    for i in sorted((i for i in cut if found[i][2] != KIND), key=lambda i: words[i] - words[closers[i] + 1]):
+        own = words[closers[i] + 1] - words[i]
+        if own > (OUTWEIGHS * left if found[i][2] == NAMED else 0) and (found[i][2] == NAMED or not left):
+            kept.add(i)
+            left += own
+    cut = _cuts(found, closers, holds, kept) if kept else cut
     out, i = [], 0
-    closers, holds = _closers(found), _holder(found)
     while i < len(found):
-        tag, text, bad = found[i]
-        if not bad or holds(i, closers[i]):
-            out.append((tag, text))
-        else:
+        tag, text, _ = found[i]
+        if i in cut:
             out.append(("/", ""))  # what was cut out parts the text around it
             i = closers[i]
+        else:
+            out.append((tag, text))
         i += 1
     return out
 
 
-def _holder(found: list[tuple[str, str, bool]]) -> Callable[[int, int], bool]:
+def _words(found: list[tuple[str, str, int]]) -> list[int]:
+    """The words before each event, and of all."""
+    total = [0]
+    for tag, text, _ in found:
+        total.append(total[-1] + (0 if tag else len(text.split())))
+    return total
+
+
+def _cuts(found: list[tuple[str, str, int]], closers: dict[int, int], holds: Callable[[int, int], bool], kept: set[int] | frozenset[int]) -> set[int]:
+    """The outermost elements that are cut out."""
+    out, i = set(), 0
+    while i < len(found):
+        if found[i][2] and i not in kept and not holds(i, closers[i]):
+            out.add(i)
+            i = closers[i]
+        i += 1
+    return out
+
+
+def _holder(found: list[tuple[str, str, int]]) -> Callable[[int, int], bool]:
     """Tells whether an element that looks like boilerplate, from its opening tag to its end, holds the article.
 
     It does with a main element or all articles of the page in it; a form also does with the first
     h1 or half of the words of the page, and an element named by its class or id with the first h1.
     """
     at: dict[str, list[int]] = {"article": [], "main": [], "h1": []}
-    words = [0]
-    for i, (tag, text, _) in enumerate(found):
+    for i, (tag, _, _) in enumerate(found):
         if tag in at:
             at[tag].append(i)
-        words.append(words[-1] + (0 if tag else len(text.split())))
+    words = _words(found)
 
     def holds(a: int, b: int) -> bool:
         tag = found[a][0]
+        if tag == "svg":
+            return False
         if bisect(at["main"], a) < bisect(at["main"], b) or at["article"] and a < at["article"][0] and at["article"][-1] < b:
             return True
         if tag != "form" and (tag in BOILERPLATE or tag == "header"):
@@ -128,8 +174,8 @@ def _holder(found: list[tuple[str, str, bool]]) -> Callable[[int, int], bool]:
     return holds
 
 
-def _closers(found: list[tuple[str, str, bool]]) -> dict[int, int]:
-    """Where each boilerplate element ends: at its closing tag, else before the next block that opens."""
+def _closers(found: list[tuple[str, str, int]]) -> dict[int, int]:
+    """Where each boilerplate element ends: at its closing tag, else before the next block that opens. An svg ends at both."""
     out, open_at = {}, {}
     for i, (tag, _, bad) in enumerate(found):
         if tag[:1] == "/":
@@ -145,7 +191,9 @@ def _closers(found: list[tuple[str, str, bool]]) -> dict[int, int]:
         tag, _, bad = found[i]
         if bad and i not in out:
             out[i] = after - 1
-        if tag in ("article", "main", "section", "div", "p", "h1", "h2", "/body", "/html"):
+        elif tag == "svg" and bad:
+            out[i] = min(out[i], after - 1)
+        if tag in BLOCKS or tag in ("/body", "/html"):
             after = i
     return out
 

@@ -1,5 +1,6 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing extra columns, for every operator and stage."""
 
+import time
 import zlib
 
 import numpy as np
@@ -138,6 +139,12 @@ WORDS = "One two three four. Five six seven eight."
         (f"<html><head lang=en><link rel=x href='a>b'>{BODY}", WORDS),
         (f"<body><svg class='a' viewBox='0 0 1 1'/>{BODY}<svg><path/><text>no</text></svg></body>", WORDS),
         (f"<body><svg><path/>{BODY}</body>", WORDS),
+        (f"<body><svg><path/><text>no</text>{BODY}<p>Nine ten.</p></svg></body>", f"{WORDS} Nine ten."),
+        (f"<body><svg><svg><text>no</text></svg><text>nor this</text></svg>{BODY}</body>", WORDS),
+        (f"<body><nav>Home Blog</nav><div class='widget Blog'><h3>Head line</h3><div class='post-body'>{BODY}</div></div><footer>Foot</footer></body>", f"Head line {WORDS}"),
+        (f"<body><nav>Home</nav><p></p><div class='related'>{BODY * 5}</div></body>", " ".join([WORDS] * 5)),
+        (f"<body><div>{BODY}</div><div class='comments'>{BODY * 50}</div></body>", WORDS),
+        (f"<body><div id='search'>{BODY}<div class='share'>Tell all</div></div></body>", WORDS),
         (f"<body><article>{BODY}</article><div class='comments'><article>Reader says no</article></div></body>", WORDS),
     ],
 )
@@ -145,6 +152,14 @@ def test_html_keeps_whole_articles(page, text):
     assert html_text.main_text(page, html_text.Weights(other=-0.1)) == text
 
 
+@pytest.mark.parametrize("part", ["<svg>", "<svg class='a'>x", "<head><title>", "<svg/>", "<!--", "<script>", "<div class='related'>", "<p"])
+def test_malformed_pages_take_linear_time(part):
+    start = time.perf_counter()
+    html_text.main_text(part * (1_000_000 // len(part)), html_text.Weights(other=-0.1))
+    warc.plain_text(part * (1_000_000 // len(part)))
+    assert time.perf_counter() - start < 20
+
+
 def test_plain_text_of_open_elements():
     assert warc.plain_text(f"<html><head><title>T t</title><body><svg/>{BODY}") == WORDS.replace(". F", ".\nF")
 
@@ -156,6 +171,34 @@ def test_licenses(spark, docs, none):
     assert licenses.scan(none).count() == 0 and licenses.scan(docs).count() == 0
 
 
+@pytest.mark.parametrize(
+    "line",
+    ["Copyright The Foo Authors", "Copyright: 2020 Acme", "Portions Copyright (c) 2020 A", "(c) Acme 2020", "Copyright Acme, Inc. 2019-2021", "# Copyright (C) 2020 Some One <a@b.c>", "\u00a9 2020 Acme", "All rights reserved."],
+)
+def test_copyright_lines_do_not_matter(spark, line):
+    mit = licenses.KNOWN[0][1]
+    df = spark.createDataFrame([(1, f"{line}\n\n{mit}"), (2, f"{line} {mit}")], "doc_id long, text string")
+    assert [(r.doc_id, r.license) for r in licenses.scan(df).collect() if r.unit == 0] == [(1, "MIT")]
+
+
+def test_wrapped_lines_that_speak_of_copyright_stay(spark):
+    mit = licenses.KNOWN[0][1]
+    at = mit.index("copyright notice")
+    wrapped = mit[:at].rstrip() + "\n" + mit[at:]
+    lost = mit[:at] + mit[at:].split(" ", 2)[2]
+    df = spark.createDataFrame([(1, wrapped), (2, lost)], "doc_id long, text string")
+    assert [(r.doc_id, r.license) for r in licenses.scan(df).collect() if r.unit == 0] == [(1, "MIT")]
+
+
+def test_licences_from_a_table_and_by_digest(spark):
+    known = spark.createDataFrame([("House-1", "You may use this house licence, whilst you sweep it.")], "license string, unit string")
+    df = spark.createDataFrame([(1, "you MAY use this House License while you sweep it"), (2, "Licensed under the MIT License.")], "doc_id long, text string")
+    assert [(r.doc_id, r.unit, r.license) for r in licenses.scan(df, known=known, digests=()).orderBy("doc_id", "unit").collect()] == [(1, 0, "House-1"), (1, 1, "House-1")]
+    made = licenses.known_digests(spark, known, ()).first()
+    by_digest = licenses.scan(df, known=(("MIT", "Licensed under the MIT License."),), digests=((made.license, made.start, made.size, made.digest),))
+    assert {(r.doc_id, r.license) for r in by_digest.collect()} == {(1, "House-1"), (2, "MIT")}
+
+
 def test_warc(spark):
     df = spark.createDataFrame([(1, "http://a/b", "<p>é one</p><p>two</p>", "x"), (2, None, None, "x"), (1, "http://a/b", "<p>é one</p><p>two</p>", "x")], "page_id long, url string, html string, record string")
     got = warc.derive(warc.responses(df)).collect()
@@ -175,6 +218,29 @@ def test_warc(spark):
     assert all(len(x) == 1 for x in ids.values()) and warc.derive(warc.responses(df.where("false"))).count() == 0
 
 
+def test_records_with_one_id_and_url_but_other_bodies_differ(spark):
+    df = spark.createDataFrame([(1, "u", "<p>a</p>"), (1, "u", "<p>b</p>")], "page_id long, url string, html string")
+    got = warc.derive(warc.responses(df)).collect()
+    assert len({r.record_id for r in got}) == 4 and len({r.refers_to for r in got}) == 2
+
+
+def test_parsed_responses_keep_their_ids_and_headers(spark):
+    http = b"HTTP/1.1 203 Fine\r\nContent-Type: text/html; charset=iso-8859-1\r\nX-Served-By: c7\r\n\r\n"
+    body = "<p>caf\u00e9</p>\r\n\r\n<p>two</p>".encode("latin-1")
+    record = warc.written("response", "<urn:uuid:1>", [("WARC-Target-URI", "http://a/b"), ("WARC-Date", "2020-05-06T07:08:09Z")], "application/http; msgtype=response", http + body)
+    info = warc.written("warcinfo", "<urn:uuid:0>", [], "application/warc-fields", b"software: x\r\n")
+    cases = [(1, bytearray(info + record + record.replace(b"urn:uuid:1", b"urn:uuid:2"))), (2, None), (3, bytearray(b"")), (4, bytearray(record[:60])), (5, bytearray(record[:-30]))]
+    df = spark.createDataFrame(cases, "file long, record binary")
+    got = warc.derive(warc.parse(df, "file"), "file").collect()
+    assert sorted({(r.file, r.refers_to) for r in got}) == [(1, "<urn:uuid:1>"), (1, "<urn:uuid:2>")]
+    meta = next(bytes(r.record).decode() for r in got if r.record_type == "metadata")
+    assert "http-status: 203" in meta and "source-header-x-served-by: c7" in meta and f"source-payload-digest: {warc.digest(body)}" in meta and "WARC-Date: 2020-05-06T07:08:09Z" in meta
+    assert f"source-block-digest: {warc.digest(http + body)}" in meta
+    text = next(bytes(r.record) for r in got if r.record_type == "conversion")
+    assert "caf\u00e9\ntwo".encode() in text
+    assert warc.derive(warc.parse(df.where("false"), "file"), "file").count() == 0
+
+
 def test_stages(spark, docs, none, tmp_path):
     spark.createDataFrame([(1, 1, 0), (5, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     for name, stage in corpus_pipeline.STAGES:
