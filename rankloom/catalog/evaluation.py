@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from rankloom import fixtures as fx
 from rankloom.catalog.base import query
-from rankloom.catalog.ctes import CTE, SPACE, compose
+from rankloom.catalog.ctes import CTE, NOT_WORD, SPACE, compose
 from rankloom.catalog.health import snapshots
 from rankloom.catalog.scoping import hits_with_content
 from rankloom.operators import evaluation as ev
 from rankloom.operators.search_text import text_search
+from rankloom.operators.text_index import build_text_index
 from rankloom.plans import tuning
 
 MOVES = """SELECT query_id, id, CASE WHEN b.rank IS NULL THEN 'new' WHEN t.rank IS NULL THEN 'evicted' WHEN t.rank < b.rank THEN 'up'
@@ -216,7 +217,7 @@ def _(spark, sf):
 
 
 def _workflow(spark, sf):
-    """Benchmark passages and messages without any word of the corpus's titles are searched and swept."""
+    """Benchmark passages are searched in titles and swept."""
     q, docs = fx.benchmark_queries(spark, sf), fx.corpus(spark, sf)
 
     def search(qs):
@@ -260,3 +261,23 @@ def _(spark, sf):
 )
 def _(spark, sf):
     return _workflow(spark, sf)[1]
+
+
+@query(
+    "workflow_misses",
+    compose(
+        f"""SELECT query_id, 'no_hits' AS error FROM mq WHERE query_id NOT IN (SELECT query_id FROM (SELECT query_id,
+            unnest(string_split_regex(lower(query), '{NOT_WORD}')) AS token FROM mq) JOIN es USING (token))""",
+        "docs",
+        mq="""SELECT item_id AS query_id, text AS query FROM benchmark UNION ALL SELECT -1 - conv_id * 1000 - turn, text FROM conversations""",
+        es=f"SELECT DISTINCT token FROM (SELECT unnest(string_split_regex(lower(title), '{NOT_WORD}')) AS token FROM docs WHERE topic = 'es') WHERE token <> ''",
+    ),
+)
+def _(spark, sf):
+    """Benchmark passages and messages that share no word with any Spanish title."""
+    docs = fx.corpus(spark, sf).filter(F.col("topic") == "es")
+    said = fx.table(spark, sf, "conversations").select((-1 - F.col("conv_id") * 1000 - F.col("turn")).alias("query_id"), F.col("text").alias("query"))
+    bench = fx.benchmark_queries(spark, sf).select("query_id", "query")
+    q = bench.unionByName(said).withColumn("context_id", F.lit("bench"))
+    index = build_text_index(docs, ("title",))
+    return tuning.tune_workflow(q, lambda qs: text_search(qs, index, top_k=5, normalized=True), docs, fx.scope_phrases(spark), [0.25])[1]

@@ -11,13 +11,16 @@ from rankloom import fixtures as fx
 from rankloom.catalog import scoping  # noqa: F401  (adds the scope fragments)
 from rankloom.catalog.base import query
 from rankloom.catalog.ctes import CTE, SPACE, bm25, compose
+from rankloom.catalog.health import OBS, drift_observations
+from rankloom.catalog.log_stats import TRAFFIC
 from rankloom.catalog.retrieval import bow_sql
 from rankloom.functions.text import query_key
-from rankloom.operators import federated
+from rankloom.operators import drift, federated
 from rankloom.operators.batch import batch_search
 from rankloom.operators.cascade import CascadeConfig, Leg, cascade, order_legs
 from rankloom.operators.embed import embed_texts
 from rankloom.operators.fusion import fuse_rrf
+from rankloom.operators.logstats import metrics_snapshot
 from rankloom.operators.ordered import top_rows
 from rankloom.operators.search_text import text_search
 from rankloom.operators.search_vector import vector_search
@@ -694,3 +697,27 @@ def _(spark, sf):
 @query("answer_failed_audit", audits("x"))
 def _(spark, sf):
     return _failing(spark, sf)[1]
+
+
+# --- one snapshot of everything counted ---
+
+
+@query(
+    "metrics_snapshot",
+    compose(
+        f"""SELECT t.*, c.*, d.* FROM (SELECT {TRAFFIC} FROM log) t,
+        (SELECT count(*) AS cascade_total, count(*) FILTER (ok) AS cascade_met, count(*) FILTER (NOT ok) AS cascade_exhausted,
+            CAST(0 AS BIGINT) AS cascade_depth_limited, round(avg(last_step + 1), 6) AS cascade_avg_depth FROM outcome) c,
+        (SELECT count(*) FILTER (level = 'none') AS drift_none, count(*) FILTER (level = 'minor') AS drift_minor,
+            count(*) FILTER (level = 'moderate') AS drift_moderate, count(*) FILTER (level = 'significant') AS drift_significant,
+            count(*) FILTER (level = 'major') AS drift_major, count(*) FILTER (alert AND NOT coalesce(before, false)) AS drift_alerts
+         FROM (SELECT *, lag(alert) OVER (PARTITION BY upstream_id ORDER BY ts, seq) AS before FROM
+            (SELECT *, count(*) FILTER (level IN ('significant', 'major')) OVER (PARTITION BY upstream_id ORDER BY ts, seq
+                ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) >= 45 AS alert FROM o))) d""",
+        "log", "outcome", o=OBS,
+    ),
+)
+def _(spark, sf):
+    outcome = cascade(fx.benchmark_queries(spark, sf), search_legs(spark, sf))[1]
+    levels = drift.drift_window(drift_observations(spark, sf), alert_count=45)
+    return metrics_snapshot(fx.request_log(spark, sf), outcome, levels.select("upstream_id", "ts", "seq", "level", "alert"))

@@ -50,6 +50,16 @@ OBS = """SELECT upstream_id, ts, request_id AS seq, CASE event_type WHEN 'view'
     WHEN 'purchase' THEN 'moderate' WHEN 'signup' THEN 'significant' ELSE 'major' END AS level FROM log"""
 
 
+def drift_observations(spark, sf):
+    """Events as drift levels of their upstream."""
+    kind = F.col("event_type")
+    return fx.request_log(spark, sf).select(
+        "upstream_id", "ts", F.col("request_id").alias("seq"),
+        F.when(kind == "view", "none").when(kind == "click", "minor").when(kind == "purchase", "moderate")
+        .when(kind == "signup", "significant").otherwise("major").alias("level"),
+    )
+
+
 @query(
     "drift_window",
     compose(
@@ -63,13 +73,7 @@ OBS = """SELECT upstream_id, ts, request_id AS seq, CASE event_type WHEN 'view'
     ),
 )
 def _(spark, sf):
-    kind = F.col("event_type")
-    obs = fx.request_log(spark, sf).select(
-        "upstream_id", "ts", F.col("request_id").alias("seq"),
-        F.when(kind == "view", "none").when(kind == "click", "minor").when(kind == "purchase", "moderate")
-        .when(kind == "signup", "significant").otherwise("major").alias("level"),
-    )
-    return drift.drift_window(obs, alert_count=45)
+    return drift.drift_window(drift_observations(spark, sf), alert_count=45)
 
 
 @query(
@@ -264,10 +268,10 @@ def _(spark, sf):
 )
 def _(spark, sf):
     """Rises beyond a tenth of the error as regressions, since the means move little from day to day."""
-    runs = bench_runs(spark, sf).withColumn("se", F.col("se") * (0.1 / 1.96))
+    runs = bench_runs(spark, sf)
     named = [
         runs.select(F.concat_ws("@", "bench", (F.col("run") + s).cast("string")).alias("bench"), "mean", "se") for s in (0, 1)
     ]
-    judged = perf.regressions(named[0], named[1], 1.0).filter(F.col("status") != "no_main")
+    judged = perf.regressions(named[0], named[1], 1.0, width=0.1).filter(F.col("status") != "no_main")
     parts = F.split("bench", "@")
     return perf.chronic(judged.withColumns({"run": parts[1].cast("int"), "bench": parts[0]}))

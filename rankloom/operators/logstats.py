@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.functions.scores import ratio, round6
+from rankloom.operators.drift import LEVELS
+from rankloom.operators.ordered import ordered_scan
 
 AUDIT_QUERY_BYTES = 200
 
@@ -137,6 +139,27 @@ def cascade_traffic(outcomes: DataFrame) -> DataFrame:
     )
 
 
+def drift_traffic(levels: DataFrame) -> DataFrame:
+    """Drift observations (level, alert) by level, and how many of them raised an alert that the one before had not."""
+    return levels.agg(
+        *[F.count_if(F.col("level") == x).alias(f"drift_{x}") for x in LEVELS],
+        F.count_if("raised").alias("drift_alerts"),
+    )
+
+
+def metrics_snapshot(log: DataFrame, outcomes: DataFrame, levels: DataFrame) -> DataFrame:
+    """One row: traffic counters of a log, of its cascades (query_id, stop_reason, depth) and of its drift (upstream_id, ts, seq, level, alert).
+
+    An alert counts where it begins: at an observation whose upstream had none at the one before.
+    """
+    begun = ordered_scan(levels, ["upstream_id"], "ts", ["seq"], previous={"_before": "alert"})
+    begun = begun.withColumn("raised", F.col("alert") & ~F.coalesce("_before", F.lit(False)))
+    parts = [log.agg(*traffic_aggregates()), cascade_traffic(outcomes), drift_traffic(begun)]
+    named = [p.select(F.lit(0).alias("_one"), *[F.col(c).alias(f"{n}{c}") for c in p.columns]) for p, n in zip(parts, ("", "cascade_", ""))]
+    # one row each
+    return named[0].join(named[1], "_one").join(named[2], "_one").drop("_one")
+
+
 def context_stats(log: DataFrame) -> DataFrame:
     n, hits = F.count("*"), F.count_if(_is("hit"))
     return log.groupBy("context_id").agg(

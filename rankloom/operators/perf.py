@@ -20,15 +20,16 @@ def _status(pct: Column, low: Column, high: Column, limit: float) -> Column:
     )
 
 
-def regressions(new: DataFrame, base: DataFrame, threshold: float = 15.0) -> DataFrame:
-    """Change against the baseline in percent, with the 95% interval of independent errors, and its status.
+def regressions(new: DataFrame, base: DataFrame, threshold: float = 15.0, width: float = 1.96) -> DataFrame:
+    """Change against the baseline in percent, with the interval of independent errors, and its status.
 
+    The interval reaches ``width`` standard errors to either side: 1.96 for 95%.
     Without a standard error on both sides there is no interval, and the point decides.
     """
     joined = new.join(base.select("bench", F.col("mean").alias("b_mean"), F.col("se").alias("b_se")), "bench", "left")
     usable = (F.col("b_mean") > 0) & (F.col("mean") > 0)
     delta = F.col("mean") - F.col("b_mean")
-    reach = 1.96 * F.sqrt(F.col("se") * F.col("se") + F.col("b_se") * F.col("b_se"))
+    reach = width * F.sqrt(F.col("se") * F.col("se") + F.col("b_se") * F.col("b_se"))
     pct = F.when(usable, delta / F.col("b_mean") * 100)
     low = F.when(usable, (delta - reach) / F.col("b_mean") * 100)
     high = F.when(usable, (delta + reach) / F.col("b_mean") * 100)
