@@ -200,17 +200,19 @@ def open_pairs(members: DataFrame, sets: DataFrame, similarity: float, entries:
 
     With elements in order of their number of holders, two sets of size m and this similarity share one of the first
     m - similarity * m + 1 of each; where they meet first, what is left of either must make up the overlap that their sizes ask for.
-    Elements of one holder come first and meet nobody, so what thousands share is seldom met at.
+    Elements of one class alone come first and meet nobody, and what thousands share comes last and is seldom met at.
     """
     own = members.select("node", "root", "n", "sketch").dropDuplicates(["node"])
-    held = own.select("node").join(sets.toDF("node", "_set"), "node").select("node", F.explode("_set").alias("e"))
-    holders = held.groupBy("e").agg(F.count("*").alias("c")).where("c > 1")
-    ranked = held.join(holders, "e", "left").groupBy("node").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("c", F.lit(1)).alias("c"), "e"))).alias("_in_order"))
-    size = F.size("_in_order")
+    whole = own.select("node", "root").join(sets.toDF("node", "_set"), "node")
+    held = whole.select("node", "root", F.explode("_set").alias("e"))
+    holders = held.groupBy("e").agg(F.count("*").alias("c"), F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("e", "c")
+    shared = held.join(holders, "e").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("c", "e"))).alias("_shared"))
+    sized = shared.join(whole.select("node", F.size("_set").alias("size")), "node")
+    alone = F.col("size") - F.size("_shared")  # elements of one class, which come before all others
     # the product is rounded down before it is rounded up: a prefix may be too long, never too short
-    first = F.slice("_in_order", F.lit(1), (size - F.ceil(size * similarity - 1e-6) + 1).cast("int"))
-    placed = F.filter(F.transform(first, lambda x, i: F.struct(x["c"].alias("c"), x["e"].alias("e"), i.alias("at"))), lambda x: x["c"] > 1)
-    prefixes = cut(ranked.select("node", size.alias("size"), placed.alias("_prefix")).where(F.size("_prefix") > 0).join(own, "node"))
+    first = (F.col("size") - F.ceil(F.col("size") * similarity - 1e-6) + 1).cast("int")
+    placed = F.transform(F.slice("_shared", F.lit(1), F.greatest(first - alone, F.lit(0))), lambda x, i: F.struct(x["e"].alias("e"), (alone + i).alias("at")))
+    prefixes = cut(sized.select("node", "size", placed.alias("_prefix")).where(F.size("_prefix") > 0).join(own, "node"))
     place = prefixes.select("node", "root", "n", "size", "sketch", "_prefix", F.posexplode("_prefix").alias("_at", "x"))
     # the elements before, as many as are worth carrying: a pair is made where none of them is shared
     names = F.transform("_prefix", lambda x: x["e"])
