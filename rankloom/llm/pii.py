@@ -2,8 +2,10 @@
 
 The corpus says how strongly a term reveals a protected entity: with p(e) the share of documents that hold e, and p(e|t) the
 share of those with term t in which t stands near e, the term carries 1 - log p(e|t) / log p(e) of the entity's information
-(PMI over the entity's own information). Terms at or over a disclosure threshold are spans too, in the documents in which they
-stand near the entity; sanitising generalises or removes them. Clean documents hold no entity and stay as they are.
+(PMI over the entity's own information). An entity of too few texts for an estimate stands for the narrowest class of entities that it
+belongs to and that has one: its mail domain, network, first digits, or kind. Terms at or over a disclosure threshold are spans too,
+wherever they stand in a document that holds the entity; sanitising generalises or removes them. Clean documents hold no entity
+and stay as they are.
 
 Terms are runs of ASCII letters and non-ASCII characters of three bytes or more, compared without ASCII case.
 """
@@ -79,6 +81,22 @@ def entity(text: str, kind: int, start: int, end: int) -> int:
     return int.from_bytes(hashlib.blake2b(f"{KINDS[kind]}:{value}".encode(), digest_size=8).digest(), "big", signed=True)
 
 
+def classes(text: str, kind: int, start: int, end: int) -> list[int]:
+    """Names of what a span's entity stands for, the narrowest first: itself, then the classes that it belongs to, its kind last."""
+    said = text[start:end].lower()
+    digits = OTHER.sub("", said)
+    if kind == 0:
+        labels = said.rpartition("@")[2].split(".")
+        wider = ["@" + ".".join(labels[i:]) for i in range(len(labels) - 1)]
+    elif kind == 1:
+        parts = said.split(".")
+        wider = [".".join(parts[:n]) + "." for n in (3, 2)]
+    else:
+        wider = [digits[:n] + "*" for n in ((6,) if kind == 2 else (6, 4, 3))]
+    name = lambda v: int.from_bytes(hashlib.blake2b(f"{KINDS[kind]}:{v}".encode(), digest_size=8).digest(), "big", signed=True)
+    return [entity(text, kind, start, end), *map(name, wider), name("")]
+
+
 def _folded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data, at = raw(texts)
     return np.where((data >= 65) & (data <= 90), data + np.uint8(32), data).astype(np.uint8), at
@@ -96,13 +114,14 @@ def terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
 
 
 def found_in(df: DataFrame, text: str, keep_texts: str) -> DataFrame:
-    """Written once: the rows with _row, _base (spans), _n (counts), _near (entity and term, per mention's surroundings), _digest.
+    """Written once: the rows with _row, _base (spans), _n (counts), _digest, and of rows with spans _near (entity or class and term, per
+    mention's surroundings), _levels (per mention its entity and classes) and _all (the terms outside all mentions).
 
     ``keep_texts``: "all", or "found" for the texts with base spans only.
     """
 
     def make(texts: pa.Array) -> list:
-        spans, counts, near, digests = [], [], [], []
+        spans, counts, near, digests, levels, every = [], [], [], [], [], []
         whole = [t or "" for t in texts.to_pylist()]
         holding = []
         for i, t in enumerate(whole):
@@ -111,6 +130,8 @@ def found_in(df: DataFrame, text: str, keep_texts: str) -> DataFrame:
             counts.append([sum(k == n for _, k, _ in found) for n in range(4)])
             digests.append(hashlib.blake2b(t.encode(), digest_size=16).digest() if found else None)
             near.append([])
+            levels.append([])
+            every.append([])
             if found:
                 holding.append(i)
         if holding:
@@ -125,16 +146,21 @@ def found_in(df: DataFrame, text: str, keep_texts: str) -> DataFrame:
                 hs, bs = hs[free], bs[free]
                 pairs = set()
                 for s in spans[i]:
-                    e, p = entity(whole[i], s["kind"], s["start"], s["end"]), int(np.searchsorted(bs, s["start"]))
-                    pairs.add((e, None))
-                    pairs.update((e, t) for t in hs[max(0, p - CONTEXT) : p + CONTEXT].tolist())
+                    chain, p = classes(whole[i], s["kind"], s["start"], s["end"]), int(np.searchsorted(bs, s["start"]))
+                    around = hs[max(0, p - CONTEXT) : p + CONTEXT].tolist()
+                    levels[i].append(chain)
+                    for e in chain:
+                        pairs.add((e, None))
+                        pairs.update((e, t) for t in around)
+                every[i] = np.unique(hs).tolist()
                 near[i] = [{"e": e, "t": t} for e, t in sorted(pairs, key=str)]
         texts_out = [t if keep_texts == "all" or s else None for t, s in zip(texts.to_pylist(), spans, strict=True)]
-        return [texts_out, spans, counts, near, digests]
+        return [texts_out, spans, counts, near, digests, levels, every]
 
     span = T.ArrayType(T.StructType([T.StructField(c, T.IntegerType()) for c in ("kind", "start", "end")]))
     pair = T.ArrayType(T.StructType([T.StructField("e", T.LongType()), T.StructField("t", T.LongType())]))
-    fields = [("_text", T.StringType()), ("_base", span), ("_n", T.ArrayType(T.LongType())), ("_near", pair), ("_digest", T.BinaryType())]
+    longs = T.ArrayType(T.LongType())
+    fields = [("_text", T.StringType()), ("_base", span), ("_n", T.ArrayType(T.LongType())), ("_near", pair), ("_digest", T.BinaryType()), ("_levels", T.ArrayType(longs)), ("_all", longs)]
     own = df.select([F.col(f"`{c}`") for c in df.columns if c.lower() not in {"_row", "_input", text.lower()}] + [F.col(text).alias("_input")])
     made = extend(own, "_input", T.StructType([T.StructField(*f) for f in fields]), make, drop=("_input",))
     return cut(made.withColumn("_row", F.monotonically_increasing_id()))
@@ -173,20 +199,29 @@ def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return keys, np.bincount(place, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
 
 
-def disclosing(df: DataFrame, text: str, table: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
-    """(e, t, share): terms of ``df`` that reveal an entity, and how much of its information they carry.
-
-    An entity in every document carries no information and is revealed by nothing.
-    """
-    pairs = table.select("_row", "_digest", F.explode("_near").alias("p")).select("_row", "_digest", "p.e", "p.t")
+def estimated(table: DataFrame, support: int = SUPPORT) -> tuple[DataFrame, DataFrame]:
+    """Entities and classes of at least ``support`` different texts (e, with_e: their rows), and terms that as many show beside them (e, t, rows)."""
+    pairs = table.select("_digest", F.explode("_near").alias("p")).select("_digest", "p.e", "p.t")
     counted = pairs.groupBy("e", "t", "_digest").agg(F.count("*").alias("n")).groupBy("e", "t").agg(F.count("*").alias("texts"), F.sum("n").alias("rows"))
     often = cut(counted.where(F.col("texts") >= support))
-    entities = often.where("t is null").select("e", F.col("rows").alias("with_e"))
-    near = often.where("t is not null")
+    return often.where("t is null").select("e", F.col("rows").alias("with_e")), often.where("t is not null").select("e", "t", "rows")
+
+
+def stood_for(table: DataFrame, entities: DataFrame) -> DataFrame:
+    """(_row, entity, e): per mention the narrowest of its entity and classes that has an estimate, if any has."""
+    mentions = table.select("_row", F.explode("_levels").alias("chain")).select("_row", F.col("chain")[0].alias("entity"), F.posexplode("chain").alias("level", "e")).distinct()
+    known = mentions.join(small(entities.select("e")), "e")
+    return known.groupBy("_row", "entity").agg(F.min_by("e", "level").alias("e"))
+
+
+def disclosing(df: DataFrame, text: str, n: int, entities: DataFrame, near: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
+    """(e, t, share): terms that reveal an entity or class, and how much of its information they carry.
+
+    What is in every document carries no information and is revealed by nothing.
+    """
     wanted = cut(near.select("t").distinct())
     if wanted.isEmpty():
         return near.select("e", "t", F.lit(0.0).alias("share")).where("false")
-    n = table.count()
     df_t = term_counts(df, text).join(wanted, "t", "left_semi")
     both = near.join(entities, "e").join(df_t, "t")
     share = F.when(F.col("with_e") < n, 1 - F.log(F.col("rows") / F.col("df")) / F.log(F.col("with_e") / n)).otherwise(0.0)
@@ -243,20 +278,34 @@ def sanitise(
 ) -> DataFrame:
     """The rows of ``df`` with _base and _spans (kind, start, end in code points), counts _n by kind, and the sanitised text as _clean.
 
-    ``form``: "generalise", "remove", or None to only find spans. A null text has no spans and stays null; repeated rows stay.
+    ``form``: "generalise", "remove", or None to only find spans. A null text has no spans and stays null; repeated rows stay, and an
+    empty table gives an empty one. The text comes back as _text; columns of the caller named like an added one are replaced.
     """
     if form not in ("generalise", "remove", None):
         raise ValueError(f"unknown form {form}")
     table = found_in(df, text, keep_texts)
-    pairs = disclosing(df, text, table, disclosure, support)
     holding = table.where(F.size("_base") > 0)
-    mentions = holding.select("_row", F.explode("_near").alias("p")).select("_row", "p.e", "p.t").where("t is not null")
-    own = mentions.join(small(pairs.select("e", "t")), ["e", "t"]).groupBy("_row").agg(F.collect_set("t").alias("_terms"))
-    marked = _mark(holding.drop("_near", "_digest").join(own, "_row", "left"), form)
-    plain = table.where(F.size("_base") == 0).drop("_near", "_digest").withColumn("_spans", F.col("_base"))
+    entities, near = estimated(holding, support)
+    pairs = disclosing(df, text, table.count(), entities, near, disclosure).select("e", "t")
+    held = stood_for(holding, entities).select("_row", "e").distinct().join(holding.select("_row", F.explode("_all").alias("t")), "_row")
+    own = held.join(small(pairs), ["e", "t"]).groupBy("_row").agg(F.collect_set("t").alias("_terms"))
+    gone = ("_near", "_digest", "_levels", "_all")
+    marked = _mark(holding.drop(*gone).join(own, "_row", "left"), form)
+    plain = table.where(F.size("_base") == 0).drop(*gone).withColumn("_spans", F.col("_base"))
     return marked.unionByName(plain.withColumn("_clean", F.col("_text")) if form else plain)
 
 
+def estimates(df: DataFrame, text: str = "text", support: int = SUPPORT) -> DataFrame:
+    """One row: entities, those with an estimate of their own, those that stand for a class, and those without any."""
+    holding = found_in(df, text, "found").where(F.size("_base") > 0)
+    entities, _ = estimated(holding, support)
+    every = holding.select(F.explode("_levels").alias("chain")).select(F.col("chain")[0].alias("entity")).distinct()
+    at = stood_for(holding, entities).groupBy("entity").agg(F.min("e").alias("e"))
+    joined = every.join(at, "entity", "left")
+    own = F.col("e") == F.col("entity")
+    return joined.agg(F.count("*").alias("entities"), F.count_if(own).alias("of_their_own"), F.count_if(~own).alias("by_class"), F.count_if(F.col("e").isNull()).alias("without"))
+
+
 def spelled(spans: str) -> Column:
     """kind:start:end of every span, comma-joined."""
     kinds = F.array(*[F.lit(k) for k in (*KINDS, "term")])
