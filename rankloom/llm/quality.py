@@ -91,10 +91,14 @@ def train(table: DataFrame, labels: DataFrame, id_col: str, label: str, rows: in
     return fit(x, sample["_y"].to_numpy(float))
 
 
-def _precision(rate: Column, q: Column, freedom: Column, mass: Column) -> Column:
-    """How many documents a prior is worth: rate (1 - rate) over the variance between groups beyond chance, less one."""
-    between = F.greatest((q - freedom * rate * (1 - rate)) / F.greatest(mass, F.lit(1.0)), F.lit(1e-6))
-    return F.least(F.greatest(rate * (1 - rate) / between - 1, F.lit(1.0)), F.lit(1e6))
+def _precision(spread: Column, q: Column, chance: Column, mass: Column) -> Column:
+    """How many documents a prior is worth: the variance of one document over that between groups, less one.
+
+    ``spread``: rate (1 - rate) of a document; ``q``: squared distances of groups from their rates, by their documents; ``chance``:
+    what q would be if groups did not differ; ``mass``: how much of q a unit of variance between groups makes.
+    """
+    between = F.greatest((q - chance) / F.greatest(mass, F.lit(1.0)), F.lit(1e-6))
+    return F.least(F.greatest(spread / between - 1, F.lit(1.0)), F.lit(1e6))
 
 
 def posteriors(scored: DataFrame) -> DataFrame:
@@ -109,15 +113,16 @@ def posteriors(scored: DataFrame) -> DataFrame:
     rate = min(max((total or 0.0) / max(n or 0, 1), 1e-6), 1 - 1e-6)
     c = F.col
     spread = hosts.agg(
-        F.sum(c("host_n") * (c("host_sum") / c("host_n") - rate) ** 2).alias("q"), (F.count("*") - 1).cast("double").alias("freedom"),
+        F.sum(c("host_n") * (c("host_sum") / c("host_n") - rate) ** 2).alias("q"), ((F.count("*") - 1) * (rate * (1 - rate))).alias("chance"),
         (F.sum("host_n") - F.sum(c("host_n") * c("host_n")) / F.sum("host_n")).alias("mass"),
-    ).select(_precision(F.lit(rate), c("q"), c("freedom"), c("mass"))).first()[0]
+    ).select(_precision(F.lit(rate * (1 - rate)), c("q"), c("chance"), c("mass"))).first()[0]
     host_worth = float(spread if spread is not None else 1.0)
     joined = paths.join(hosts, "_host").withColumn("_r", (c("host_sum") + host_worth * rate) / (c("host_n") + host_worth))
+    own = c("_r") * (1 - c("_r"))  # a document of the host
     inner = joined.agg(
-        F.sum(c("path_n") * (c("path_sum") / c("path_n") - c("_r")) ** 2).alias("q"), (F.count("*") - F.count_distinct("_host")).cast("double").alias("freedom"),
-        F.sum(c("path_n") - c("path_n") * c("path_n") / c("host_n")).alias("mass"),
-    ).select(_precision(F.lit(rate), c("q"), c("freedom"), c("mass"))).first()[0]
+        F.sum(c("path_n") * (c("path_sum") / c("path_n") - c("_r")) ** 2).alias("q"), F.sum((1 - c("path_n") / c("host_n")) * own).alias("chance"),
+        F.sum(c("path_n") - c("path_n") * c("path_n") / c("host_n")).alias("mass"), (F.sum(c("path_n") * own) / F.sum("path_n")).alias("spread"),
+    ).select(_precision(c("spread"), c("q"), c("chance"), c("mass"))).first()[0]
     path_worth = float(inner if inner is not None else 1.0)
     return joined.select("_host", "_path", "path_n", "path_sum", "host_n", "host_sum", F.lit(rate).alias("rate"), F.lit(host_worth).alias("host_worth"), F.lit(path_worth).alias("path_worth"))
 
