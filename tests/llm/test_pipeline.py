@@ -62,4 +62,5 @@ def test_stages_against_plain_versions(spark):
     ids = {i: np.array([*lib.encode(t, add_special_tokens=False).ids, 2], "<u4") for i, t in clean.items()}
     assert pieces.length.sum() == sum(map(len, ids.values()))
     assert all(zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes()) == r.ids_crc32 for r in pieces.itertuples())
+    assert all(bytes(r.ids) == ids[r.doc_id][r.start : r.start + r.length].tobytes() for r in pieces.itertuples())
     assert corpus_pipeline.run(spark, SF).count() == len(pieces)
