@@ -105,21 +105,22 @@ def top_k(df: DataFrame, is_query, id_col: str = "vec_id", vector: str = "embedd
     repeated row finds its copies; a null id is no query and comes last among ties.
     """
     rows = quantised(df, id_col, vector, scale)
-    queries, n_queries = _blocks(rows.where(is_query), QUERY_BLOCK, "q_block")
-    cands, _ = _blocks(rows, ROW_BLOCK, "r_block")
-    left = queries.select("q_block", *[F.col(c).alias(f"q_{c}") for c in ("ids", "rows", "dims", "values")])
-    # every block of rows goes to every block of queries
-    pairs = cands.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1)))).join(left, "q_block")
+    queries, _ = _blocks(rows.where(is_query), QUERY_BLOCK, "q_block")
+    cands, n_cands = _blocks(rows, ROW_BLOCK, "r_block")
+    asked = queries.select("q_block", *[F.col(c).alias(f"q_{c}") for c in ("ids", "rows", "dims", "values")])
+    # every block of queries, the smaller side, goes to every block of rows
+    pairs = asked.withColumn("r_block", F.explode(F.sequence(F.lit(0), F.lit(n_cands - 1)))).join(cands, "r_block")
 
     def search(batches):
         for batch in batches:
-            for p in batch.to_pylist():
-                mine, ids, own = _matrix(p["q_dims"], p["q_values"]), np.array(p["ids"]), np.array(p["rows"])
-                found = block_best(mine, np.array(p["q_rows"]), _matrix(p["dims"], p["values"]), ids, own, k)
+            for i in range(len(batch)):
+                p = {c: batch.column(c)[i].values.to_numpy() for c in ("q_ids", "q_rows", "q_dims", "q_values", "ids", "rows", "dims", "values")}
+                mine, ids, own = _matrix(p["q_dims"], p["q_values"]), p["ids"], p["rows"]
+                found = block_best(mine, p["q_rows"], _matrix(p["dims"], p["values"]), ids, own, k)
                 sizes = [len(at) for at, _ in found]
                 at, score = np.concatenate([a for a, _ in found]), np.concatenate([s for _, s in found])
                 yield pa.RecordBatch.from_pydict({
-                    "query_id": pa.array(np.repeat(np.array(p["q_ids"]), sizes)), "q_row": pa.array(np.repeat(np.array(p["q_rows"]), sizes)), "vec_id": pa.array(ids[at]), "row": pa.array(own[at]), "score": pa.array(score),
+                    "query_id": pa.array(np.repeat(p["q_ids"], sizes)), "q_row": pa.array(np.repeat(p["q_rows"], sizes)), "vec_id": pa.array(ids[at]), "row": pa.array(own[at]), "score": pa.array(score),
                 })
 
     per_block = pairs.mapInArrow(search, "query_id long, q_row long, vec_id long, row long, score long")
