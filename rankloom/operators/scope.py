@@ -10,7 +10,11 @@ from pyspark.sql import functions as F
 from rankloom.functions.scores import clamp01, round6
 from rankloom.functions.text import words
 from rankloom.functions.vectors import cosine
-from rankloom.session import once, small
+from rankloom.session import cut, once, small
+
+
+#: Phrases up to which every hit carries all of its context; phrases that meet a content in one group; characters of a short phrase's key.
+FEW_PHRASES, BUCKET_PHRASES, GRAM = 500, 1000, 3
 
 
 @dataclass
@@ -96,9 +100,83 @@ def _signals(sims: Column, default_floor: Column) -> tuple[Column, Column, Colum
     )
 
 
+def _grams(text: Column, length: int) -> Column:
+    """All different runs of ``length`` characters of a text."""
+    places = F.sequence(F.lit(1), F.length(text) - (length - 1))
+    return F.when(F.length(text) >= length, F.array_distinct(F.transform(places, lambda i: F.substr(text, i, F.lit(length))))).otherwise(F.array().cast("array<string>"))
+
+
+def indexed_signals(hits: DataFrame, phrases: DataFrame, cfg: ScopeConfig, bucket: int = BUCKET_PHRASES) -> DataFrame:
+    """``scope_signals`` for any number of phrases: words of phrases are join keys, nothing is broadcast or folded whole.
+
+    A phrase of three words or more that a content contains shares an inner word with it, so candidates are those that share a
+    word, and of the others those whose last characters occur. Of them only phrases go on that can pass: by the words that they
+    share, or because the content may contain them. They meet the content in groups of about ``bucket``.
+    """
+    emb = F.col("embedding") if "embedding" in hits.columns else F.lit(None).cast("array<double>")
+    with_vectors = "embedding" in hits.columns and "embedding" in phrases.columns
+    if with_vectors and cfg.embed_band[0] <= 0:
+        raise ValueError("phrases without a common word count here: the band of the embeddings begins at 0")
+    rows = cut(hits.withColumn("_hit", F.monotonically_increasing_id()))
+    contents = rows.select("_hit", "context_id", F.lower("content").alias("_lower"), emb.alias("_emb"))
+    weight = F.col("weight")
+    usable = weight.isNotNull() & ~F.isnan(weight) & (weight >= 0) & (weight != float("inf"))
+    told = phrases.select(
+        F.monotonically_increasing_id().alias("p"), "context_id", F.lower("text").alias("text"), F.size(words("text")).alias("said"),
+        F.array_distinct(words("text")).alias("words"), F.when(usable, weight).otherwise(F.lit(1.0)).alias("weight"),
+        F.coalesce("min_similarity", F.lit(cfg.min_similarity)).alias("floor"),
+        (F.col("embedding") if "embedding" in phrases.columns else F.lit(None).cast("array<double>")).alias("vector"),
+    )
+    told = cut(told.withColumn("n", F.size("words")))
+    per_context = told.groupBy("context_id").agg(F.max("weight").alias("max_weight"), F.bool_or(F.col("floor") <= 0).alias("_free"), F.ceil(F.count("*") / bucket).alias("_buckets"))
+
+    shared = (
+        contents.select("_hit", "context_id", F.explode(F.array_distinct(words("_lower"))).alias("word"))
+        .join(told.select("context_id", "p", F.explode("words").alias("word")), ["context_id", "word"])
+        .groupBy("_hit", "p").agg(F.count("*").alias("matched"))
+    )
+    short = told.where((F.col("said") <= 2) & (F.col("n") > 0)).withColumn("g", F.least(F.length("text"), F.lit(GRAM)))
+    keys = short.select("context_id", "p", F.col("text").substr(F.length("text") - F.col("g") + 1, F.col("g")).alias("gram"))
+    grams = contents.select("_hit", "context_id", F.explode(F.array_distinct(F.flatten(F.array(*[_grams(F.col("_lower"), i) for i in range(1, GRAM + 1)])))).alias("gram"))
+    inside = grams.join(keys, ["context_id", "gram"]).select("_hit", "p", F.lit(0).cast("bigint").alias("matched"))
+    met = shared.unionByName(inside).groupBy("_hit", "p").agg(F.max("matched").alias("matched")).join(told.drop("context_id", "words"), "p")
+    may_pass = (F.col("matched") >= F.col("floor") * F.col("n")) | (F.col("said") <= 2) | (F.col("matched") >= F.col("n") - 2)
+    met = met.where(may_pass if not with_vectors else may_pass | F.col("vector").isNotNull())
+    buckets = per_context.select("context_id", "_buckets")
+    placed = met.join(contents.select("_hit", "context_id"), "_hit").join(buckets, "context_id").withColumn("_b", F.pmod("p", F.col("_buckets")))
+    groups = placed.groupBy("_hit", "_b").agg(F.collect_list(F.struct("matched", "n", "text", "weight", "floor", "vector")).alias("_met"))
+
+    def one(x: Column) -> Column:
+        bonus = F.when(F.col("_lower").contains(x["text"]), 0.3).otherwise(0.0)
+        lexical = F.least(F.lit(1.0), x["matched"] / x["n"] + bonus)
+        return F.struct(round6(hybrid_sim(lexical, F.col("_emb"), x["vector"], cfg)).alias("sim"), x["weight"].alias("weight"), x["floor"].alias("floor"))
+
+    judged = once(groups.join(contents.where(F.size(words("_lower")) > 0), "_hit"), _sims=F.transform("_met", one))
+    passing = F.filter("_sims", lambda x: x["sim"] >= x["floor"])
+    found = judged.groupBy("_hit").agg(
+        F.max(F.array_max(F.transform(passing, lambda x: x["sim"]))).alias("_sim"),
+        F.max(F.array_max(F.transform(passing, lambda x: x["sim"] * x["weight"]))).alias("_weighted"),
+    )
+    joined = rows.join(found, "_hit", "left").join(per_context.drop("_buckets"), "context_id", "left")
+    none = F.col("max_weight").isNull()
+
+    def best(c: str) -> Column:
+        return F.when(none, F.lit(1.0)).otherwise(F.coalesce(c, F.lit(0.0)))
+
+    return joined.select(
+        *hits.columns, "max_weight", best("_sim").alias("best_sim"), round6(best("_weighted")).alias("best_weighted"),
+        (none | F.col("_sim").isNotNull() | F.coalesce("_free", F.lit(False))).alias("any_phrase"),
+    )
+
+
 def scope_signals(hits: DataFrame, phrases: DataFrame, cfg: ScopeConfig | None = None) -> DataFrame:
-    """Add best_sim, best_weighted and any_phrase per hit; without phrases they are 1, 1 and true."""
+    """Add best_sim, best_weighted and any_phrase per hit; without phrases they are 1, 1 and true.
+
+    Contexts of at most FEW_PHRASES phrases travel with their hits, in all at most so many; beyond, phrases are looked up by their words.
+    """
     cfg = cfg or ScopeConfig()
+    if phrases.limit(FEW_PHRASES + 1).count() > FEW_PHRASES and (cfg.embed_band[0] > 0 or "embedding" not in hits.columns):
+        return indexed_signals(hits, phrases, cfg)
     rows = phrase_sims(hits, phrases, cfg)
     sim, weighted, some = _signals(F.col("sims"), F.lit(cfg.min_similarity))
     return once(rows, best_sim=sim, best_weighted=weighted, any_phrase=some).drop("sims")
