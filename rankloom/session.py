@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Row limit under which a dimension (queries, phrases, grids) may be broadcast.
-BROADCAST_ROWS = 200_000
+# Rows and bytes (as JSON) up to which a dimension (queries, phrases, grids) may be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -78,13 +78,15 @@ def discard(*tables: DataFrame | None) -> None:
             df.cut_path = None
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` when a count shows that it has at most ``limit`` rows.
+def small(df: DataFrame, limit: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast ``df`` when a count shows that it has at most ``limit`` rows and ``most`` bytes.
 
     A larger side is returned without a hint: Spark then shuffles both sides and adaptive
     execution splits the skewed partitions.
     """
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    size = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    rows, held = df.limit(limit + 1).agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if rows <= limit and held <= most else df
 
 
 def once(df: DataFrame, **columns: Column) -> DataFrame:
