@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.functions.text import exact_key, query_key
+from rankloom.session import cut
 
 
 def _first_access(log: DataFrame) -> tuple[DataFrame, DataFrame]:
-    keyed = log.withColumns(
-        {"exact_key": exact_key("query"), "norm_key": query_key("query", "context_id")}
-    )
+    # texts are normalised and hashed once; only their keys are written and joined
+    keyed = cut(log.select("seq", "context_id", exact_key("query").alias("exact_key"), query_key("query", "context_id").alias("norm_key")))
     exact = keyed.groupBy("norm_key", "context_id", "exact_key").agg(
         F.min("seq").alias("first_exact"), F.count("*").alias("accesses")
     )
