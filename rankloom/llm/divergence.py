@@ -28,8 +28,9 @@ from rankloom.llm.arrowtext import LETTERS, mix, raw, slices, span_hashes
 from rankloom.session import cut
 
 MIN_DOCS, TOP_TERMS = 10, 10
-#: Bytes of postings that a task holds before it writes a run, hash shards, terms of a page, bytes of texts taken in at a time.
-MEMORY, SHARDS, PAGE_TERMS, SLICE_BYTES = 64 << 20, 1024, 512, 4 << 20
+#: Bytes of postings that a task holds before it writes a run, hash shards for each of the session's shuffle partitions (which are
+#: sized to the table), terms of a page, bytes of texts taken in at a time.
+MEMORY, SHARDS, PAGE_TERMS, SLICE_BYTES = 64 << 20, 4, 512, 4 << 20
 #: Sums of pairs of sources that a task holds before it sends them on, and rows sent at a time.
 PAIR_SUMS, SENT = 1 << 20, 8192
 
@@ -75,7 +76,7 @@ class _Postings:
     def full(self) -> bool:
         return self.bytes > MEMORY
 
-    def run(self):
+    def run(self, shards: int):
         """The run's pages: per shard its terms in order."""
         if not self.keys:
             return
@@ -93,7 +94,7 @@ class _Postings:
         lang = lang_of[group]
         data, at = raw(pa.array(names, pa.string()))
         salt = mix(np.array([zlib.crc32(x.encode()) + 1 for x in langs], np.uint64))
-        shard = ((span_hashes(data, at[:-1], at[1:])[term] ^ salt[lang]) % np.uint64(SHARDS)).astype(np.int64)
+        shard = ((span_hashes(data, at[:-1], at[1:])[term] ^ salt[lang]) % np.uint64(shards)).astype(np.int64)
         order = np.lexsort((group, term, lang, shard))
         shard, lang, term, group, counts, docs = (x[order] for x in (shard, lang, term, group, *sums))
         first = np.r_[True, (term[1:] != term[:-1]) | (lang[1:] != lang[:-1])]  # of a (shard, lang, term)
@@ -114,12 +115,14 @@ def _runs(docs: DataFrame) -> DataFrame:
     kinds = [pa.int32(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string())]
     heads = [c.split()[0] for c in PAGES.split(", ")]
 
+    shards = SHARDS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
     def index(batches):
         held = _Postings()
 
         def spilled():
             rows = []
-            for row in held.run():
+            for row in held.run(shards):
                 rows.append(row)
                 if len(rows) == 256:
                     yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=heads)

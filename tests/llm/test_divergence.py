@@ -45,7 +45,7 @@ def test_query_equals_sql(spark):
     assert table(df.columns, df.collect()) == table([d[0] for d in rel.description], rel.fetchall())
 
 
-@pytest.mark.parametrize("settings", [{}, {"MEMORY": 3000, "PAGE_TERMS": 3, "SLICE_BYTES": 400, "SHARDS": 2}, {"MEMORY": 1, "SLICE_BYTES": 200, "SHARDS": 1}, {"PAIR_SUMS": 3, "SENT": 2}])
+@pytest.mark.parametrize("settings", [{}, {"MEMORY": 3000, "PAGE_TERMS": 3, "SLICE_BYTES": 400, "SHARDS": 2}, {"MEMORY": 1, "SLICE_BYTES": 200, "SHARDS": 9}, {"PAIR_SUMS": 3, "SENT": 2}])
 def test_any_runs_pages_and_shards(spark, monkeypatch, settings):
     for name, value in settings.items():
         monkeypatch.setattr(divergence, name, value)
