@@ -182,8 +182,10 @@ def element_sets(df: DataFrame, text: str, width: int = SHINGLE) -> DataFrame:
 
 
 def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(x, y, similarity) of every pair."""
-    left, right = sets.toDF("x", "_p"), sets.toDF("y", "_q")
+    """(x, y, similarity) of every pair. Of the sets only those of the pairs' ends travel."""
+    needed = pairs.select(F.explode(F.array("x", "y")).alias("x")).distinct()
+    own = sets.toDF("x", "_p").join(small(needed), "x", "left_semi")
+    left, right = own, own.toDF("y", "_q")
     met = pairs.join(left, "x").join(right, "y")
     common = F.size(F.array_intersect("_p", "_q"))
     return met.select("x", "y", (common / (F.size("_p") + F.size("_q") - common)).alias("similarity"))
@@ -196,13 +198,13 @@ def _alike(similarity: float, entries: int) -> Column:
 
 
 def open_pairs(members: DataFrame, sets: DataFrame, similarity: float, entries: int) -> DataFrame:
-    """(x, y) with x < y: all pairs of different classes among ``members`` (node, root, n, sketch) that can reach ``similarity``.
+    """(x, y) with x < y: all pairs of different classes among ``members`` (node, root, n, sketch; each node once) that can reach ``similarity``.
 
     With elements in order of their number of holders, two sets of size m and this similarity share one of the first
     m - similarity * m + 1 of each; where they meet first, what is left of either must make up the overlap that their sizes ask for.
     Elements of one class alone come first and meet nobody, and what thousands share comes last and is seldom met at.
     """
-    own = members.select("node", "root", "n", "sketch").dropDuplicates(["node"])
+    own = members.select("node", "root", "n", "sketch")
     whole = own.select("node", "root").join(sets.toDF("node", "_set"), "node")
     held = whole.select("node", "root", F.explode("_set").alias("e"))
     holders = held.groupBy("e").agg(F.count("*").alias("c"), F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("e", "c")
@@ -212,7 +214,7 @@ def open_pairs(members: DataFrame, sets: DataFrame, similarity: float, entries:
     # the product is rounded down before it is rounded up: a prefix may be too long, never too short
     first = (F.col("size") - F.ceil(F.col("size") * similarity - 1e-6) + 1).cast("int")
     placed = F.transform(F.slice("_shared", F.lit(1), F.greatest(first - alone, F.lit(0))), lambda x, i: F.struct(x["e"].alias("e"), (alone + i).alias("at")))
-    prefixes = cut(sized.select("node", "size", placed.alias("_prefix")).where(F.size("_prefix") > 0).join(own, "node"))
+    prefixes = sized.select("node", "size", placed.alias("_prefix")).where(F.size("_prefix") > 0).join(own, "node")
     place = prefixes.select("node", "root", "n", "size", "sketch", "_prefix", F.posexplode("_prefix").alias("_at", "x"))
     # the elements before, as many as are worth carrying: a pair is made where none of them is shared
     names = F.transform("_prefix", lambda x: x["e"])
@@ -225,13 +227,15 @@ def open_pairs(members: DataFrame, sets: DataFrame, similarity: float, entries:
     reach = F.least(F.col("size") - F.col("at"), F.col("other_size") - F.col("other_at")) >= overlap
     smaller = (F.col("size") < F.col("other_size")) | ((F.col("size") == F.col("other_size")) & (F.col("node") < F.col("other_node")))
     met = lesser.join(other, "e").where(smaller & reach & (F.col("root") != F.col("other_root")) & _alike(similarity, entries) & ~F.arrays_overlap("before", "other_before"))
-    pairs = cut(met.select(F.least("node", "other_node").alias("x"), F.greatest("node", "other_node").alias("y")).distinct())
-    discard(prefixes)
-    return pairs
+    return met.select(F.least("node", "other_node").alias("x"), F.greatest("node", "other_node").alias("y")).distinct()
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    return cut(compare(pairs, sets).where(F.col("similarity") >= similarity).select("x", "y"))
+    """The pairs of at least ``similarity``, written."""
+    asked = cut(pairs)
+    found = cut(compare(asked, sets).where(F.col("similarity") >= similarity).select("x", "y"))
+    discard(asked)
+    return found
 
 
 def _rooted(df: DataFrame, roots: DataFrame | None, node: str, root: str) -> DataFrame:
@@ -253,8 +257,8 @@ def link_buckets(members: DataFrame, sets: DataFrame, similarity: float, entries
     central = members.select("key", "node").join(buckets, "key").groupBy("node").agg(F.sum("c").alias("met"))
     rank = F.struct("met", -F.col("node"))
     hubs = members.select("key", "node").join(central, "node").groupBy("key").agg(F.max_by("node", rank).alias("hub"), F.count("*").alias("c")).where("c > 1").select("key", "hub")
-    shared = members.select("key", "node").join(hubs, "key").where("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("bands"))
-    edges = shared.join(profiles, "node").join(profiles.toDF("hub", "other_n", "other_sketch"), "hub").where(_alike(similarity, entries))
+    met = cut(members.select("key", "node").join(hubs, "key").where("node <> hub"))
+    edges = met.groupBy("node", "hub").agg(F.count("*").alias("bands")).join(profiles, "node").join(profiles.toDF("hub", "other_n", "other_sketch"), "hub").where(_alike(similarity, entries))
     edges = cut(edges.select(F.col("hub").alias("x"), F.col("node").alias("y"), "bands"))
     best = edges.groupBy("y").agg(F.max_by("x", F.struct("bands", -F.col("x"))).alias("x"))
     links = _linked(best.select("x", "y"), sets, similarity)
@@ -265,12 +269,13 @@ def link_buckets(members: DataFrame, sets: DataFrame, similarity: float, entries
     if not more.isEmpty():
         links = links.unionByName(more)
         roots = components(links)
-    placed = cut(_rooted(members.select("key", "node"), roots, "node", "root"))
+    # every member has met its hub by now: only the others of a bucket may still have links between classes
+    placed = cut(_rooted(met.select("key", "node"), roots, "node", "root"))
+    discard(met)
     several = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
-    left = placed.join(several, "key", "left_semi").select("node", "root").distinct()
-    pairs = open_pairs(left.join(profiles, "node"), sets, similarity, entries)
-    last = _linked(pairs, sets, similarity)
-    discard(pairs, placed)
+    left = cut(placed.join(several, "key", "left_semi").select("node", "root").distinct().join(profiles, "node"))
+    last = _linked(open_pairs(left, sets, similarity, entries), sets, similarity)
+    discard(placed, left)
     if not last.isEmpty():
         links = links.unionByName(last)
         roots = components(links)
