@@ -250,6 +250,9 @@ def train(pages: DataFrame, html_col: str = "html", rows: int = LABELLED) -> Wei
 
 
 def extract(pages: DataFrame, html_col: str = "html", out: str = "text", weights: Weights | None = None, drop: tuple[str, ...] = ()) -> DataFrame:
-    """Add every page's main text, an empty string for null or empty pages and those without words; weights are learned if not given."""
+    """Add every page's main text, an empty string for null or empty pages and those without words; weights are learned if not given.
+
+    Other columns stay, but for one of the added name; repeated rows stay, an empty table gives an empty one.
+    """
     known = weights if weights is not None else train(pages, html_col)
     return extend(pages, html_col, T.StructType([T.StructField(out, T.StringType())]), lambda col: [pa.array([main_text(x or "", known) for x in col.to_pylist()], pa.string())], drop=drop)
