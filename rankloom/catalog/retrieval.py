@@ -202,7 +202,7 @@ def _(spark, sf):
 @query(
     "vector_store_runs",
     compose(
-        """SELECT 1 AS run, count(*) AS rows, (SELECT count(DISTINCT text) FROM benchmark WHERE text SIMILAR TO '(.|\n)*[\p{L}\p{N}](.|\n)*') AS computed FROM benchmark
+        r"""SELECT 1 AS run, count(*) AS rows, (SELECT count(DISTINCT text) FROM benchmark WHERE text SIMILAR TO '(.|\n)*[\p{L}\p{N}](.|\n)*') AS computed FROM benchmark
         UNION ALL SELECT 2, count(*), count(DISTINCT text) FILTER (text SIMILAR TO '(.|\n)*[\p{L}\p{N}](.|\n)*' AND text NOT IN (SELECT text FROM benchmark)) FROM t
         UNION ALL SELECT 3, count(*), 0 FROM t""",
         t=TEXTS,
