@@ -32,6 +32,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
 #: The chance with which four bits of every entry turn away a pair of just enough similarity.
 ASTRAY = 1e-6
+#: Bytes of texts that a task hashes at a time: what it holds beside them is some fifty times as much.
+SLICE = 1 << 19
 #: Earlier elements that a place of a prefix carries, so that a pair of sets is made once.
 BEFORE = 32
 _STEP, _TURN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
@@ -162,7 +164,7 @@ def signed(df: DataFrame, text: str = "text", bands: int = BANDS, rows: int = RO
     longs = T.ArrayType(T.LongType())
     fields = T.StructType([T.StructField(c, t) for c, t in (("_a", T.LongType()), ("_b", T.LongType()), ("_n", T.LongType()), ("_bands", longs), ("_sketch", longs))])
     own = df.select([F.col(f"`{c}`") for c in df.columns if c.lower() not in {"_row", "_low"}]).withColumn("_low", F.lower(F.col(text)))
-    return cut(extend(own, "_low", fields, make, drop=("_low",)).withColumn("_row", F.monotonically_increasing_id()))
+    return cut(extend(own, "_low", fields, make, SLICE, drop=("_low",)).withColumn("_row", F.monotonically_increasing_id()))
 
 
 def element_sets(df: DataFrame, text: str, width: int = SHINGLE) -> DataFrame:
@@ -178,7 +180,7 @@ def element_sets(df: DataFrame, text: str, width: int = SHINGLE) -> DataFrame:
         return [_lists(e, np.bincount(d, minlength=len(texts)), pa.int32())]
 
     own = df.select("_row", F.lower(F.col(text)).alias("_low"))
-    return extend(own, "_low", T.StructType([T.StructField("_set", T.ArrayType(T.IntegerType()))]), make, drop=("_low",))
+    return extend(own, "_low", T.StructType([T.StructField("_set", T.ArrayType(T.IntegerType()))]), make, SLICE, drop=("_low",))
 
 
 def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
