@@ -74,24 +74,34 @@ def quantised(df: DataFrame, id_col: str, vector: str, scale: int = SCALE) -> Da
     return cut(own.where("_good").drop("_good").withColumn("_row", F.monotonically_increasing_id()))
 
 
+def _narrow(values: np.ndarray) -> np.ndarray:
+    """The values in as few bytes each as the largest of them needs."""
+    low, high = values.min(initial=0), values.max(initial=0)
+    return values.astype(next(t for t in ("<i1", "<i2", "<i4", "<i8") if np.iinfo(t).min <= low and high <= np.iinfo(t).max))
+
+
 def _blocks(rows: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
-    """One row per block of about ``size`` rows: its number, ids, row numbers and vectors side by side; and how many blocks there are."""
+    """One row per block of about ``size`` rows: its number, ids, row numbers and vectors side by side; and how many blocks there are.
+
+    ``values`` are bytes, ``width`` of them a value.
+    """
     n = max(1, -(-rows.count() // size))
 
     def build(part: pd.DataFrame) -> pd.DataFrame:
         dims = part["_v"].map(len)
+        values = _narrow(np.concatenate(part["_v"].tolist()) if dims.sum() else np.zeros(0, np.int64))
         return pd.DataFrame({
             name: [part[name].iloc[0]], "ids": [part["_id"].to_numpy()], "rows": [part["_row"].to_numpy()],
-            "dims": [dims.to_numpy()], "values": [np.concatenate(part["_v"].tolist()) if dims.sum() else np.zeros(0, np.int64)],
+            "dims": [dims.to_numpy()], "width": [values.itemsize], "values": [values.tobytes()],
         })
 
     # a null id becomes the largest one, so that it comes last among ties
     dealt = rows.withColumn("_id", F.coalesce("_id", F.lit(2**63 - 1))).withColumn(name, F.pmod(F.xxhash64("_row"), F.lit(n)).cast("int"))
-    return cut(dealt.groupBy(name).applyInPandas(build, f"{name} int, ids array<long>, rows array<long>, dims array<int>, values array<long>")), n
+    return cut(dealt.groupBy(name).applyInPandas(build, f"{name} int, ids array<long>, rows array<long>, dims array<int>, width int, values binary")), n
 
 
-def _matrix(dims, values) -> np.ndarray:
-    dims, values = np.asarray(dims, np.int64), np.asarray(values, np.int64)
+def _matrix(dims, width: int, values: bytes) -> np.ndarray:
+    dims, values = np.asarray(dims, np.int64), np.frombuffer(values, f"<i{width}")
     out = np.zeros((len(dims), dims.max(initial=0)), np.int64)
     row = np.repeat(np.arange(len(dims)), dims)
     out[row, np.arange(len(values)) - np.repeat(np.cumsum(dims) - dims, dims)] = values
@@ -107,16 +117,19 @@ def top_k(df: DataFrame, is_query, id_col: str = "vec_id", vector: str = "embedd
     rows = quantised(df, id_col, vector, scale)
     queries, _ = _blocks(rows.where(is_query), QUERY_BLOCK, "q_block")
     cands, n_cands = _blocks(rows, ROW_BLOCK, "r_block")
-    asked = queries.select("q_block", *[F.col(c).alias(f"q_{c}") for c in ("ids", "rows", "dims", "values")])
-    # every block of queries, the smaller side, goes to every block of rows
-    pairs = asked.withColumn("r_block", F.explode(F.sequence(F.lit(0), F.lit(n_cands - 1)))).join(cands, "r_block")
+    asked = queries.select("q_block", *[F.col(c).alias(f"q_{c}") for c in ("ids", "rows", "dims", "width", "values")])
+    # Every block of queries, the smaller side, goes to every block of rows. Compressed files say little of the blocks' size in memory,
+    # so neither side may be broadcast; as many partitions as blocks keep few bytes with much work apart.
+    asked = asked.withColumn("r_block", F.explode(F.sequence(F.lit(0), F.lit(n_cands - 1)))).repartition(n_cands, "r_block")
+    pairs = asked.hint("merge").join(cands.repartition(n_cands, "r_block"), "r_block")
 
     def search(batches):
         for batch in batches:
             for i in range(len(batch)):
-                p = {c: batch.column(c)[i].values.to_numpy() for c in ("q_ids", "q_rows", "q_dims", "q_values", "ids", "rows", "dims", "values")}
-                mine, ids, own = _matrix(p["q_dims"], p["q_values"]), p["ids"], p["rows"]
-                found = block_best(mine, p["q_rows"], _matrix(p["dims"], p["values"]), ids, own, k)
+                p = {c: batch.column(c)[i].values.to_numpy() for c in ("q_ids", "q_rows", "q_dims", "ids", "rows", "dims")}
+                mine, theirs = (_matrix(p[f"{s}dims"], batch.column(f"{s}width")[i].as_py(), batch.column(f"{s}values")[i].as_py()) for s in ("q_", ""))
+                ids, own = p["ids"], p["rows"]
+                found = block_best(mine, p["q_rows"], theirs, ids, own, k)
                 sizes = [len(at) for at, _ in found]
                 at, score = np.concatenate([a for a, _ in found]), np.concatenate([s for _, s in found])
                 yield pa.RecordBatch.from_pydict({
