@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rankloom import fixtures as fx
@@ -9,6 +10,7 @@ from rankloom.catalog.base import query
 from rankloom.catalog.ctes import CTE, compose
 from rankloom.functions.text import query_key
 from rankloom.operators import entries as en
+from rankloom.operators.ordered import ordered_scan
 from rankloom.sources import backend_hits, corpus, entry_store, traces
 from rankloom.session import work_dir
 
@@ -249,8 +251,12 @@ def _(spark, sf):
     return traces.read_trace(spark, path)[0]
 
 
+#: Bytes of text from which a response is cut into pages, and what a hit has besides its text.
+PAGE_BYTES, HIT_BYTES = 1 << 20, 256
+
+
 def _raw_responses(spark, sf, backend):
-    """One raw response per source: its documents as hits in the backend's shape."""
+    """Raw responses per source, in pages: its documents in order of their ids as hits in the backend's shape."""
     d = fx.table(spark, sf, "documents")
     score = F.round(1 / (1 + F.col("n_chars") / 1000), 6)
     lang = F.col("lang")
@@ -271,15 +277,30 @@ def _raw_responses(spark, sf, backend):
         hit = F.struct(F.col("doc_id").alias("id"), (1 - score).alias("distance"), F.struct(*named, *extra, F.array(score).alias("vector")).alias("entity"))
     else:
         hit = F.struct(F.col("doc_id").alias("id"), score.alias("score"), F.struct(*named, *extra).alias("payload"))
-    per = d.groupBy("source").agg(
-        F.array_sort(F.collect_list(F.struct("doc_id", hit.alias("h")))).alias("hs"), F.max(score).alias("top")
-    )
-    hits = F.transform("hs", lambda x: x["h"])
+    hits = _paged(d.select("source", "doc_id", hit.alias("h"), score.alias("score"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes")))
+    listed = F.transform("hs", lambda x: x["h"])
     if backend == "elasticsearch":
-        body = F.struct(F.struct(F.col("top").alias("max_score"), hits.alias("hits")).alias("hits"))
+        body = F.struct(F.struct(F.col("top").alias("max_score"), listed.alias("hits")).alias("hits"))
     else:
-        body = F.struct(hits.alias({"meilisearch": "hits", "milvus": "data", "qdrant": "result"}[backend]))
-    return per.select(F.col("source").alias("query_id"), F.to_json(body).alias("response"))
+        body = F.struct(listed.alias({"meilisearch": "hits", "milvus": "data", "qdrant": "result"}[backend]))
+    return hits.select(F.col("source").alias("query_id"), "offset", F.to_json(body).alias("response"))
+
+
+def _paged(hits):
+    """source, offset, top, hs: the hits of a source in order, in pages of about PAGE_BYTES; ``top`` is the best score of the whole source."""
+    sized = hits.withColumn("bytes", F.col("bytes") + HIT_BYTES)
+    ids = sized.groupBy(F.col("source").alias("_s"), F.col("doc_id").alias("_d")).agg(F.count("*").alias("_n"), F.sum("bytes").alias("_b"))
+    upto = ordered_scan(ids, ["_s"], "_d", [], running_sum={"_rows": "_n", "_bytes": "_b"})
+    starts = upto.select("_s", "_d", (F.col("_rows") - F.col("_n")).alias("_rows"), (F.col("_bytes") - F.col("_b")).alias("_bytes"))
+    tops = sized.groupBy(F.col("source").alias("_t")).agg(F.max("score").alias("top"))
+    joined = sized.join(starts, F.col("source").eqNullSafe(F.col("_s")) & F.col("doc_id").eqNullSafe(F.col("_d")))
+    ties = Window.partitionBy("_s", "_d").orderBy("h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = joined.select(
+        "source", "h", (F.col("_rows") + F.count("*").over(ties) - 1).alias("pos"),
+        F.floor((F.col("_bytes") + F.sum("bytes").over(ties) - F.col("bytes")) / PAGE_BYTES).alias("page"),
+    )
+    pages = placed.groupBy("source", "page").agg(F.min("pos").alias("offset"), F.array_sort(F.collect_list(F.struct("pos", "h"))).alias("hs"))
+    return pages.join(tops, F.col("source").eqNullSafe(F.col("_t"))).drop("_t")
 
 
 PARSED = """SELECT source AS query_id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INTEGER) AS rank, {id} AS id,

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.functions.scores import by_max_score, clamp01, round6
+from rankloom.session import once
 
 # Where each backend keeps the list, id, score and fields, and which fields are not metadata.
 SHAPES = {
@@ -25,10 +26,15 @@ def parse_hits(raw: DataFrame, backend: str) -> DataFrame:
 
     The content is the first of the known text fields (of a hit itself before those of its entity), ids may be text or numbers, and all
     other fields are metadata: a JSON object in which numbers, booleans and nested values keep their types. A hit without fields has none.
+    A query's response may come in pages; a column ``offset`` then says how many of its hits lie before a page.
     """
     shape = SHAPES[backend]
     hits = F.try_variant_get(F.try_parse_json("response"), shape["list"], "array<variant>")
-    rows = raw.select("query_id", "response", F.posexplode(hits).alias("pos", "hit"))
+    # what a hit needs of its response is taken out first, so that no response travels with its hits
+    top = F.get_json_object("response", "$.hits.max_score").cast("double") if backend == "elasticsearch" else F.lit(None).cast("double")
+    before = F.col("offset") if "offset" in raw.columns else F.lit(0)
+    told = once(raw.select("query_id", "response", before.alias("offset")), hits=hits, top=F.coalesce(top, F.lit(0.0)))
+    rows = told.select("query_id", "offset", "top", F.posexplode("hits").alias("pos", "hit"))
     hit = F.col("hit")
 
     def part(source: Column, field: str, kind: str = "string") -> Column:
@@ -41,7 +47,7 @@ def parse_hits(raw: DataFrame, backend: str) -> DataFrame:
     kept = F.map_filter(F.try_variant_get("fields", "$", "map<string,variant>"), lambda k, v: ~k.isin(*shape["drop"]))
     parsed = rows.select(
         "query_id",
-        (F.col("pos") + 1).alias("rank"),
+        (F.col("offset") + F.col("pos") + 1).cast("int").alias("rank"),
         found_id.alias("id"),
         _normal_score(backend, part(hit, shape["score"], "double")).alias("score"),
         content.alias("content"),
@@ -52,8 +58,7 @@ def parse_hits(raw: DataFrame, backend: str) -> DataFrame:
 
 def _normal_score(backend: str, score: Column) -> Column:
     if backend == "elasticsearch":
-        top = F.coalesce(F.get_json_object("response", "$.hits.max_score").cast("double"), F.lit(0.0))
-        return round6(by_max_score(F.coalesce(score, F.lit(0.0)), top))
+        return round6(by_max_score(F.coalesce(score, F.lit(0.0)), F.col("top")))
     if backend == "milvus":
         return round6(clamp01(1 - F.coalesce(score, F.lit(0.0))))
     if backend == "qdrant":
