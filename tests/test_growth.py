@@ -1,10 +1,17 @@
 """What a single row, block or plan may hold, however large the tables are."""
 
+import tracemalloc
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from rankloom.catalog import entry_tables
 from rankloom.llm import topk
+from rankloom.operators import search_vector as sv
+from rankloom.operators.text_index import _scorer
 from rankloom.sources.backend_hits import parse_hits
 
 
@@ -17,8 +24,6 @@ def test_top_k_broadcasts_nothing(spark):
 
 @pytest.mark.parametrize("values", [[-3, 127], [-129, 5], [40_000], [2**40, -1], []])
 def test_block_values_take_few_bytes(values):
-    import numpy as np
-
     kept = topk._narrow(np.array(values, np.int64))
     assert kept.tolist() == values and kept.itemsize == {(-3, 127): 1, (-129, 5): 2, (40_000,): 4, (2**40, -1): 8, (): 1}[tuple(values)]
 
@@ -36,3 +41,53 @@ def test_responses_come_in_pages(spark, tmp_path, monkeypatch, backend):
     got = parse_hits(pages, backend).collect()
     assert len(got) == 120 and sorted(map(str, got)) == sorted(map(str, expected))
     assert sorted(r.rank for r in got if r.query_id == "a") == list(range(1, 91))
+
+
+def test_scorer_holds_no_scores_per_query(spark):
+    """A thousand askers of one list cost its scores once, and a group of many queries is no larger than its block."""
+    size, askers = 8192, 1000
+    asks = [{"query_id": i, "k": 2, "qtf": 1 + i % 2} for i in range(askers)]
+    rows = pa.table({
+        "field": pa.array([0, 0], pa.int32()), "weight": [None, 2.0], "asks": pa.array([None, asks]),
+        "places": pa.array([None, np.arange(size).astype("<u2").tobytes()]), "times": pa.array([None, np.arange(1, size + 1).astype("<u4").tobytes()]),
+        "ids": pa.array([list(range(size)), None], pa.list_(pa.int64())), "lengths": pa.array([np.arange(1, size + 1).astype("<i8").tobytes(), None]),
+    })
+    tracemalloc.start()
+    found = _scorer({0: (size, 10.0)}, 1, (pa.int64(), pa.int64()))(rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 << 20 and found.num_rows == 2 * askers
+    tf = np.arange(1, size + 1)
+    scores = np.round(2 * tf / (tf + 1.2 * (0.25 + 0.75 * tf / 10)), 6)
+    best = np.lexsort((np.arange(size), -scores))[:2]
+    assert found.column("id").to_pylist()[:2] == best.tolist() and found.column("score").to_pylist()[:2] == scores[best].tolist()
+
+
+@pytest.mark.parametrize("kind", ["plain", "skip_same", "earlier"])
+def test_best_cosines_equal_plain_ones(kind):
+    rng = np.random.default_rng(3)
+    m = rng.integers(0, 3, (700, 6)).astype(float)
+    m[:20] = 0
+    m[300:600] = m[300]
+    m[40:60] += rng.standard_normal((20, 6)) * 1e-6
+    rows = pd.DataFrame({"id": rng.permutation(700), "seq": rng.permutation(700), "embedding": list(m)})
+    asked = rows.rename(columns={"id": "query_id"}).assign(k=rng.integers(1, 6, 700))
+    for least in (None, 0.9):
+        got = sv._block_top_k("cosine", least, kind == "skip_same", kind == "earlier")(asked, rows)
+        sims = np.round(sv.similarities(m, m, "cosine"), 6)
+        expected = []
+        for i, (q, s, k) in enumerate(zip(asked["query_id"], asked["seq"], asked["k"], strict=True)):
+            good = [j for j in range(700) if (kind != "skip_same" or rows["id"][j] != q) and (kind != "earlier" or rows["seq"][j] < s) and (least is None or sims[i, j] >= least)]
+            expected += [(q, k, rows["id"][j], sims[i, j]) for j in sorted(good, key=lambda j: (-sims[i, j], rows["id"][j]))[:k]]
+        assert sorted(got.itertuples(index=False, name=None)) == sorted(expected)
+
+
+def test_best_cosines_compute_few_pairs(monkeypatch):
+    """Only rows that may be among the best are computed as doubles, and later rows are not compared at all."""
+    m = np.random.default_rng(5).standard_normal((2000, 16))
+    rows = pd.DataFrame({"id": np.arange(2000), "seq": np.arange(2000), "embedding": list(m)})
+    met = []
+    einsum = np.einsum
+    monkeypatch.setattr(sv.np, "einsum", lambda how, a, b: met.append(len(a)) or einsum(how, a, b))
+    found = sv._block_top_k("cosine", 0.5, False, True)(rows.rename(columns={"id": "query_id"}).assign(k=1), rows)
+    assert len(found) > 1000 and sum(met) < 40_000
