@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from rankloom.catalog import entry_tables
 from rankloom.llm import topk
 from rankloom.operators import search_vector as sv
-from rankloom.operators.text_index import _scorer
+from rankloom.operators import text_index
+from rankloom.operators.text_index import _Block, _scorer
 from rankloom.sources.backend_hits import parse_hits
 
 
@@ -63,6 +64,51 @@ def test_scorer_holds_no_scores_per_query(spark):
     assert found.column("id").to_pylist()[:2] == best.tolist() and found.column("score").to_pylist()[:2] == scores[best].tolist()
 
 
+def _block_of(texts, step):
+    block = _Block(1)
+    for at in range(0, len(texts), step):
+        part = texts[at : at + step]
+        block.add(pa.array(range(at, at + len(part)), pa.int64()), [pa.array(part, pa.string())])
+    return block
+
+
+def test_a_block_is_sorted_in_parts():
+    """Writing a block of many postings takes at most 28 bytes for each, what is held of them included."""
+    rng = np.random.default_rng(7)
+    words = np.array([f"w{i}" for i in range(4000)])
+    texts = [" ".join(words[rng.choice(4000, 300, replace=False)]) for _ in range(3000)]
+    tracemalloc.start()
+    block = _block_of(texts, 200)
+    tracemalloc.reset_peak()
+    postings = sum(int(np.sum(row["df"])) for row in block.rows(0) if "df" in row)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert postings == 900_000 and peak < 28 * postings
+
+
+@pytest.mark.parametrize("settings", [{"SORTED": 1}, {"SORTED": 7, "SENT": 3}, {"SORTED": 1 << 18}])
+def test_parts_of_a_block_keep_all_lists(monkeypatch, settings):
+    for name, value in settings.items():
+        monkeypatch.setattr(text_index, name, value)
+    texts = [" ".join(["common"] * (1 + i % 3) + [f"t{i % 5}"] * 2 + [f"own{i}"]) for i in range(40)] + [None, ""]
+    found, heads = {}, []
+    for row in _block_of(texts, 9).rows(0):
+        if "token" not in row:
+            heads.append((row["n"], row["total"], np.frombuffer(row["lengths"][0], "<i8").tolist()))
+            continue
+        for token, df, most, least, places, times in zip(*(row[c] for c in ("token", "df", "most", "least", "places", "times")), strict=True):
+            at, tf = np.frombuffer(places.as_buffer(), "<u2").tolist(), np.frombuffer(times.as_buffer(), "<u4").tolist()
+            assert token not in found and len(at) == df
+            found[token] = (dict(zip(at, tf, strict=True)), int(most), int(least))
+    lengths = [4 + i % 3 for i in range(40)] + [0, 0]
+    expected = {}
+    for i, text in enumerate(texts):
+        for token in set((text or "").split()):
+            expected.setdefault(token, {})[i] = text.split().count(token)
+    assert heads == [([40], [sum(lengths)], lengths)]
+    assert found == {t: (p, max(p.values()), min(lengths[i] for i in p)) for t, p in expected.items()}
+
+
 @pytest.mark.parametrize("kind", ["plain", "skip_same", "earlier"])
 def test_best_cosines_equal_plain_ones(kind):
     rng = np.random.default_rng(3)
