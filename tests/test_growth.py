@@ -86,6 +86,35 @@ def test_a_block_is_sorted_in_parts():
     assert postings == 900_000 and peak < 28 * postings
 
 
+def test_a_block_holds_names_in_few_bytes():
+    """Postings and names of a gathered block, whether Python, numpy or Arrow keeps them, and every list of it."""
+    rng = np.random.default_rng(8)
+    words = np.array([f"word{i}" for i in range(100_000)])
+    texts = [" ".join(words[rng.choice(len(words), 300, replace=False)]) for _ in range(3000)]
+    before = pa.total_allocated_bytes()
+    tracemalloc.start()
+    block = _block_of(texts, 300)
+    held = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - before
+    tracemalloc.stop()
+    assert held < 22 * 900_000
+    lists = [row for row in block.rows(0) if "df" in row]
+    names = [t for row in lists for t in row["token"]]
+    assert sum(int(np.sum(row["df"])) for row in lists) == 900_000 and names == sorted(set(" ".join(texts).split()))
+
+
+def test_cosines_hold_no_copies_of_a_part():
+    """A part of the corpus is held as its matrix and once in single precision, beside one step's similarities."""
+    m = np.random.default_rng(9).standard_normal((8192, 128))
+    rows = pd.DataFrame({"id": np.arange(len(m)), "embedding": list(m)})
+    asked = rows[:40].rename(columns={"id": "query_id"}).assign(k=3)
+    tracemalloc.start()
+    found = sv._block_top_k("cosine", None, False, False)(asked, rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2.2 * m.nbytes
+    assert len(found) == 120 and found.query("query_id == id")["score"].eq(1.0).sum() == 40
+
+
 @pytest.mark.parametrize("settings", [{"SORTED": 1}, {"SORTED": 7, "SENT": 3}, {"SORTED": 1 << 18}])
 def test_parts_of_a_block_keep_all_lists(monkeypatch, settings):
     for name, value in settings.items():
