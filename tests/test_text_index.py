@@ -98,3 +98,35 @@ def test_own_numbers_in_vector_search_and_fusion(spark):
     lists = hits.withColumn("upstream_id", F.lit("v")).withColumn("content_key", F.col("id")).join(queries.select("query_id", "top_k"), "query_id")
     fused = fuse_rrf(lists, max_results="top_k")
     assert {r.query_id: r["count"] for r in fused.groupBy("query_id").count().collect()} == {1: 1, 2: 20, 3: 10, 4: 1}
+
+
+def test_a_search_sends_no_list_and_no_query_once_for_each_block(spark, monkeypatch):
+    """The shuffled rows of a search are those of the queries' tokens, however many blocks and parts of the queries meet."""
+    docs = spark.createDataFrame([(i, f"w{i % 3} w{i % 5} common") for i in range(200)], "id bigint, content string").coalesce(1)
+    queries = spark.createDataFrame([(i, f"common w{i % 5}", 2) for i in range(60)], "query_id bigint, query string, top_k int")
+    monkeypatch.setattr(text_index, "BLOCK_DOCS", 10)
+    monkeypatch.setattr(text_index, "PART_TOKENS", 30)
+    index = build_text_index(docs, ("content",))
+    assert index.blocks == 20 and index.lists.count() == 20
+    plans, write = [], text_index.meet_packed
+
+    def watched(stream, held, *rest):
+        assert held.count() == 4 and "Exchange" not in stream.crossJoin(held).hint("shuffle_replicate_nl")._jdf.queryExecution().sparkPlan().toString()
+        plans.append((stream, held))
+        return write(stream, held, *rest)
+
+    monkeypatch.setattr(text_index, "meet_packed", watched)
+    found = text_search(queries, index, ("content",), top_k="top_k")
+    assert len(plans) == 1 and found.count() == 120
+    assert {r.id for r in found.where("query_id = 3").collect()} == {3, 8}  # both words, smaller ids first
+
+
+def test_a_private_index_is_deleted_after_its_search(spark, monkeypatch):
+    made = []
+    cut_packed = text_index.cut_packed
+    monkeypatch.setattr(text_index, "cut_packed", lambda df: made.append(cut_packed(df)) or made[-1])
+    docs = spark.createDataFrame([(i, f"w{i}") for i in range(9)], "id bigint, content string")
+    queries = spark.createDataFrame([(1, "w3")], "query_id bigint, query string")
+    found = text_search(queries, docs, ("content",), 2)
+    assert len(made) == 2 and all(df.cut_path is None for df in made)
+    assert [r.id for r in found.collect()] == [3]
